@@ -227,7 +227,7 @@ def log_likelihoods(docs: DataFrame, model: DataFrame, id_cols: list[str], text_
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(id_cols)], "log_p", "n_places")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, quantile: float = 0.99, slack: float = 1.25, calibration: int = 5, broadcast_rows: int = 2_000_000, shard_entries: int = 3_000_000) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, quantile: float = 0.9, slack: float = 1.2, calibration: int = 5, broadcast_rows: int = 2_000_000, shard_entries: int = 3_000_000) -> DataFrame:
     """Each row with its perplexity, its language's threshold and whether it is kept.
 
     ``trusted``: ids of trusted documents in ``id_col``; one in ``calibration``
