@@ -1 +1 @@
-"""functions"""
+"""Column expressions over elements and lists of elements."""

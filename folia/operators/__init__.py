@@ -1 +1 @@
-"""operators"""
+"""DataFrame operators over the row form."""

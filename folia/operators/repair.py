@@ -6,10 +6,11 @@ last, so they work on one document at a time in an Arrow UDF over the list form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from folia.schema import FIELDS, LIST
+from folia.workers import reach_workers
 
 _PARENT = {"list_item": ("list", {"list", "deflist"}), "caption": ("figure", {"figure", "table"})}
 
@@ -127,11 +128,18 @@ def _repair(blocks):
     return None if blocks is None else repair_elements([_plain(b) for b in blocks if b is not None])
 
 
+def _reach() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
+        reach_workers(spark)
+
+
 def normalize(blocks: Column) -> Column:
     """A list column with each lone plain block collapsed into its container; null gives null. Idempotent."""
+    _reach()
     return _normalize(blocks)
 
 
 def repair(blocks: Column) -> Column:
     """A list column made structurally valid; null gives null. Idempotent."""
+    _reach()
     return _repair(blocks)

@@ -152,7 +152,9 @@ def lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.quality(nested_rows(spark, sf_dir), DOC).select(*DOC, "element_order", "rule")
+    """Of the headings alone, named by their role."""
+    heads = conversation_rows(spark, sf_dir).where("element_type = 'heading'").withColumn("content", F.substring_index("content", " ", 1))
+    return check.quality(heads, DOC).select(*DOC, "element_order", "rule")
 
 
 QUERIES = {

@@ -1 +1 @@
-"""streaming"""
+"""Documents as streams."""
