@@ -137,6 +137,13 @@ _SAME = f"SELECT {_COLUMNS} FROM nested"
 _IN = "('heading', 'text', 'link')"
 
 
+_ESC = "chr(27) || '['"
+_RANK = "CASE right(attributes, 1) WHEN '1' THEN '1;38;5;219' WHEN '2' THEN '1;38;5;141' ELSE '1;38;5;75' END"
+_GUTTER = f"{_ESC} || '2m┃ ' || {_ESC} || '0m'"
+_CODE = f"{_GUTTER} || {_ESC} || '38;5;222m' || {_ESC} || '0m' || chr(10) || {_GUTTER} || {_ESC} || '38;5;252m' || content || {_ESC} || '0m'"
+_WRAPPED = "trim(regexp_replace(content, '[ \\t]+', ' ', 'g'))"
+
+
 def _renumbered(where: str, order: str = "pos") -> str:
     """Kept rows, places and orders counted anew."""
     n = f"(row_number() OVER (PARTITION BY conv_id ORDER BY {order}) - 1)::INTEGER"
@@ -229,4 +236,12 @@ ORACLE_SQL = {
     "repair": _nested("""SELECT conv_id, (row_number() OVER d - 1)::INTEGER AS pos, kind, element_type, content, level, encoding, attributes, (row_number() OVER d - 1)::INTEGER AS element_order FROM (
       SELECT conv_id, pos::DOUBLE AS place, kind, element_type, content, CASE WHEN pos % 16 = 15 THEN 2 ELSE level END AS level, encoding, attributes FROM nested
       UNION ALL SELECT conv_id, pos - 0.5, 'block', 'figure', '', level - 1, 'text', '' FROM nested WHERE element_type = 'caption') WINDOW d AS (PARTITION BY conv_id ORDER BY place)"""),
+    "inline_builders": """SELECT conv_id, turn, i AS pos, kind, element_type, CASE c WHEN 'r' THEN role WHEN '' THEN '' END AS content, level, 'text' AS encoding, replace(a, '%', role) AS attributes, i AS element_order
+      FROM conversations, (VALUES (0, 'block', 'paragraph', 'n', 1, ''), (1, 'inline', 'link', 'r', 2, 'href=u;title=t'), (2, 'inline', 'image', 'r', 2, 'alt=%;src=s'), (3, 'inline', 'math', 'r', 2, 'display=block'),
+        (4, 'inline', 'quoted', 'r', 2, 'quote_type=double'), (5, 'inline', 'cite', 'r', 2, 'key=%'), (6, 'inline', 'span', 'r', 2, 'class=c;id=i'), (7, 'inline', 'code', 'r', 2, ''),
+        (8, 'inline', 'note', 'n', 2, ''), (9, 'inline', 'italic', 'r', 3, ''), (10, 'inline', 'softbreak', '', 3, ''), (11, 'inline', 'raw', 'r', 2, 'format=tex'), (12, 'inline', 'linebreak', '', 2, ''),
+        (13, 'inline', 'underline', '', 2, ''), (14, 'inline', 'smallcaps', 'r', 3, '')) s(i, kind, element_type, c, level, a)""",
+    "render_elements": _flat(f"SELECT conv_id, pos, CASE element_type WHEN 'heading' THEN chr(10) || {_ESC} || {_RANK} || 'm▍ ' || content || {_ESC} || '0m' WHEN 'code' THEN {_CODE} ELSE content END AS rendered FROM flat"),
+    "render_documents": _flat(f"""SELECT conv_id, string_agg(CASE element_type WHEN 'heading' THEN {_ESC} || {_RANK} || 'm▍ ' || {_ESC} || {_RANK} || 'm' || {_WRAPPED} || {_ESC} || '0m' WHEN 'code' THEN {_CODE} ELSE {_WRAPPED} END,
+      chr(10) || chr(10) ORDER BY pos) AS rendered FROM flat GROUP BY conv_id"""),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.functions import ansi
 from folia.functions import builders as B
 from folia.functions import elements as E
 from folia.functions import lists as L
@@ -157,7 +158,33 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.quality(heads, DOC).select(*DOC, "element_order", "rule")
 
 
+def inline_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A paragraph of every kind of inline for each turn, assembled."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    role = F.col("role")
+    parts = [
+        B.link("u", role, "t"), B.inline_image("s", role), B.math(role, True), B.quoted(role), B.cite(role), B.span(role, "i", "c"), B.inline_code(role), B.note(parts=[B.italic(role), B.softbreak()]),
+        B.raw_inline(role, "tex"), B.linebreak(), B.underline(children=B.smallcaps(role)),
+    ]
+    rows = to_rows(turns.select("conv_id", "turn", L.assemble(B.paragraph(parts=parts)).alias("blocks")), ["conv_id", "turn"])
+    return flat(rows, ["conv_id", "turn"])
+
+
+def render_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations drawn in the dark theme, wide enough for any line."""
+    docs = to_list(conversation_rows(spark, sf_dir), DOC)
+    return docs.select(*DOC, ansi.render(F.col("blocks"), 1_000_000, "dark").alias("rendered"))
+
+
+def render_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each element drawn by itself, as an expression."""
+    return conversation_rows(spark, sf_dir).select(*DOC, "pos", ansi.render_one(F.col("element_type"), F.col("content"), F.col("attributes")).alias("rendered"))
+
+
 QUERIES = {
+    "inline_builders": inline_builders,
+    "render_documents": render_documents,
+    "render_elements": render_elements,
     "toc_conversations": toc_conversations,
     "headings": headings,
     "outline_numbers": outline_numbers,
