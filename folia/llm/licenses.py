@@ -38,7 +38,7 @@ TEMPLATES = (
     ),
     (
         "mit-notice",
-        """<<beginOptional>><<var;name="thing";original="This software";match="this|the">> <<var;name="noun";original="software";match="software|work|code|project|library|file">>
+        """<<beginOptional>><<var;name="thing";original="This";match="this|the">> <<var;name="noun";original="software";match="software|work|code|project|library|file">>
         <<beginOptional>>is<<endOptional>><<endOptional>>
         <<var;name="verb";original="Released";match="released|licensed|distributed|available|published">> under the <<beginOptional>>terms of the<<endOptional>> MIT License""",
     ),
@@ -66,7 +66,7 @@ TEMPLATES = (
     (
         "cc-by-nc-notice",
         """<<var;name="verb";original="licensed";match="released|licensed|distributed|available|published">> under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>>
-        <<var;name="long";original="CC BY-NC";match="cc|creative commons">> <<var;name="terms";original="BY-NC";match="by nc|attribution noncommercial|attribution non commercial">>""",
+        <<var;name="long";original="CC";match="cc|creative commons">> <<var;name="terms";original="BY-NC";match="by nc|attribution noncommercial|attribution non commercial">>""",
     ),
 )
 
