@@ -44,6 +44,8 @@ _OUT = [
     T.StructField("score", T.DoubleType()),
     T.StructField("bits_per_byte", T.DoubleType()),
 ]
+#: The columns that :func:`language_id` adds.
+OUTPUTS = ("lang_pred", "score", "bits_per_byte", "held_out")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
