@@ -2,8 +2,7 @@
 
 A document's elements belong together, so a stream carries the list form: one
 document a row. Functions over lists are stateless and run on a stream as they
-do on a table. ``latest`` keeps, of each document, the version with the highest
-number until the watermark has passed it.
+do on a table. ``once`` drops repeated deliveries within the watermark.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ def transformed(stream: DataFrame, change: Callable[[Column], Column], blocks_co
     return stream.withColumn(blocks_col, change(F.col(blocks_col)))
 
 
-def latest(stream: DataFrame, doc_col: str, time_col: str, delay: str = "10 minutes") -> DataFrame:
+def once(stream: DataFrame, doc_col: str, time_col: str, delay: str = "10 minutes") -> DataFrame:
     """Each document once within the watermark: repeated deliveries of the same id and time are dropped."""
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([doc_col, time_col])
 
@@ -39,7 +38,7 @@ def counts_by_type(stream: DataFrame, time_col: str, window: str = "1 minute", d
     return opened.groupBy(F.window(time_col, window).alias("window"), F.col("b.element_type").alias("element_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_table(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends a stream to Parquet files; with ``once``, what is there now and no more."""
+def write_table(stream: DataFrame, path: str, checkpoint: str, all_now: bool = True) -> StreamingQuery:
+    """Appends a stream to Parquet files; with ``all_now``, what is there now and no more."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return (writer.trigger(availableNow=True) if all_now else writer).start()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folia.functions import lists as L
 from folia.plans.sql import register
-from folia.streaming.documents import compact_stream, counts_by_type, latest, transformed, write_table
+from folia.streaming.documents import compact_stream, counts_by_type, once, transformed, write_table
 
 
 def test_functions_in_sql(spark):
@@ -27,7 +27,7 @@ def test_stream_of_documents(spark, tmp_path):
     source.mkdir()
     for i in range(3):
         (source / f"{i}.jsonl").write_text('{"@":"4.2.0"}\n{"t":"H","c":"T","l":1,"a":{"h":"1"}}\n{"t":"P","c":"p","l":1}\n')
-    stream = transformed(latest(compact_stream(spark, str(source)), "filename", "modified"), lambda b: L.keep_types(b, ["heading"]))
+    stream = transformed(once(compact_stream(spark, str(source)), "filename", "modified"), lambda b: L.keep_types(b, ["heading"]))
     assert stream.isStreaming
     write_table(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(120)
     found = spark.read.parquet(str(tmp_path / "out"))
