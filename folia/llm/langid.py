@@ -15,8 +15,8 @@ context that any of them knows, with the code lengths of all 256 bytes under
 every language, so that a text is scored by table lookups over arrays.
 
 Training is on a bounded sample: of each language at most ``train_docs`` texts
-of at most ``train_bytes`` bytes in sum (whole texts, those with the smallest
-hashes of their ids). Contexts seen fewer than ``min_count`` times in a
+of at most ``train_bytes`` bytes in sum (whole texts of up to an eighth of
+that, those with the smallest hashes of their ids). Contexts seen fewer than ``min_count`` times in a
 language are left out of its tree.
 """
 
@@ -121,14 +121,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """The context trees of the languages in ``labelled``; rows with a null text or language are passed over.
 
     The most frequent ``max_languages`` labels are learned. Only the bounded
-    sample of texts comes to the driver.
+    sample of texts comes to the driver. Of each language's first 2 *
+    ``train_docs`` ids those with a text of fitting size are used.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(5))
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
+    # ids first, which reads no text and gathers twice the sample's number of rows for each language; then their texts
+    by_draw = Window.partitionBy("lang").orderBy("draw")
+    picked = rows.select("lang", "draw").withColumn("n", F.row_number().over(by_draw)).where(F.col("n") <= 2 * train_docs).select("lang", "draw").distinct()
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    keys = labelled.sparkSession.createDataFrame(picked.join(F.broadcast(often), "lang").collect(), "lang string, draw long")
+    size = F.octet_length("text")
     first = Window.partitionBy("lang").orderBy("draw", "size", "text")
     sample = (
-        rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size"), draw.alias("draw"))
-        .where(F.col("size") <= train_bytes // 8)
+        rows.join(F.broadcast(keys), ["lang", "draw"], "left_semi")
+        .where(F.col("text").isNotNull() & (size <= train_bytes // 8))
+        .withColumn("size", size)
         .withColumn("n", F.row_number().over(first))
         .where(F.col("n") <= train_docs)
     )
@@ -136,7 +144,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     found: dict[str, list[str]] = {}
     for lang, text in sample.withColumn("sum", F.sum("size").over(within)).where(F.col("sum") <= train_bytes).select("lang", "text").toLocalIterator():
         found.setdefault(lang, []).append(text)
-    names = sorted(found, key=lambda name: (-len(found[name]), name))[:max_languages]
+    names = sorted(found)
     return {name: context_counts(found[name], order, min_count) for name in names}
 
 
