@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -49,62 +48,70 @@ OUTPUTS = ("lang_pred", "score", "bits_per_byte", "held_out")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def context_counts(texts: list[str], order: int, min_count: int) -> dict[bytes, Counter]:
-    """The context tree of some texts: for each context of up to ``order`` bytes, what followed it how often."""
-    tree: dict[bytes, Counter] = {}
-    for text in texts:
-        data = bytes([_START]) * order + text.encode("utf-8", "surrogatepass")
-        for n in range(order + 1):
-            for gram, times in Counter(data[i - n : i + 1] for i in range(order, len(data))).items():
-                tree.setdefault(gram[:n], Counter())[gram[n]] += times
-    return {c: seen for c, seen in tree.items() if not c or seen.total() >= min_count}
-
-
-def _distribution(tree: dict[bytes, Counter], context: bytes, done: dict[bytes, np.ndarray]) -> np.ndarray:
-    """Probabilities of the 256 bytes after a context, by escaping through its suffixes."""
-    if context in done:
-        return done[context]
-    below = _distribution(tree, context[1:], done) if context else np.full(256, 1 / 256)
-    seen = tree.get(context)
-    if not seen:
-        p = below
-    else:
-        counts = np.zeros(256)
-        counts[list(seen)] = list(seen.values())
-        known = counts > 0
-        kinds = int(known.sum())
-        total = counts.sum() + (kinds if kinds < 256 else 0)
-        p = counts / total
-        if kinds < 256:
-            p[~known] = kinds / total * below[~known] / below[~known].sum()
-    done[context] = p
-    return p
+#: For n = 0, 1, ...: runs of n + 1 bytes as numbers, sorted, and how often each stood in the texts.
+Tree = list[tuple[np.ndarray, np.ndarray]]
+
+
+def context_counts(texts: list[str], order: int, min_count: int) -> Tree:
+    """The context tree of some texts: contexts of up to ``order`` bytes with what followed them, as arrays."""
+    data = [bytes([_START]) * order + t.encode("utf-8", "surrogatepass") for t in texts]
+    flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64)
+    sizes = np.array([len(d) for d in data], dtype=np.int64)
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= order
+    tree: Tree = []
+    packed = flat.copy()
+    for n in range(order + 1):
+        if n:
+            packed[n:] |= flat[:-n] << (8 * n) if len(flat) > n else 0
+        keys, times = np.unique(packed[inside], return_counts=True)
+        if n:
+            contexts, at = np.unique(keys >> 8, return_inverse=True)
+            often = np.bincount(at, weights=times, minlength=len(contexts))[at] >= min_count
+            keys, times = keys[often], times[often]
+        tree.append((keys, times.astype(np.int32)))
+    return tree
+
+
+def _escaped(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Probabilities after contexts (rows): counted bytes, and the escape's share of the shorter context for the others."""
+    known = counts > 0
+    kinds = known.sum(axis=1, keepdims=True)
+    total = counts.sum(axis=1, keepdims=True) + np.where(kinds < 256, kinds, 0)
+    rest = np.where(known, 0.0, below)
+    left = rest.sum(axis=1, keepdims=True)
+    p = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
+    p += np.divide(kinds * rest, total * left, out=np.zeros_like(counts), where=(total > 0) & (left > 0))
+    return np.where(total > 0, p, below)
 
 
 class Model:
     """Frozen trees of some languages as tables: ``state`` of the last three bytes, ``bits`` by state, byte and language."""
 
-    def __init__(self, trees: dict[str, dict[bytes, Counter]], order: int = 3):
+    def __init__(self, trees: dict[str, Tree], order: int = 3):
         if not 0 <= order <= 3:
             raise ValueError("order must lie between 0 and 3")
         self.languages, self.order = sorted(trees), order
-        contexts = sorted({c for tree in trees.values() for c in tree} | {b""}, key=lambda c: (len(c), c))
-        self.bits = np.empty((len(contexts), 256, len(self.languages)), dtype=np.float32)
+        contexts = [np.zeros(1, dtype=np.int64)] + [np.unique(np.concatenate([trees[name][n][0] >> 8 for name in self.languages])) for n in range(1, order + 1)]
+        first = np.cumsum([0, *map(len, contexts)])
+        self.bits = np.empty((first[-1], 256, len(self.languages)), dtype=np.float32)
         for i, name in enumerate(self.languages):
-            done: dict[bytes, np.ndarray] = {}
-            for s, context in enumerate(contexts):
-                self.bits[s, :, i] = -np.log2(_distribution(trees[name], context, done))
+            p = np.empty((first[-1], 256), dtype=np.float32)
+            for n, (own, (keys, times)) in enumerate(zip(contexts, trees[name], strict=True)):
+                rows = np.searchsorted(own, keys >> 8)
+                shorter = first[n - 1] + np.searchsorted(contexts[n - 1], own & ((1 << (8 * (n - 1))) - 1)) if n else None
+                for at in range(0, len(own), 2048):
+                    end = min(len(own), at + 2048)
+                    lo, hi = np.searchsorted(rows, [at, end])
+                    counts = np.zeros((end - at, 256))
+                    counts[rows[lo:hi] - at, keys[lo:hi] & 255] = times[lo:hi]
+                    below = p[shorter[at:end]].astype(np.float64) if n else np.full((1, 256), 1 / 256)
+                    p[first[n] + at : first[n] + end] = _escaped(counts, below)
+            self.bits[:, :, i] = -np.log2(p)
         # the state after bytes a, b, c, at a << 16 | b << 8 | c: that of the longest known suffix
-        table = np.zeros(1 << 24, dtype=np.int32)
-        for s, c in enumerate(contexts):
-            if len(c) == 1:
-                table.reshape(-1, 256)[:, c[0]] = s
-            elif len(c) == 2:
-                table.reshape(256, -1)[:, c[0] << 8 | c[1]] = s
-            elif len(c) == 3:
-                table[int.from_bytes(c, "big")] = s
-        self.state = table
-        self.bits = self.bits.reshape(len(contexts) * 256, len(self.languages))
+        self.state = np.zeros(1 << 24, dtype=np.uint16 if first[-1] < 1 << 16 else np.int32)
+        for n, own in enumerate(contexts[1:], 1):
+            self.state.reshape(-1, 1 << (8 * n))[:, own] = np.arange(first[n], first[n + 1])
+        self.bits = self.bits.reshape(-1, len(self.languages))
 
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Bits of a text under each language."""
@@ -112,12 +119,12 @@ class Model:
         padded = np.frombuffer(bytes([_START]) * 3 + data, dtype=np.uint8)
         for at in range(0, len(data), 1 << 18):
             part = padded[at : at + (1 << 18) + 3].astype(np.int32)
-            state = self.state[(part[:-3] << 16) | (part[1:-2] << 8) | part[2:-1]]
+            state = self.state[(part[:-3] << 16) | (part[1:-2] << 8) | part[2:-1]].astype(np.int32)
             total += self.bits[state * 256 + part[3:]].sum(axis=0, dtype=np.float64)
         return total
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, min_count: int = 3, train_docs: int = 400, train_bytes: int = 1_000_000, max_languages: int = 200) -> dict[str, dict[bytes, Counter]]:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, min_count: int = 3, train_docs: int = 400, train_bytes: int = 1_000_000, max_languages: int = 200) -> dict[str, Tree]:
     """The context trees of the languages in ``labelled``; rows with a null text or language are passed over.
 
     The most frequent ``max_languages`` labels are learned. Only the bounded
@@ -152,7 +159,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 _WORKER: dict[str, Model | None] = {}
 
 
-def identify(docs: DataFrame, trees: dict[str, dict[bytes, Counter]], text_col: str = "text", order: int = 3, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", order: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``bits_per_byte`` to each row.
 
     ``score`` is the language's share of 2 to the power of minus the code

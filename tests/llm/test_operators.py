@@ -207,8 +207,14 @@ def level_p(tree, context, symbol, known):
 
 def test_ppm_code_lengths():
     texts = {"a": ["abracadabra abra", "cadabra"], "b": ["the then there", "ça et là"]}
-    trees = {n: langid.context_counts(t, 3, 2) for n, t in texts.items()}
-    model = langid.Model(trees, 3)
+    model = langid.Model({n: langid.context_counts(t, 3, 2) for n, t in texts.items()}, 3)
+    trees: dict[str, dict[bytes, dict[int, int]]] = {n: {} for n in texts}
+    for n, some in texts.items():
+        for data in (b"\x20" * 3 + t.encode() for t in some):
+            for i, k in itertools.product(range(3, len(data)), range(4)):
+                seen = trees[n].setdefault(data[i - k : i], {})
+                seen[data[i]] = seen.get(data[i], 0) + 1
+        trees[n] = {c: seen for c, seen in trees[n].items() if not c or sum(seen.values()) >= 2}
     known = {n: {} for n in trees}
     for text in ("abra", "there là", "zq", "Ω"):
         data = text.encode()
