@@ -35,7 +35,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folia.llm.common import with_kernel
+from folia.llm.common import HELD, with_kernel
 from folia.llm.pretokens import WORD_LEVEL, byte_alphabet, known
 
 _NEVER = 1 << 60
@@ -44,7 +44,7 @@ _NEVER = 1 << 60
 class TokenAutomaton:
     """The compiled merges of one vocabulary; ``suffix`` marks the last symbol of a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", table_entries: int = 2_000_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "", table_entries: int = 150_000):
         self.suffix = suffix
         self.label = {i: s for s, i in vocab.items()}
         self.rank: dict[tuple[int, int], int] = {}  # the missing arc that the gadget of this merge made
@@ -201,6 +201,7 @@ class WordTokenizer:
 
 #: Of this worker process, by path: the tokenizer and two generations of encoded words.
 _WORKER: dict[str, list] = {}
+HELD[__name__] = _WORKER
 
 
 def _cached(path: str) -> list:
@@ -220,7 +221,7 @@ _DIGEST = [
 ]
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False, cache_entries: int = 250_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False, cache_entries: int = 60_000) -> DataFrame:
     """Adds ``ids`` (array of int) and ``decoded`` (text), or with ``digests`` their number and SHA-256 values.
 
     Equal to the library's encoding without added special tokens and its

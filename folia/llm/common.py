@@ -74,6 +74,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: What operators keep in this worker process between tasks, by the operator's module.
+HELD: dict[str, dict] = {}
+
+
+def release_others(module: str) -> None:
+    """Drops what other operators left in this worker process, so that a job's stages don't add up."""
+    for name, held in HELD.items():
+        if name != module:
+            held.clear()
+
+
 Kernel = Callable[[list], list[list]]
 
 
@@ -102,6 +113,7 @@ def with_kernel(
     arrow = [to_arrow_type(f.dataType) for f in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(make_kernel.__module__)
         kernel = make_kernel()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
