@@ -9,8 +9,10 @@ bound, and the others go on. When the next radius has more patterns than the
 table has codes, what remains is compared with all codes, which covers
 everything.
 
-Rows are reduced to distinct codes first, each with its k smallest ids (more
-can't be asked for), so a vector that a third of all rows share is one code.
+Rows are reduced to distinct codes first, each with its k + 1 smallest ids and
+how often each stands there (more can't be asked for), so a vector that a third
+of all rows share is one code. A query whose id stands at m codes looks for
+k + m pairs of id and code, so that k are left without its own.
 Codes are dealt to shards of bounded size and queries to blocks of bounded
 size; a task answers one block on one shard, and answers are merged by rank.
 """
@@ -61,11 +63,13 @@ def _patterns(bits: int, r: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in itertools.combinations(range(bits), r)], dtype=np.uint64)
 
 
-def search(codes: np.ndarray, sizes: np.ndarray, queries: np.ndarray, k: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(codes: np.ndarray, sizes: np.ndarray, queries: np.ndarray, k: int | np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query the nearest codes that hold k rows (all codes that tie with the last): query, code, distance.
 
-    ``codes`` are distinct; ``sizes`` says how many rows of each count, up to k.
+    ``codes`` are distinct; ``sizes`` says how many rows of each count. ``k``
+    may differ by query.
     """
+    least = np.broadcast_to(k, len(queries))
     cuts = [BITS * i // segments for i in range(segments + 1)]
     tables = []
     for a, b in itertools.pairwise(cuts):
@@ -80,7 +84,7 @@ def search(codes: np.ndarray, sizes: np.ndarray, queries: np.ndarray, k: int, se
         """Whether the codes seen so far, up to ``covered`` bits away, hold k rows; if so, reports them."""
         d = np.bitwise_count(codes[at] ^ queries[q]).astype(np.int64)
         rows = np.bincount(d, weights=sizes[at], minlength=BITS + 1).cumsum()
-        enough = int(np.searchsorted(rows, k))
+        enough = int(np.searchsorted(rows, least[q]))
         if enough > covered:
             return False
         near = d <= enough
@@ -132,40 +136,46 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
 
     Ties of distance go to the smaller id; ranks begin at 1. A query with fewer
     than k other rows gets them all. Rows with a null code or id are neither
-    found nor asked for; of repeated ids in ``queries`` one is asked. A row
-    whose id equals the query's id is the query's own. Either table may be
-    empty: no rows then.
+    found nor asked for; of repeated ids in ``queries`` one is asked. All rows
+    whose id equals the query's id are the query's own; repeated rows of another
+    id are neighbours each. Either table may be empty: no rows then.
     """
     spark = rows.sparkSession
     reach_workers(spark)
     base = rows.select(F.col(id_col).alias("id"), F.col(code_col).alias("code")).where("id is not null and code is not null")
+    entries = checkpointed(base.groupBy("id", "code").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times")))
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(code_col).alias("code")).where("query_id is not null and code is not null").dropDuplicates(["query_id"])
-    # k + 1 of each code: the query's own row may be among them. A rank limit is applied before rows are dealt out.
+    own = entries.groupBy(F.col("id").alias("query_id")).agg(F.count(F.lit(1)).alias("m"))
+    # one of k for each code that holds the query's own id: at least k pairs of other ids are among so many
+    asked = checkpointed(asked.join(own, "query_id", "left").select("query_id", "code", (k + F.coalesce("m", F.lit(1))).alias("need")))
+    # k + 1 ids of each code: the query's own may be among them. A rank limit is applied before rows are dealt out.
     first = Window.partitionBy("code").orderBy("id")
-    few = checkpointed(base.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("code", "id", "n"))
+    few = checkpointed(entries.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("code", "id", "times", "n"))
     codes = few.groupBy("code").agg(F.max("n").alias("size"))
-    n_codes, n_asked = codes.count(), asked.select("code").distinct().count()
+    questions = asked.select("code", "need").distinct()
+    n_codes, n_asked = codes.count(), questions.count()
     shards, blocks = max(1, math.ceil(n_codes / shard_codes)), max(1, math.ceil(n_asked / block_queries))
     mix = lambda n: F.pmod(F.xxhash64(F.col("code"), F.lit(11)), F.lit(n)).cast("int")
     left = codes.select("code", "size", mix(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = asked.select("code").distinct().select("code", mix(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    right = questions.select("code", "need", mix(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def answer(table, wanted):
         import pandas as pd
 
-        own, ask = table["code"].to_numpy(np.int64), wanted["code"].to_numpy(np.int64)
-        q, c, d = search(own.view(np.uint64), table["size"].to_numpy(np.int64), ask.view(np.uint64), k + 1, segments)
-        return pd.DataFrame({"qcode": ask[q], "code": own[c], "distance": d.astype(np.int32)})
+        own, ask, need = table["code"].to_numpy(np.int64), wanted["code"].to_numpy(np.int64), wanted["need"].to_numpy(np.int64)
+        q, c, d = search(own.view(np.uint64), table["size"].to_numpy(np.int64), ask.view(np.uint64), need, segments)
+        return pd.DataFrame({"qcode": ask[q], "need": need[q], "code": own[c], "distance": d.astype(np.int32)})
 
-    pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(answer, "qcode long, code long, distance int")
-    by_code = Window.partitionBy("qcode").orderBy("distance", "id")
-    near = pairs.join(few, "code").withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= k + 1).select("qcode", "id", "distance")
-    mine = Window.partitionBy("query_id").orderBy("distance", "id")
+    pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(answer, "qcode long, need long, code long, distance int")
+    by_code = Window.partitionBy("qcode", "need").orderBy("distance", "id")
+    near = pairs.join(few, "code").withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= F.col("need")).select("qcode", "need", "id", "times", "distance")
+    mine = Window.partitionBy("query_id").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         asked.withColumnRenamed("code", "qcode")
-        .join(near, "qcode")
+        .join(near, ["qcode", "need"])
         .where("id <> query_id")
-        .withColumn("rank", F.row_number().over(mine))
-        .where(F.col("rank") <= k)
+        .withColumn("before", F.sum("times").over(mine) - F.col("times"))
+        .where(F.col("before") < k)
+        .select("query_id", F.explode(F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("times"), F.lit(k)))).alias("rank"), "id", "distance")
         .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("neighbor_id"), "distance")
     )

@@ -190,6 +190,20 @@ def test_top_k_edges(spark):
     assert topk.sign_code([-1.0] * 64 + [5.0]) == 1
 
 
+@pytest.mark.parametrize("shard, block", [(65536, 4096), (3, 2)])
+def test_top_k_with_repeated_ids(spark, shard, block):
+    rnd = random.Random(3)
+    rows = [(i, rnd.getrandbits(10)) for i in range(40)]
+    rows += [(0, rows[0][1])] * 30 + [(2, rows[2][1] ^ 1 << b) for b in range(25)] + [(7, rows[0][1] ^ 1)] * 4 + [(9, rows[2][1])] * 20
+    asked = [rows[0], rows[2], rows[4], rows[9], (6, rows[2][1])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, code long"), spark.createDataFrame(asked, "vec_id long, code long"), k=7, shard_codes=shard, block_queries=block).collect()
+    wanted = []
+    for q, code in asked:
+        near = sorted(((code ^ c).bit_count(), i) for i, c in rows if i != q)[:7]
+        wanted += [(q, n, i, d) for n, (d, i) in enumerate(near, 1)]
+    same(found, wanted)
+
+
 def level_p(tree, context, symbol, known):
     """Probability of a symbol after a context: seen here, or escape times the share among symbols not seen here."""
     if (context, symbol) not in known:
