@@ -46,6 +46,7 @@ _OUT = [
 #: The columns that :func:`language_id` adds.
 OUTPUTS = ("lang_pred", "score", "bits_per_byte", "held_out")
 _LETTER = re.compile(r"[^\W\d_]")
+_DIGIT = re.compile(r"\d")
 
 
 #: For n = 0, 1, ...: runs of n + 1 bytes as numbers, sorted, and how often each stood in the texts.
@@ -124,8 +125,8 @@ class Model:
         return total
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, min_count: int = 3, train_docs: int = 400, train_bytes: int = 1_000_000, max_languages: int = 200) -> dict[str, Tree]:
-    """The context trees of the languages in ``labelled``; rows with a null text or language are passed over.
+def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400, train_bytes: int = 1_000_000, max_languages: int = 200) -> dict[str, list[str]]:
+    """The training texts of the languages in ``labelled``; rows with a null text or language are passed over.
 
     The most frequent ``max_languages`` labels are learned. Only the bounded
     sample of texts comes to the driver. Of each language's first 2 *
@@ -140,7 +141,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     keys = labelled.sparkSession.createDataFrame(picked.join(F.broadcast(often), "lang").collect(), "lang string, draw long")
     size = F.octet_length("text")
     first = Window.partitionBy("lang").orderBy("draw", "size", "text")
-    sample = (
+    fitting = (
         rows.join(F.broadcast(keys), ["lang", "draw"], "left_semi")
         .where(F.col("text").isNotNull() & (size <= train_bytes // 8))
         .withColumn("size", size)
@@ -149,16 +150,39 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     )
     within = Window.partitionBy("lang").orderBy("n")
     found: dict[str, list[str]] = {}
-    for lang, text in sample.withColumn("sum", F.sum("size").over(within)).where(F.col("sum") <= train_bytes).select("lang", "text").toLocalIterator():
+    for lang, text in fitting.withColumn("sum", F.sum("size").over(within)).where(F.col("sum") <= train_bytes).select("lang", "text").toLocalIterator():
         found.setdefault(lang, []).append(text)
-    names = sorted(found)
-    return {name: context_counts(found[name], order, min_count) for name in names}
+    return {name: found[name] for name in sorted(found)}
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, min_count: int = 3, **bounds) -> dict[str, Tree]:
+    """The context trees of the languages in ``labelled``, grown from their :func:`sample` (which ``bounds`` go to)."""
+    return {name: context_counts(texts, order, min_count) for name, texts in sample(labelled, id_col, text_col, lang_col, **bounds).items()}
+
+
+def usual_bits(texts: list[str], order: int = 3, min_count: int = 3) -> float:
+    """The median of some texts' bits a byte, each half of them under the tree of the other half; infinite for less than two texts."""
+    texts = [t for t in texts if t]
+    found: list[float] = []
+    for own, other in ((texts[::2], texts[1::2]), (texts[1::2], texts[::2])):
+        if own and other:
+            model = Model({"": context_counts(other, order, min_count)}, order)
+            data = [t.encode("utf-8", "surrogatepass") for t in own]
+            found += [float(model.code_lengths(d)[0]) / len(d) for d in data]
+    return float(np.median(found)) if found else float("inf")
 
 
 #: The model of this worker process, by the name that its broadcast was given.
 _WORKER: dict[str, Model | None] = {}
 
 
+def _worker_model(name: str, frozen, order: int) -> Model | None:
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = Model(frozen.value, order) if frozen.value else None
+    return _WORKER[name]
+
+
 def identify(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", order: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``bits_per_byte`` to each row.
 
@@ -170,10 +194,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", or
     frozen, name = docs.sparkSession.sparkContext.broadcast(trees), uuid.uuid4().hex
 
     def make():
-        if name not in _WORKER:
-            _WORKER.clear()
-            _WORKER[name] = Model(frozen.value, order) if frozen.value else None
-        model = _WORKER[name]
+        model = _worker_model(name, frozen, order)
 
         def kernel(texts):
             out: list[list] = [[], [], []]
@@ -206,4 +227,38 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("held_out", held_out(id_col)) if id_col in out.columns else out
 
 
-__all__ = ["Model", "context_counts", "held_out", "identify", "language_id", "train"]
+def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, min_count: int = 3, slack: float = 2.5, spare_bytes: int = 16, **bounds) -> DataFrame:
+    """The rows whose texts are in one of the languages learned; columns and their order stay.
+
+    Learns as :func:`language_id` does. A text of n bytes is in the language of
+    its shortest code length if that is at most ``slack`` times the language's
+    :func:`usual_bits` for each of n + ``spare_bytes`` bytes (the latter for
+    short texts, of which little can be told). Words with digits (numbers, keys)
+    are in no language and don't count unless there are no others. Null texts and texts without a
+    letter are in none; when no language was learned, all others stay.
+    """
+    texts = sample(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **bounds)
+    trees = {name: context_counts(some, order, min_count) for name, some in texts.items()}
+    most = np.array([slack * usual_bits(texts[name], order, min_count) for name in sorted(texts)])
+    frozen, name = docs.sparkSession.sparkContext.broadcast(trees), uuid.uuid4().hex
+
+    def make():
+        model = _worker_model(name, frozen, order)
+
+        def told(text: str | None) -> bool:
+            if not text or not _LETTER.search(text):
+                return False
+            if model is None:
+                return True
+            plain = " ".join(w for w in text.split(" ") if not _DIGIT.search(w)) if _DIGIT.search(text) else text
+            data = (plain if _LETTER.search(plain) else text).encode("utf-8", "surrogatepass")
+            bits = model.code_lengths(data)
+            best = int(bits.argmin())
+            return bool(bits[best] <= most[best] * (len(data) + spare_bytes))
+
+        return lambda some: [[told(t) for t in some]]
+
+    return with_kernel(docs, make, [text_col], [T.StructField("__told", T.BooleanType())]).where("__told").select(*docs.columns)
+
+
+__all__ = ["Model", "context_counts", "held_out", "identify", "in_a_language", "language_id", "sample", "train", "usual_bits"]

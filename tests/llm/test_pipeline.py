@@ -73,6 +73,21 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(kept)
 
 
+def test_language_stage_goes_by_code_lengths(spark):
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    junk = ["".join(RND.choice("bcdfgjklmpqsuvwxyz") for _ in range(300)), " ".join("".join(RND.choice("αβγδεζηθ") for _ in range(6)) for _ in range(40))]
+    clean = [(i, prose(60), "en") for i in range(40)] + [(41, "the", None), (42, "token = abcdef123456 " + prose(50), None)]
+    table = spark.createDataFrame(clean + [(100 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in stage(spark, table, "").collect()) == [r[0] for r in clean]
+
+
+def test_language_stage_without_a_language(spark):
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    data = [(1, prose(60), None), (2, "x" * 200_000, "en"), (3, None, "en"), (4, "12 !", None), (5, "qzqz", None)]
+    found = stage(spark, spark.createDataFrame(data, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 5]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
