@@ -94,7 +94,7 @@ def _discounts(level: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(i)) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def model_tables(trusted: DataFrame, text_col: str = "text", order: int = 5) -> DataFrame:
+def model_tables(trusted: DataFrame, text_col: str = "text", order: int = 7) -> DataFrame:
     """The model as (n, key, p, gamma).
 
     For n-grams of each length n, ``p`` is the probability of their last byte;
@@ -195,7 +195,7 @@ def _shards(model: DataFrame, order: int, shard_entries: int):
         yield Shard(order, chosen, *found)
 
 
-def log_likelihoods(docs: DataFrame, model: DataFrame, id_cols: list[str], text_col: str = "text", order: int = 5, shard_entries: int = 3_000_000) -> DataFrame:
+def log_likelihoods(docs: DataFrame, model: DataFrame, id_cols: list[str], text_col: str = "text", order: int = 7, shard_entries: int = 3_000_000) -> DataFrame:
     """Adds to ``id_cols`` of each row ``log_p`` (natural logarithm of the text's probability) and ``n_places`` (bytes and the end)."""
     spark = docs.sparkSession
     reach_workers(spark)
@@ -227,17 +227,17 @@ def log_likelihoods(docs: DataFrame, model: DataFrame, id_cols: list[str], text_
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(id_cols)], "log_p", "n_places")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, quantile: float = 0.9, slack: float = 1.2, calibration: int = 5, broadcast_rows: int = 2_000_000, shard_entries: int = 3_000_000) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 7, quantile: float = 0.98, calibration: int = 5, broadcast_rows: int = 2_000_000, shard_entries: int = 3_000_000) -> DataFrame:
     """Each row with its perplexity, its language's threshold and whether it is kept.
 
     ``trusted``: ids of trusted documents in ``id_col``; one in ``calibration``
     (by a hash of the id) is held out of the counts. Columns: id, ``lang``,
-    ``perplexity`` (a place), ``threshold`` and ``keep``. ``threshold`` is
-    ``slack`` times the ``quantile`` of the language's held-out perplexities; a
-    language without any, null included, takes that of all of them, and without
-    trusted text all documents are kept and thresholds are null. Null texts
-    count as empty (one place: the end). Ids may be null or repeated: a row is
-    trusted if its id is. No documents, no rows.
+    ``perplexity`` (a place), ``threshold`` and ``keep``. ``threshold`` is the
+    ``quantile`` of the language's held-out perplexities; a language without
+    any, null included, takes that of all of them, and without trusted text all
+    documents are kept and thresholds are null. Null texts count as empty (one
+    place: the end). Ids may be null or repeated: a row is trusted if its id is.
+    No documents, no rows.
     """
     ids = trusted.select(F.col(id_col).alias("__trusted")).where("__trusted is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
@@ -247,7 +247,7 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
     model = written(model_tables(marked.where("trusted and not held"), "text", order), "kneser-ney")
     scores = written(log_likelihoods(marked, model, ["id", "lang", "held"], "text", order, shard_entries).withColumn("perplexity", F.exp(-F.col("log_p") / F.col("n_places"))), "perplexities")
     marks = scores.where("held")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack
+    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = marks.groupBy("lang").agg(at.alias("own")).where("lang is not null")
     overall = marks.agg(at.alias("overall"))
     joined = scores.join(F.broadcast(overall)).join(by_lang.withColumnRenamed("lang", "__lang"), F.col("lang") == F.col("__lang"), "left")

@@ -459,6 +459,18 @@ def test_quality(spark, shard):
     assert by_id[102]["threshold"] is not None
 
 
+def test_quality_by_default(spark):
+    texts = [(i, prose(30), "en") for i in range(80)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    held = {r[0] for r in table.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).collect()}
+    found = {r["doc_id"]: r for r in quality.quality(table, table.select("doc_id")).collect()}
+    counted = [t for i, t, _ in texts if i not in held]
+    for i in sorted(held)[:2]:  # whole words of six bytes are within an n-gram
+        assert found[i]["perplexity"] == pytest.approx(math.exp(-quality.sequence_log_p(texts[i][1], 7, counted) / (len(texts[i][1].encode()) + 1)), abs=1e-3)
+    # the threshold is one of the held-out perplexities themselves
+    assert found[0]["threshold"] in {found[i]["perplexity"] for i in held}
+
+
 def test_quality_without_trusted_text(spark, empty):
     table = spark.createDataFrame([(1, "abc", "en"), (2, None, None)], "doc_id long, text string, lang string")
     ids = spark.createDataFrame([], "doc_id long")
