@@ -8,8 +8,9 @@ A template is license wording with markup: ``<<beginOptional>>`` to
 arcs for words, arcs for any word, and empty arcs around optional parts. A text
 is accepted where the automaton finishes, so all mandatory wording must stand
 there exactly, word for word, whatever the case, the punctuation and the line
-breaks. The search starts only where one of the words that may come first
-stands.
+breaks. A template is tried only on texts with all the words that every
+acceptance needs, and the search starts only where one of the words that may
+come first stands.
 
 Words are runs of letters and digits (any character outside ASCII counts as a
 letter), with ``A-Z`` in lower case.
@@ -90,6 +91,8 @@ class Automaton:
         self.final = self._compile(markup)
         self.closed = [self._closure({s}) for s in range(len(self.arcs))]
         self.first = {w for s in self.closed[0] for w, _ in self.arcs[s]}
+        #: With a space around each, the words without which nothing is accepted.
+        self.needed = [b" " + w + b" " for w in sorted({w for arcs in self.arcs for w, _ in arcs if w is not None}) if not self._reaches_end_without(w)]
         if None in self.first or self.final in self.closed[0]:
             raise ValueError(f"template {label}: it must begin with words of its own")
 
@@ -149,6 +152,14 @@ class Automaton:
                     todo.append(s)
         return frozenset(states)
 
+    def _reaches_end_without(self, word: bytes) -> bool:
+        seen, todo = set(self.closed[0]), list(self.closed[0])
+        while todo:
+            new = {n for w, s in self.arcs[todo.pop()] if w != word for n in self.closed[s]} - seen
+            seen |= new
+            todo.extend(new)
+        return self.final in seen
+
     def match(self, found: list[bytes], at: int) -> int | None:
         """Where the longest acceptance that begins at word ``at`` ends, or None."""
         now, end = self.closed[0], None
@@ -182,11 +193,12 @@ def scan(text: str | None, automata: list[Automaton]) -> tuple[int, list[tuple[s
     line = b" " + b" ".join(found) + b" "
     base = [(label, at) for phrase, label in PHRASES for at in phrase_places(found, line, phrase.encode())]
     accepted = []
-    if b" license " in line or b" permission is hereby " in line or b" redistribution and use " in line or b" by nc " in line or b" noncommercial " in line:
-        spots: dict[bytes, list[Automaton]] = {}
-        for a in automata:
+    spots: dict[bytes, list[Automaton]] = {}
+    for a in automata:
+        if all(w in line for w in a.needed):
             for w in a.first:
                 spots.setdefault(w, []).append(a)
+    if spots:
         for at, w in enumerate(found):
             for a in spots.get(w, ()):
                 end = a.match(found, at)

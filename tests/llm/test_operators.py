@@ -376,6 +376,27 @@ def test_license_templates():
         licenses.Automaton("bad", "a <<beginOptional>> b")
 
 
+def wordings(markup):
+    """A template's original with each alternative of each variable in turn, and without its optional parts."""
+    whole = re.sub(r"<<(begin|end)Optional>>", " ", markup)
+    variables = list(re.finditer(r'<<var;.*?original="(.*?)";match="([^"]*)">>', whole, re.S))
+    for plain in (whole, re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", re.sub(r"<<beginOptional>>[^<]*<<endOptional>>", " ", markup), flags=re.S)):
+        for v in variables:
+            for choice in [v[1]] if v[2].startswith(".{") else v[2].split("|"):
+                yield re.sub(r'<<var;.*?original="(.*?)";match="[^"]*">>', r"\1", plain.replace(v[0], choice), flags=re.S)
+
+
+def test_every_license_wording_through_scan(spark):
+    automata = [licenses.Automaton(*t) for t in licenses.TEMPLATES]
+    for label, markup in licenses.TEMPLATES:
+        for text in wordings(markup):
+            assert label in {x for x, _, _ in licenses.scan(f"so. {text}, ok", automata)[2]}, (label, text)
+    assert licenses.scan("Licensed under Creative Commons Attribution Non-Commercial 4.0", automata)[2] == [("cc-by-nc-notice", 0, 7)]
+    table = spark.createDataFrame([(1, "all rights are waived"), (2, "all rights are")], "doc_id long, text string")
+    found = licenses.license_scan(table, templates=(("waiver", "all rights <<beginOptional>>are<<endOptional>> waived"),)).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {1: ("waiver", 1.0), 2: ("", 0.0)}
+
+
 def luhn(text):
     digits = [int(c) for c in text if c.isdigit()][::-1]
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
