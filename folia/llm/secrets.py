@@ -7,8 +7,10 @@ window slides over the stretches of each class. The window's entropy is kept
 as counts: a step adds one character and removes one, and the sum of
 n * log2(n) changes by two terms. Windows whose entropy reaches the class's
 threshold, and that mix letters with digits, are merged to spans. Candidates on
-the allow-list (well-known examples, placeholders, identifiers that are no
-secrets) are suppressed.
+the allow-list (identifiers that are no secrets) are suppressed. Words of
+well-known examples and placeholders suppress only the part between ``/``,
+``=`` and ``_`` that they stand in, and none of more than 64 characters (the
+Base64 alphabet's), which may hold them by chance.
 
 Spans are half-open and count code points.
 """
@@ -38,9 +40,12 @@ CLASSES = (
 )
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
-#: Candidates that match one of these are no secrets.
+#: Parts of candidates, of up to so many characters, that hold one of these words are no secrets.
+PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|redacted|xxxx|0123456789|abcdefghij")
+PART, PART_LENGTH = re.compile(r"[^/=_]+"), 64
+
+#: Candidates that match one of these as a whole are no secrets.
 ALLOWED = (
-    re.compile(r"(?i)example|sample|dummy|changeme|placeholder|redacted|xxxx|0123456789|abcdefghij"),
     re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
     re.compile(r"^[0-9]+(?:[-_/][0-9]+)*$"),
     re.compile(r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*$"),
@@ -81,16 +86,28 @@ def entropy_windows(run: str, window: int, least: float) -> list[tuple[int, int]
     return out
 
 
+def searched(candidate: str) -> list[tuple[int, str]]:
+    """What is left of a candidate without the parts that hold placeholders: pieces with their starts."""
+    out, at = [], 0
+    if PLACEHOLDER.search(candidate):
+        for part in PART.finditer(candidate):
+            if len(part[0]) <= PART_LENGTH and PLACEHOLDER.search(part[0]):
+                out.append((at, candidate[at : part.start()]))
+                at = part.end()
+    return [*out, (at, candidate[at:])]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Spans of high entropy of all classes, overlapping ones merged, by their start."""
     found: list[tuple[int, int]] = []
     for candidate in CANDIDATE.finditer(text):
         if any(rule.search(candidate[0]) for rule in ALLOWED):
             continue
-        for _, chars, window, least in CLASSES:
-            for run in chars.finditer(candidate[0]):
-                base = candidate.start() + run.start()
-                found.extend((base + a, base + b) for a, b in entropy_windows(run[0], window, least))
+        for at, piece in searched(candidate[0]):
+            for _, chars, window, least in CLASSES:
+                for run in chars.finditer(piece):
+                    base = candidate.start() + at + run.start()
+                    found.extend((base + a, base + b) for a, b in entropy_windows(run[0], window, least))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a < merged[-1][1]:

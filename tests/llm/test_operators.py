@@ -302,6 +302,19 @@ def test_entropy_finds_and_suppresses():
     assert secrets.redact(f"a {key} b") == "a [SECRET] b" and secrets.redact(None) is None and secrets.redact("plain") == "plain"
 
 
+def test_placeholders_suppress_only_their_part():
+    key = "q7Zp0XvL2mKc9RtB4nYw8HsD"
+    for before in ("https://api.host.com/samples/", "key_for_example=", "sample_"):
+        text = f"{before}{key} end"
+        covered = {i for _, a, b in secrets.scan(text) for i in range(a, b)}
+        assert covered >= set(range(len(before), len(before) + len(key))) and key not in secrets.redact(text)
+    run = "".join(RND.choice("ABCDEFGHJKLMNPQRSTUVWYZabcdefghkmnpqrstuvwyz123456789") for _ in range(300))
+    text = run[:150] + "xXxX" + run[150:]
+    assert secrets.redact(text) == "[SECRET]"
+    for known in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", f"{key}-example"):
+        assert secrets.scan(known) == []
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
