@@ -63,10 +63,14 @@ class TokenAutomaton:
             self.made[w] = (u, v, k)
             self.rank[u, v] = k
         self.arcs = {s: i for s, i in vocab.items() if i not in dead}
-        self.reach: dict[str, int] = {}  # the longest label that begins with these three characters
-        for s in self.arcs:
-            body = s.removesuffix(suffix) if suffix else s
-            self.reach[body[:3]] = max(self.reach.get(body[:3], 0), len(body))
+        #: The labels without end marks, and for four characters the lengths, longest first, of the labels of four or more that begin so.
+        self._bodies = {s.removesuffix(suffix) if suffix else s for s in self.arcs}
+        begun: dict[str, set[int]] = {}
+        for s in self._bodies:
+            if len(s) >= 4:
+                begun.setdefault(s[:4], set()).add(len(s))
+        self._begun = {k: tuple(sorted(v, reverse=True)) for k, v in begun.items()}
+        self._lengths: dict[str, tuple[int, ...]] = {}
 
     def _arc(self, state: int, token: int) -> bool:
         """Whether the state that ``state``'s arcs lead to has an arc for ``token``.
@@ -104,38 +108,51 @@ class TokenAutomaton:
             got = self._table[key] = self._arc(state, token)
         return got
 
+    def lengths(self, ahead: str) -> tuple[int, ...]:
+        """The lengths, longest first, of the labels that may stand before ``ahead``, a word's next four characters."""
+        got = self._lengths.get(ahead)
+        if got is None:
+            if len(self._lengths) >= self._table_entries:
+                self._lengths.clear()
+            got = self._lengths[ahead] = self._begun.get(ahead, ()) + tuple(n for n in (3, 2, 1) if n <= len(ahead) and ahead[:n] in self._bodies)
+        return got
+
     def encode(self, word: str) -> list[int]:
         """The ids of a word given in the vocabulary's own characters, without its end mark."""
-        n, arcs, table, reach = len(word), self.arcs, self._table, self.reach
+        n, arcs, table, known = len(word), self.arcs, self._table, self._lengths
         path: list[int] = []
-        starts: list[int] = []
+        before: list[tuple] = []  # for each label of the path its start and the lengths that weren't tried
         failed = bytearray(n + 1)
-        at, stop, last = 0, -1, -1
+        at, last = 0, -1
+        left = iter(known.get(word[:4]) or self.lengths(word[:4]))
         while at < n:
-            if stop < 0:
-                stop = min(n, at + max(2, reach.get(word[at : at + 3], 0)))
             token = None
-            while stop > at:
-                if not failed[stop]:
-                    token = arcs.get(word[at:stop] if stop < n else word[at:] + self.suffix)
-                    if token is not None:
-                        if last < 0:
-                            break
-                        may = table.get((last, token))
-                        if may or may is None and self.follows(last, token):
-                            break
-                stop -= 1
-            if stop > at:
+            for size in left:
+                stop = at + size
+                if stop > n or failed[stop]:
+                    continue
+                token = arcs.get(word[at:stop] if stop < n else word[at:] + self.suffix)
+                if token is not None:
+                    if last < 0:
+                        break
+                    may = table.get((last, token))
+                    if may or may is None and self.follows(last, token):
+                        break
+                    token = None
+            if token is not None:
                 path.append(token)
-                starts.append(at)
-                at, stop, last = stop, -1, token
+                before.append((at, left))
+                at, last = stop, token
+                if at < n:
+                    ahead = word[at : at + 4]
+                    left = iter(known.get(ahead) or self.lengths(ahead))
             else:
                 failed[at] = 1
                 if not path:
                     raise ValueError(f"no path for {word!r}")
                 path.pop()
+                at, left = before.pop()
                 last = path[-1] if path else -1
-                stop, at = at - 1, starts.pop()
         return path
 
 
@@ -199,14 +216,14 @@ class WordTokenizer:
         return " ".join([self.labels[i] for i in ids])
 
 
-#: Of this worker process, by path: the tokenizer and two generations of encoded words.
+#: Of this worker process, by path: the tokenizer, two generations of encoded words, and the younger one's bytes.
 _WORKER: dict[str, list] = {}
 HELD[__name__] = _WORKER
 
 
 def _cached(path: str) -> list:
     if path not in _WORKER:
-        _WORKER[path] = [WordTokenizer(path), {}, {}]
+        _WORKER[path] = [WordTokenizer(path), {}, {}, 0]
     return _WORKER[path]
 
 
@@ -221,13 +238,15 @@ _DIGEST = [
 ]
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False, cache_entries: int = 60_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False, cache_bytes: int = 80_000_000) -> DataFrame:
     """Adds ``ids`` (array of int) and ``decoded`` (text), or with ``digests`` their number and SHA-256 values.
 
     Equal to the library's encoding without added special tokens and its
     decoding with special tokens kept. Null counts as the empty text: no ids,
     empty decoded text. ``ids_sha256`` is over the decimal ids joined by one
-    space. Rows stay as they are, repeated ones too; no rows give no rows.
+    space. Rows stay as they are, repeated ones too; no rows give no rows; a
+    column with an output's name gives way. Workers keep words that they have
+    encoded, up to about twice ``cache_bytes``.
     """
 
     def make():
@@ -240,17 +259,17 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
             if got is None:
                 ids = [word] if isinstance(word, int) else tokenizer.word(word)
                 got = (len(ids), " ".join(map(str, ids)), tokenizer.decode(ids))
-            if len(state[1]) >= cache_entries:  # the young generation becomes the old one
-                state[2], state[1] = state[1], {}
+            if state[3] >= cache_bytes:  # the young generation becomes the old one
+                state[2], state[1], state[3] = state[1], {}, 0
             state[1][word] = got
+            state[3] += 350 + (len(word) if isinstance(word, str) else 0) + len(got[1]) + len(got[2])
             return got
 
         def kernel(texts):
             columns: list[list] = [[], [], []]
             for text in texts:
                 words = tokenizer.words(text) if text else []
-                young = state[1]
-                got = [young.get(w) or entry(w) for w in words]
+                got = [state[1].get(w) or entry(w) for w in words]
                 counts, ids, labels = zip(*got, strict=True) if got else ((), (), ())
                 joined, decoded = " ".join(ids), " ".join(labels)
                 if digests:

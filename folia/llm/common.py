@@ -8,12 +8,14 @@ columns of the table pass by untouched.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from folia.workers import reach_workers
@@ -25,10 +27,13 @@ _local_scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; one of our own only if that is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; where that is unset, one of our own, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = "file://" + tempfile.mkdtemp(prefix="folia-")
@@ -44,10 +49,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
+def written_with(df: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, list]:
+    """:func:`written`, and aggregates of the rows that are taken on the way."""
+    seen = Observation()
+    out = written(df.observe(seen, *[m.alias(f"m{i}") for i, m in enumerate(measures)]), label)
+    got = seen.get
+    return out, [got[f"m{i}"] for i in range(len(measures))]
+
+
+def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a table of :func:`written` that nothing will read again."""
     for name in df.inputFiles()[:1]:
-        _delete(spark, name.rpartition("/")[0])
+        _delete(df.sparkSession, name.rpartition("/")[0])
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -79,10 +92,14 @@ HELD: dict[str, dict] = {}
 
 
 def release_others(module: str) -> None:
-    """Drops what other operators left in this worker process, so that a job's stages don't add up."""
-    for name, held in HELD.items():
-        if name != module:
-            held.clear()
+    """Drops what other operators left in this worker process, and gives the memory back, so that a job's stages don't add up."""
+    left = [held for name, held in HELD.items() if name != module and held]
+    for held in left:
+        held.clear()
+    if left:
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 Kernel = Callable[[list], list[list]]

@@ -15,9 +15,9 @@ context that any of them knows, with the code lengths of all 256 bytes under
 every language, so that a text is scored by table lookups over arrays.
 
 Training is on a bounded sample: of each language at most ``train_docs`` texts
-of at most ``train_bytes`` bytes in sum (whole texts of up to an eighth of
-that, those with the smallest hashes of their ids). Contexts seen fewer than ``min_count`` times in a
-language are left out of its tree.
+of at most ``train_bytes`` bytes in sum (see :func:`sample`). Contexts seen
+fewer than ``min_count`` times in a language are left out of its tree. In a
+worker the model takes some 20 MB for each language.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folia.llm.common import with_kernel
+from folia.llm.common import HELD, with_kernel
 
 UNDETERMINED = "und"
 
@@ -45,10 +45,15 @@ _OUT = [
 ]
 #: The columns that :func:`language_id` adds.
 OUTPUTS = ("lang_pred", "score", "bits_per_byte", "held_out")
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _DIGIT = re.compile(r"\d")
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter by its Unicode category; numerals such as \u2167 or \u00bd are none."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
+
+
 #: For n = 0, 1, ...: runs of n + 1 bytes as numbers, sorted, and how often each stood in the texts.
 Tree = list[tuple[np.ndarray, np.ndarray]]
 
@@ -125,33 +130,50 @@ class Model:
         return total
 
 
-def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400, train_bytes: int = 1_000_000, max_languages: int = 200) -> dict[str, list[str]]:
+class Models:
+    """Models of a few languages each, side by side, so that tables grow in proportion to the languages."""
+
+    def __init__(self, trees: dict[str, Tree], order: int = 3, together: int = 4):
+        self.languages = sorted(trees)
+        self.parts = [Model({name: trees[name] for name in self.languages[i : i + together]}, order) for i in range(0, len(trees), together)]
+
+    def code_lengths(self, data: bytes) -> np.ndarray:
+        """Bits of a text under each language."""
+        return np.concatenate([m.code_lengths(data) for m in self.parts])
+
+
+def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 400, train_bytes: int = 1_000_000, all_bytes: int = 64_000_000) -> dict[str, list[str]]:
     """The training texts of the languages in ``labelled``; rows with a null text or language are passed over.
 
-    The most frequent ``max_languages`` labels are learned. Only the bounded
-    sample of texts comes to the driver. Of each language's first 2 *
-    ``train_docs`` ids those with a text of fitting size are used.
+    Of each language the texts with the smallest hashes of their ids, one to an
+    id (of different texts of one id the shortest): at most ``train_docs``
+    texts of at most ``train_bytes`` bytes in sum, none longer than an eighth of
+    that; with so many languages that they would have more than ``all_bytes``
+    together, each has its share of those. A language without a text that fits
+    is learned from its shortest one. Only these texts come to the driver.
+
+    Rows are drawn by a threshold on the hash that lets through a few times
+    the sample for each language, so what is dealt out by language is bounded.
     """
     draw = F.xxhash64(F.col(id_col).cast("string"), F.lit(5))
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
-    # ids first, which reads no text and gathers twice the sample's number of rows for each language; then their texts
-    by_draw = Window.partitionBy("lang").orderBy("draw")
-    picked = rows.select("lang", "draw").withColumn("n", F.row_number().over(by_draw)).where(F.col("n") <= 2 * train_docs).select("lang", "draw").distinct()
-    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    keys = labelled.sparkSession.createDataFrame(picked.join(F.broadcast(often), "lang").collect(), "lang string, draw long")
+    often = {lang: n for lang, n in rows.groupBy("lang").agg(F.approx_count_distinct("draw")).collect()}
+    if not often:
+        return {}
+    train_bytes = min(train_bytes, all_bytes // len(often))
+    share = {lang: min(1.0, 4 * train_docs / max(1, n)) for lang, n in often.items()}
+    up_to = labelled.sparkSession.createDataFrame([(lang, int(-(1 << 63) + p * ((1 << 64) - 1)) if p < 1 else (1 << 63) - 1) for lang, p in share.items()], "lang string, up_to long")
     size = F.octet_length("text")
-    first = Window.partitionBy("lang").orderBy("draw", "size", "text")
-    fitting = (
-        rows.join(F.broadcast(keys), ["lang", "draw"], "left_semi")
-        .where(F.col("text").isNotNull() & (size <= train_bytes // 8))
-        .withColumn("size", size)
-        .withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= train_docs)
-    )
-    within = Window.partitionBy("lang").orderBy("n")
+    drawn = rows.join(F.broadcast(up_to), "lang").where((F.col("draw") <= F.col("up_to")) & F.col("text").isNotNull() & (size <= train_bytes // 8))
+    one = drawn.groupBy("lang", "draw").agg(F.min(F.struct(size.alias("size"), "text")).alias("t")).select("lang", "draw", "t.size", "t.text")
+    by_draw = Window.partitionBy("lang").orderBy("draw")
+    picked = one.withColumns({"n": F.row_number().over(by_draw), "sum": F.sum("size").over(by_draw)}).where((F.col("n") <= train_docs) & (F.col("sum") <= train_bytes))
     found: dict[str, list[str]] = {}
-    for lang, text in fitting.withColumn("sum", F.sum("size").over(within)).where(F.col("sum") <= train_bytes).select("lang", "text").toLocalIterator():
+    for lang, text in picked.orderBy("lang", "n").select("lang", "text").toLocalIterator():
         found.setdefault(lang, []).append(text)
+    if missing := sorted(set(often) - set(found)):
+        shortest = rows.where(F.col("lang").isin(missing) & F.col("text").isNotNull()).groupBy("lang").agg(F.min(F.struct(size.alias("size"), "text")).alias("t"))
+        found |= {lang: [text] for lang, text in shortest.select("lang", "t.text").collect()}
     return {name: found[name] for name in sorted(found)}
 
 
@@ -173,13 +195,14 @@ def usual_bits(texts: list[str], order: int = 3, min_count: int = 3) -> float:
 
 
 #: The model of this worker process, by the name that its broadcast was given.
-_WORKER: dict[str, Model | None] = {}
+_WORKER: dict[str, Models | None] = {}
+HELD[__name__] = _WORKER
 
 
-def _worker_model(name: str, frozen, order: int) -> Model | None:
+def _worker_model(name: str, frozen, order: int) -> Models | None:
     if name not in _WORKER:
         _WORKER.clear()
-        _WORKER[name] = Model(frozen.value, order) if frozen.value else None
+        _WORKER[name] = Models(frozen.value, order) if frozen.value else None
     return _WORKER[name]
 
 
@@ -199,7 +222,7 @@ def identify(docs: DataFrame, trees: dict[str, Tree], text_col: str = "text", or
         def kernel(texts):
             out: list[list] = [[], [], []]
             for text in texts:
-                if model is None or not text or not _LETTER.search(text):
+                if model is None or not text or not has_letter(text):
                     row = (UNDETERMINED, 0.0, None)
                 else:
                     data = text.encode("utf-8", "surrogatepass")
@@ -221,7 +244,13 @@ def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, **settings) -> DataFrame:
-    """Learns from the rows that are not :func:`held_out` and identifies all of them."""
+    """Learns from the rows that are not :func:`held_out` and identifies all of them.
+
+    Adds ``lang_pred``, ``score``, ``bits_per_byte`` and ``held_out`` (if the id
+    is kept) to the columns of ``keep`` (default: all); columns with these names
+    give way. Nulls, ties and repeated rows: see :func:`identify`. An empty
+    table gives no rows.
+    """
     trees = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **settings)
     out = identify(docs, trees, text_col, settings.get("order", 3), keep)
     return out.withColumn("held_out", held_out(id_col)) if id_col in out.columns else out
@@ -246,12 +275,12 @@ def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         model = _worker_model(name, frozen, order)
 
         def told(text: str | None) -> bool:
-            if not text or not _LETTER.search(text):
+            if not text or not has_letter(text):
                 return False
             if model is None:
                 return True
             plain = " ".join(w for w in text.split(" ") if not _DIGIT.search(w)) if _DIGIT.search(text) else text
-            data = (plain if _LETTER.search(plain) else text).encode("utf-8", "surrogatepass")
+            data = (plain if has_letter(plain) else text).encode("utf-8", "surrogatepass")
             bits = model.code_lengths(data)
             best = int(bits.argmin())
             return bool(bits[best] <= most[best] * (len(data) + spare_bytes))
@@ -261,4 +290,4 @@ def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return with_kernel(docs, make, [text_col], [T.StructField("__told", T.BooleanType())]).where("__told").select(*docs.columns)
 
 
-__all__ = ["Model", "context_counts", "held_out", "identify", "in_a_language", "language_id", "sample", "train", "usual_bits"]
+__all__ = ["Model", "Models", "context_counts", "has_letter", "held_out", "identify", "in_a_language", "language_id", "sample", "train", "usual_bits"]

@@ -50,7 +50,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_digests(_table(spark, sf_dir, "documents")).drop("max_score")
+    return pii.pii_digests(_table(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

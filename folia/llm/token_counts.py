@@ -6,7 +6,7 @@ ones of general text, each with its number of tokens. It has at most one
 entry for each entry of the vocabulary, whatever the corpus. Tier two is a
 cache in each Python worker, which outlives the task: pre-tokens that tier one
 lacks are encoded by the library, all misses of a batch in one call, and kept
-up to ``cache_entries``. A full cache is dropped and fills anew; that costs
+up to ``cache_bytes``. A full cache is dropped and fills anew; that costs
 time, never a count.
 """
 
@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folia.llm.common import with_kernel
+from folia.llm.common import HELD, with_kernel
 
 _OUT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
@@ -74,11 +74,12 @@ def frequent_lengths(path: str) -> dict[str, int]:
     return dict(zip(found, _lengths(tokenizer, found), strict=True))
 
 
-#: Of this worker process, by tokenizer path: library, special strings, both tiers in one table, size of tier one.
+#: Of this worker process, by tokenizer path: library, special strings, both tiers in one table, bytes of the second.
 _WORKER: dict[str, tuple] = {}
+HELD[__name__] = _WORKER
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024, keep: list[str] | None = None, cache_entries: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024, keep: list[str] | None = None, cache_bytes: int = 48_000_000) -> DataFrame:
     """Adds ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (``n_tokens > limit``) to each row.
 
     Counts are those of the library for the file: no begin, end or other added
@@ -93,8 +94,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     def make():
         if tokenizer_path not in _WORKER:
             tokenizer, special = _load(tokenizer_path)
-            _WORKER[tokenizer_path] = (tokenizer, re.compile("|".join(map(re.escape, special)) or "(?!)"), dict(first.value))
-        tokenizer, special, table = _WORKER[tokenizer_path]
+            _WORKER[tokenizer_path] = (tokenizer, re.compile("|".join(map(re.escape, special)) or "(?!)"), dict(first.value), [0])
+        tokenizer, special, table, held = _WORKER[tokenizer_path]
 
         def whole(texts: list[str]) -> list[int]:
             if tokenizer_path.endswith(".model"):
@@ -120,11 +121,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
                     parts.extend((i, BYTE_LEVEL.findall(p)) for p in special.split(t))
                 else:
                     parts.append((i, BYTE_LEVEL.findall(t)))
-            if len(table) > len(first.value) + cache_entries:
+            if held[0] > cache_bytes:
                 table.clear()
                 table.update(first.value)
+                held[0] = 0
             missing = list(set().union(*(p for _, p in parts)).difference(table))
             table.update(zip(missing, _lengths(tokenizer, missing), strict=True))
+            held[0] += sum(map(len, missing)) + 110 * len(missing)
             for i, p in parts:
                 counts[i] += sum(map(table.__getitem__, p))
             return [sizes, counts, [n > limit for n in counts]]

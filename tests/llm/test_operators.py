@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import itertools
 import math
@@ -131,7 +132,7 @@ def test_token_counts(docs, empty):
     path = vocabulary("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     size = lambda t: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids))
-    found = token_counts.token_counts(docs, path, keep=["doc_id"], cache_entries=50).collect()
+    found = token_counts.token_counts(docs, path, keep=["doc_id"], cache_bytes=5_000).collect()
     same(found, [(r[0], *size(r[1]), size(r[1])[1] > 1024) for r in ROWS])
     assert token_counts.token_counts(empty, path).count() == 0
 
@@ -321,7 +322,7 @@ def test_bpe(docs, empty):
     path = vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     ids = lambda t: library.encode(t or "", add_special_tokens=False).ids
-    found = bpe.bpe_encode(docs, path, keep=["doc_id"], cache_entries=20)
+    found = bpe.bpe_encode(docs, path, keep=["doc_id"], cache_bytes=8_000)
     same([(r["doc_id"], r["ids"], r["decoded"]) for r in found.collect()], [(r[0], ids(r[1]), library.decode(ids(r[1]), skip_special_tokens=False)) for r in ROWS])
     digests = bpe.bpe_encode(docs, path, keep=["doc_id"], digests=True).collect()
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -476,16 +477,47 @@ def test_contamination(spark, docs, empty, block):
     assert decontaminate.contamination(empty, bench).count() == 0
 
 
-@pytest.mark.parametrize("shard", [3_000_000, 400])
-def test_quality(spark, shard):
+def plain_log_p(text, order, trusted):
+    """Interpolated modified Kneser-Ney as it is defined, over the bytes of one text."""
+    padded = lambda t: bytes([2]) * (order - 1) + t.encode() + bytes([3])
+    runs = lambda d: [d[i - order + 1 : i + 1] for i in range(order - 1, len(d))]
+    seen = {order: collections.Counter(g for t in trusted for g in runs(padded(t)))}
+    for n in range(order - 1, 0, -1):
+        seen[n] = collections.Counter(g[1:] for g in seen[n + 1])
+    discount = {}
+    for n, table in seen.items():
+        n1, n2, n3, n4 = (sum(c == i for c in table.values()) for i in (1, 2, 3, 4))
+        share = n1 / (n1 + 2 * n2) if n1 and n2 and n3 and n4 else None
+        clipped = lambda i, a, b: min(max(i - (i + 1) * share * b / a, 0), i)  # noqa: E731, B023
+        discount[n] = [0, clipped(1, n1, n2), clipped(2, n2, n3), clipped(3, n3, n4)] if share is not None else [0, 0.5, 0.5, 0.5]
+    followers = {n: collections.defaultdict(list) for n in seen}
+    for n, table in seen.items():
+        for g, c in table.items():
+            followers[n][g[:-1]].append(c)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        n, after = len(g), followers[len(g)].get(g[:-1])
+        if after is None:
+            return p(g[1:])
+        c, d = seen[n][g], discount[n]
+        return (c - d[min(c, 3)] + sum(d[min(x, 3)] for x in after) * p(g[1:])) / sum(after)
+
+    return sum(math.log(p(g)) for g in runs(padded(text)))
+
+
+#: All n-grams broadcast; none, all orders but the longest held; none, and joins down to the first order, over many shards and chunks.
+@pytest.mark.parametrize(("frequent", "low", "shard", "chunk"), [(1_000_000, 1_000_000, 64_000_000, 4_000_000), (0, 3_000, 64_000_000, 4_000_000), (40, 0, 900, 500)])
+def test_quality(spark, frequent, low, shard, chunk):
     trusted = [(i, prose(30), "en" if i % 4 else None) for i in range(60)]
     others = [(100, "!!! " * 50, "en"), (101, None, "en"), (102, "", "fr"), (103, prose(30), "fr"), (None, prose(30), None), (103, prose(2), "fr")]
     table = spark.createDataFrame(trusted + others, "doc_id long, text string, lang string").withColumn("keep", F.lit(1))
     ids = spark.createDataFrame([(i,) for i in range(60)] + [(None,), (5,)], "doc_id long")
     held = {r[0] for r in table.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).collect()}
     counted = [t for i, t, _ in trusted if i not in held]
-    found = quality.quality(table, ids, order=4, shard_entries=shard).collect()
-    value = lambda t: math.exp(-quality.sequence_log_p(t or "", 4, counted) / (len((t or "").encode()) + 1))
+    found = quality.quality(table, ids, order=4, frequent=frequent, low_entries=low, shard_bytes=shard, chunk_bytes=chunk).collect()
+    value = lambda t: math.exp(-plain_log_p(t or "", 4, counted) / (len((t or "").encode()) + 1))
     assert sorted(round(r["perplexity"], 4) for r in found) == pytest.approx(sorted(value(t) for _, t, _ in trusted + others), abs=1e-3)
     by_id = {r["doc_id"]: r for r in found}
     assert by_id[100]["keep"] is False and by_id[100]["perplexity"] > 3 * by_id[100]["threshold"]
@@ -499,8 +531,8 @@ def test_quality_by_default(spark):
     held = {r[0] for r in table.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).collect()}
     found = {r["doc_id"]: r for r in quality.quality(table, table.select("doc_id")).collect()}
     counted = [t for i, t, _ in texts if i not in held]
-    for i in sorted(held)[:2]:  # whole words of six bytes are within an n-gram
-        assert found[i]["perplexity"] == pytest.approx(math.exp(-quality.sequence_log_p(texts[i][1], 7, counted) / (len(texts[i][1].encode()) + 1)), abs=1e-3)
+    for i in sorted(held)[:2]:  # at the default order
+        assert found[i]["perplexity"] == pytest.approx(math.exp(-plain_log_p(texts[i][1], 6, counted) / (len(texts[i][1].encode()) + 1)), abs=1e-3)
     # the threshold is one of the held-out perplexities themselves
     assert found[0]["threshold"] in {found[i]["perplexity"] for i in held}
 
