@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folia.functions.lists import rank_of
-from folia.operators.tree import by_document, depth, has_ancestor, next_at_or_above, parent
+from folia.operators.tree import Related, by_document, depth
 from folia.vocabulary import ALL_TYPES, CONTAINER_TYPES, CONTENTLESS_TYPES, ENCODINGS, KINDS
 
 
@@ -34,29 +34,21 @@ def validate(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*doc_cols)
     level = F.col("level")
-    value_root = F.coalesce(F.col("kind") == "value", F.lit(False)) & ~has_ancestor(doc_cols, lambda e: e["kind"] == "value")
-    inline_ok = has_ancestor(doc_cols, lambda e: F.coalesce(e["kind"], F.lit("")) != "inline")
-    block_ok = has_ancestor(doc_cols, lambda e: (e["kind"] == "block") & e["element_type"].isin("list", "deflist"))
-    figure_ok = has_ancestor(doc_cols, lambda e: (e["kind"] == "block") & e["element_type"].isin("figure", "table"))
     kind, etype = _text("kind"), _text("element_type")
     marked = (
         rows.withColumns({
             "__prev_level": F.last("level", ignorenulls=True).over(before),
             "__nth": F.row_number().over(Window.partitionBy(*doc_cols, "element_order").orderBy("pos")),
             "__order": F.coalesce("element_order", F.lit(-1)),
-            "__first": F.row_number().over(run) == 1,
+            "__start": F.row_number().over(run) == 1,
             "__last_order": F.lag(F.coalesce("element_order", F.lit(-1))).over(run),
             "__min_level": F.min(depth(level)).over(whole),
             "__min_pos": F.min_by("pos", F.struct(depth(level), F.col("pos"))).over(whole),
-            "__stray": F.when(kind == "inline", ~inline_ok).when((kind == "block") & (etype == "list_item"), ~block_ok).when((kind == "block") & (etype == "caption"), ~figure_ok),
-            "__root": value_root,
         })
     )
-    # the value scope that was open before a row: the last value root, unless a row since came back to its level
-    marked = marked.withColumn("__scope", F.last(F.when(F.col("__root"), depth(level)), ignorenulls=True).over(before))
-    marked = marked.withColumn("__rootpos", F.last(F.when(F.col("__root"), F.col("pos")), ignorenulls=True).over(before))
-    since = Window.partitionBy(*doc_cols, "__rootpos").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("__closed", F.coalesce(F.min(depth(level)).over(since) <= F.col("__scope"), F.lit(False)))
+    related = Related(marked, doc_cols, {"not_inline": kind != "inline", "list": (kind == "block") & etype.isin("list", "deflist"), "figure": (kind == "block") & etype.isin("figure", "table")})
+    marked = related.df
+    stray = F.when(kind == "inline", ~related.above("not_inline")).when((kind == "block") & (etype == "list_item"), ~related.above("list")).when((kind == "block") & (etype == "caption"), ~related.above("figure"))
     document = (kind == "block") & (etype == "document") & (level == 0)
     low = (level < 1) & ~document
     field = lambda name: [F.lit(name).alias("field")]
@@ -72,11 +64,11 @@ def validate(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
         ("V7", (_text("encoding") != "") & ~_text("encoding").isin(ENCODINGS), said("unknown encoding ", _text("encoding")), order, field("encoding")),
         ("V8", order < 0, F.lit("order is null or negative"), order, field("element_order")),
         ("V9", F.col("element_order").isNotNull() & (order >= 0) & (F.col("__nth") > 1), said("order ", order.cast("string"), " stands twice"), order, field("element_order")),
-        ("L1", F.when(F.col("__first"), order != 0).otherwise(order != F.col("__last_order") + 1), F.lit("orders must run from 0 without gaps"), order, field("list")),
+        ("L1", F.when(F.col("__start"), order != 0).otherwise(order != F.col("__last_order") + 1), F.lit("orders must run from 0 without gaps"), order, field("list")),
         ("L2", (F.col("__min_level") > 1) & (F.col("pos") == F.col("__min_pos")), said("the top level is ", F.col("__min_level").cast("string")), order, field("list")),
-        ("L6", (kind == "inline") & F.col("__scope").isNotNull() & ~F.col("__closed") & (depth(level) == F.col("__scope")), F.lit("an inline stands at the level of the value before it"), order, field("list")),
-        ("L4", (kind == "block") & F.col("__stray"), said(etype, " stands outside of what it belongs in"), order, field("list")),
-        ("L5", (kind == "inline") & F.col("__stray"), F.lit("an inline stands outside of any block or value"), order, field("list")),
+        ("L6", (kind == "inline") & (depth(level) == F.col("__scope")), F.lit("an inline stands at the level of the value before it"), order, field("list")),
+        ("L4", (kind == "block") & stray, said(etype, " stands outside of what it belongs in"), order, field("list")),
+        ("L5", (kind == "inline") & stray, F.lit("an inline stands outside of any block or value"), order, field("list")),
     ]
     return _findings(marked, doc_cols, rules, ["field"])
 
@@ -101,27 +93,27 @@ def lint(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
     top_block = (kind == "block") & (F.coalesce("level", F.lit(0)) == 1)
     order = F.coalesce("element_order", F.lit(0))
     marked = rows.withColumns({
-        "__next": F.lead(level).over(run),
+        "__after": F.lead(level).over(run),
         "__next_block": F.first(F.when(kind == "block", level), ignorenulls=True).over(after),
-        "__parent": parent(doc_cols),
         "__prev_rank": F.last(F.when(heading, rank), ignorenulls=True).over(earlier),
         "__before": F.lag(F.struct("kind", "content", "level")).over(run),
-        "__sibling": next_at_or_above(doc_cols, F.struct("kind", "level")),
         "__prev_order": F.lag(order).over(run),
         "__body": F.min(F.when(top_block & (etype != "metadata"), order)).over(whole),
         "__value": F.min(F.when(kind == "value", order)).over(whole),
     })
+    related = Related(marked, doc_cols, {"inline": kind == "inline", "block": kind == "block"})
+    marked = related.df
     container = (kind == "block") & (content == "") & etype.isin(CONTAINER_TYPES)
     childless = container & F.col("__next_block").isNotNull() & (F.col("__next_block") <= level)
-    empty = (content == "") & ~etype.isin(CONTENTLESS_TYPES) & (etype != "") & (F.col("__next").isNull() | (F.col("__next") <= level))
+    empty = (content == "") & ~etype.isin(CONTENTLESS_TYPES) & (etype != "") & (F.col("__after").isNull() | (F.col("__after") <= level))
     # told once: not here if rule 2 tells it, which it does while the next row is a block
-    covered = container & (F.col("__next").isNotNull())
+    covered = container & F.col("__after").isNotNull()
     plain_parent = (F.col("__before")["kind"] == "block") & (F.coalesce(F.col("__before")["content"], F.lit("")) == "") & (F.col("__before")["level"] == F.col("level") - 1)
-    has_sibling = F.coalesce((F.col("__sibling")["kind"] == "block") & (F.col("__sibling")["level"] == F.col("level")), F.lit(False))
+    has_sibling = F.coalesce(related.following("block") & (F.col("__next_level") == F.col("level")), F.lit(False))
     rules = [
         ("empty_element", empty & ~covered, "info", F.concat(F.lit("empty "), etype)),
         ("childless_container", childless, "warning", F.concat(etype, F.lit(" has no children; the next block is beside it or above"))),
-        ("block_in_inline", (kind == "block") & (F.col("__parent")["kind"] == "inline"), "warning", F.concat(etype, F.lit(" lies inside an inline"))),
+        ("block_in_inline", (kind == "block") & related.parent("inline"), "warning", F.concat(etype, F.lit(" lies inside an inline"))),
         ("rank_skipped", heading & (F.col("__prev_rank") > 0) & (rank > F.col("__prev_rank") + 1), "warning", F.concat(F.lit("heading of rank "), rank.cast("string"), F.lit(" follows one of rank "), F.col("__prev_rank").cast("string"))),
         ("rank_missing", heading & (_attr("heading_level") == ""), "warning", F.lit("heading without a rank")),
         ("generic_source", (etype == "generic") & (_attr("source_type") == ""), "warning", F.lit("generic element without its source type")),
@@ -141,15 +133,18 @@ def lint(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
 def quality(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
     """What conforms and still reads badly: (element_order, rule, message), by order and not by place.
 
-    empty_section: the next element is a heading of the same rank or above.
-    duplicate_heading: text and rank stand more than once, told at the first.
-    link_without_text: an empty link with nothing inside.
+    empty_section: the element of the next larger order is a heading of the
+    same rank or above. duplicate_heading: text and rank stand more than once,
+    told at the first. link_without_text: an empty link with nothing inside. Of
+    elements that share an order the first in the list counts as the next one;
+    nothing comes after a null order.
     """
-    by = Window.partitionBy(*doc_cols).orderBy("element_order", "pos")
+    larger = Window.partitionBy(*doc_cols).orderBy(F.coalesce("element_order", F.lit(-(1 << 31))).cast("long")).rangeBetween(1, Window.unboundedFollowing)
     rank = F.round(F.try_element_at("attributes", F.lit("heading_level")).try_cast("double")).try_cast("int")
     marked = rows.withColumns({
         "__rank": rank,
-        "__next": F.lead(F.struct("element_type", rank.alias("rank"), "level")).over(by),
+        "__next": F.when(F.col("element_order").isNotNull(), F.min(F.struct("element_order", "pos", "element_type", rank.alias("rank"))).over(larger)),
+        "__inside": F.when(F.col("element_order").isNotNull(), F.min(F.when(F.col("level").isNotNull(), F.struct("element_order", "level"))).over(larger)),
     })
     same = Window.partitionBy(*doc_cols, "content", "__rank")
     heading = F.col("element_type") == "heading"
@@ -161,7 +156,7 @@ def quality(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
     rules = [
         ("empty_section", heading & (F.col("__next")["element_type"] == "heading") & (F.col("__next")["rank"] <= F.col("__rank")), F.lit("section without body or subsections"), F.col("element_order"), []),
         ("duplicate_heading", heading & (content != "") & (F.col("__times") > 1) & (F.col("element_order") == F.col("__first")), F.concat(F.lit("heading text stands "), F.col("__times").cast("string"), F.lit(" times")), F.col("element_order"), []),
-        ("link_without_text", (F.col("element_type") == "link") & (content == "") & ~F.coalesce(F.col("__next")["level"] > F.col("level"), F.lit(False)), F.lit("link without text"), F.col("element_order"), []),
+        ("link_without_text", (F.col("element_type") == "link") & (content == "") & ~F.coalesce(F.col("__inside")["level"] > F.col("level"), F.lit(False)), F.lit("link without text"), F.col("element_order"), []),
     ]
     return _findings(marked, doc_cols, rules, [])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folia.operators.text import headings
-from folia.operators.tree import by_document
+from folia.operators.tree import by_document, in_order
 
 
 def toc(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
@@ -18,32 +18,28 @@ def toc(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
     return headings(rows, doc_cols).select(*doc_cols, "level", "title", "id", (F.col("level") - least).alias("indent"), "element_order")
 
 
-def _numbered(acc: Column, level: Column) -> Column:
-    """One step of outline numbering over a stack of (level, counter)."""
-    stack = acc["stack"]
-    kept = F.filter(stack, lambda x: x["l"] <= level)
-    popped = F.coalesce(F.get(stack, F.size(kept))["c"], F.lit(0))
-    top = F.get(kept, F.size(kept) - 1)
-    sibling = F.coalesce(top["l"] == level, F.lit(False))
-    base = F.when(sibling, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(kept)
-    new = F.concat(base, F.array(F.struct(level.alias("l"), F.when(sibling, top["c"] + 1).otherwise(popped + 1).alias("c"))))
-    label = F.array_join(F.transform(new, lambda x: x["c"].cast("string")), ".")
-    return F.struct(new.alias("stack"), F.concat(acc["labels"], F.array(label)).alias("labels"))
+def _labels(firsts: list[bool], ranks: list[int]) -> list[list]:
+    """Outline numbers: a counter for each rank that is open. A rank that was passed over keeps its place among those that are open."""
+    out, stack = [], []  # stack: [rank, counter]
+    for first, rank in zip(firsts, ranks, strict=True):
+        if first:
+            stack = []
+        before = 0
+        while stack and stack[-1][0] > rank:
+            before = stack.pop()[1]
+        if stack and stack[-1][0] == rank:
+            stack[-1][1] += 1
+        else:
+            stack.append([rank, before + 1])
+        out.append(".".join(str(n) for _, n in stack))
+    return [out]
 
 
 def outlined(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
-    """Headings with ``outline`` ("1.2.1") and ``indent``, one row each.
-
-    The numbering is a fold over a document's headings; headings are few beside
-    elements, and the fold is in the engine.
-    """
-    found = headings(rows, doc_cols)
-    packed = found.groupBy(*doc_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title", "id", "element_order", "attributes", "encoding", "depth")), lambda a, b: a["pos"] - b["pos"]).alias("h"))
-    start = F.struct(F.array().cast("array<struct<l:int,c:int>>").alias("stack"), F.array().cast("array<string>").alias("labels"))
-    labels = F.aggregate(F.transform("h", lambda x: x["level"]), start, _numbered, lambda acc: acc["labels"])
-    least = F.least(F.lit(7), F.array_min(F.transform("h", lambda x: x["level"])))
-    opened = packed.withColumn("labels", labels).withColumn("least", least).select(*doc_cols, "least", "labels", F.posexplode("h").alias("i", "x"))
-    return opened.select(*doc_cols, *[F.col("x")[f].alias(f) for f in ("pos", "level", "title", "id", "element_order", "attributes", "encoding", "depth")], F.get("labels", F.col("i")).alias("outline"), (F.col("x")["level"] - F.col("least")).alias("indent"))
+    """Headings with ``outline`` ("1.2.1") and ``indent``, one row each; numbered in one pass over a document's headings."""
+    found = headings(rows, doc_cols).withColumn("least", F.least(F.lit(7), F.min("level").over(Window.partitionBy(*doc_cols))))
+    numbered = in_order(found, doc_cols, {"level": F.col("level")}, "outline string", _labels)
+    return numbered.select(*doc_cols, "pos", "level", "title", "id", "element_order", "attributes", "encoding", "depth", "outline", (F.col("level") - F.col("least")).alias("indent"))
 
 
 def heading_blocks(rows: DataFrame, doc_cols: list[str], with_indent: bool = False) -> DataFrame:
@@ -66,17 +62,43 @@ def slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(small, "[^a-z0-9_]+", "-"), "^-+|-+$", "")
 
 
-def _section(acc: Column, h: Column) -> Column:
-    """One step of naming sections: ``taken`` holds every id that was counted, ``done`` the sections so far."""
-    times = lambda name: F.size(F.filter(acc["taken"], lambda x: x == name))
-    first = h["slug"]
-    second = F.when(times(first) > 0, F.concat(first, F.lit("-"), times(first).cast("string"))).otherwise(first)
-    name = F.when(times(second) > 0, F.concat(second, F.lit("-"), times(second).cast("string"))).otherwise(second)
-    above = F.filter(acc["done"], lambda x: x["level"] < h["level"])
-    over = F.get(above, F.size(above) - 1)
-    path = F.when(over.isNotNull(), F.concat(over["path"], F.lit("/"), name)).otherwise(name)
-    made = F.struct(name.alias("id"), path.alias("path"), over["id"].alias("parent"), h["level"].alias("level"))
-    return F.struct(F.concat(acc["taken"], F.array(second)).alias("taken"), F.concat(acc["done"], F.array(made)).alias("done"))
+def _names(firsts: list[bool], ranks: list[int], slugs: list[str]) -> list[list]:
+    """Ids, paths and parents' ids of sections.
+
+    A slug that was counted before takes its count as a suffix; if that was
+    counted too, it takes one more. What is counted is the slug with its first
+    suffix. The parent is the nearest earlier heading of a smaller rank.
+    """
+    ids, paths, parents = [], [], []
+    counted: dict[str, int] = {}
+    stack: list[tuple[int, str, str]] = []
+    for first, rank, slug_ in zip(firsts, ranks, slugs, strict=True):
+        if first:
+            counted, stack = {}, []
+        n = counted.get(slug_, 0)
+        once = f"{slug_}-{n}" if n else slug_
+        n = counted.get(once, 0)
+        name = f"{once}-{n}" if n else once
+        counted[once] = n + 1
+        while stack and stack[-1][0] >= rank:
+            stack.pop()
+        ids.append(name)
+        parents.append(stack[-1][1] if stack else None)
+        paths.append(f"{stack[-1][2]}/{name}" if stack else name)
+        stack.append((rank, name, paths[-1]))
+    return [ids, paths, parents]
+
+
+def _sectioned(found: DataFrame, doc_cols: list[str], more: list[str]) -> DataFrame:
+    """Sections of headings that have ``__last_order``, with further columns of theirs."""
+    run = by_document(doc_cols)
+    found = found.withColumn("__next", F.lead("element_order").over(run))
+    named = in_order(found, doc_cols, {"level": F.col("level"), "slug": slug(F.col("title"))}, "section_id string, section_path string, parent_id string", _names)
+    end = F.coalesce(F.col("__next") - 1, F.col("__last_order"))
+    return named.select(
+        *doc_cols, "section_id", "section_path", "level", "title", "parent_id", F.col("element_order").alias("start_order"), end.alias("end_order"),
+        F.coalesce(F.col("body_order"), end + 1).alias("content_start_order"), *more,
+    )
 
 
 def sections(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
@@ -86,15 +108,5 @@ def sections(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
     (``end_order``; the document's last order for the last one) and starts after
     the title's inlines (``content_start_order``).
     """
-    last = rows.groupBy(*doc_cols).agg(F.max(F.coalesce("element_order", F.lit(0))).alias("last_order"))
-    run = by_document(doc_cols)
-    found = headings(rows, doc_cols).withColumn("__next", F.lead("element_order").over(run)).withColumn("slug", slug(F.col("title")))
-    packed = found.groupBy(*doc_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title", "slug", "element_order", "body_order", "__next")), lambda a, b: a["pos"] - b["pos"]).alias("h"))
-    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<id:string,path:string,parent:string,level:int>>").alias("done"))
-    named = packed.withColumn("s", F.aggregate("h", start, _section, lambda acc: acc["done"])).select(*doc_cols, F.explode(F.arrays_zip("h", "s")).alias("x"))
-    opened = named.join(last, doc_cols).select(*doc_cols, "last_order", F.col("x")["h"].alias("h"), F.col("x")["s"].alias("s"))
-    end = F.coalesce(F.col("h")["__next"] - 1, F.col("last_order"))
-    return opened.select(
-        *doc_cols, F.col("s")["id"].alias("section_id"), F.col("s")["path"].alias("section_path"), F.col("h")["level"].alias("level"), F.col("h")["title"].alias("title"),
-        F.col("s")["parent"].alias("parent_id"), F.col("h")["element_order"].alias("start_order"), end.alias("end_order"), F.coalesce(F.col("h")["body_order"], end + 1).alias("content_start_order"),
-    )
+    last = F.max(F.coalesce("element_order", F.lit(0))).over(Window.partitionBy(*doc_cols))
+    return _sectioned(headings(rows.withColumn("__last_order", last), doc_cols, ["__last_order"]), doc_cols, [])

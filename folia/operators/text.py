@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folia.functions.lists import rank_of
-from folia.operators.tree import by_document, has_ancestor, heading_scope, is_inline
+from folia.operators.tree import Related, by_document, heading_scope, is_inline
 from folia.workers import reach_workers
 
 
@@ -25,36 +25,45 @@ def inline_text() -> Column:
     return F.when(kind.isin("space", "softbreak"), " ").when(kind == "linebreak", "\n").when((kind == "image") & (content == ""), alt).otherwise(content)
 
 
-def units(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
-    """One row for each unit: its element's fields, ``run`` (the inlines' text), ``in_value``, ``hidden`` and ``next_order``.
-
-    ``hidden``: no text of the unit belongs to the body's text. ``next_order``
-    is the order of the element after the run. A unit without an element has
-    ``element_type`` null. One shuffle by document.
-    """
-    root = lambda e: (~e["kind"].isin("block", "inline")) | ((e["kind"] == "block") & (e["element_type"] == "metadata"))
-    own = F.coalesce(~F.col("kind").isin("block", "inline") | ((F.col("kind") == "block") & (F.col("element_type") == "metadata")), F.lit(True))
+def _grouped(marked: DataFrame, doc_cols: list[str], hidden: Column, more: list[str]) -> DataFrame:
+    """Units of rows that have ``in_value``, by the last element before them that isn't inline; ``more``: columns of that element."""
     run = by_document(doc_cols).rowsBetween(Window.unboundedPreceding, 0)
-    marked = (
-        heading_scope(rows, doc_cols)
-        .withColumn("__hidden", own | has_ancestor(doc_cols, root))
-        .withColumn("__owner", F.coalesce(F.last(F.when(~is_inline(), F.col("pos")), ignorenulls=True).over(run), F.lit(-1)))
-    )
-    head = F.max_by(F.struct("kind", "element_type", "content", "level", "encoding", "attributes", "element_order", "in_value", F.col("__hidden").alias("hidden")), F.when(~is_inline(), F.col("pos")))
+    marked = marked.withColumn("__hidden", hidden).withColumn("__owner", F.coalesce(F.last(F.when(~is_inline(), F.col("pos")), ignorenulls=True).over(run), F.lit(-1)))
+    head = F.max_by(F.struct("kind", "element_type", "content", "level", "encoding", "attributes", "element_order", "in_value", F.col("__hidden").alias("hidden"), *more), F.when(~is_inline(), F.col("pos")))
     pieces = F.collect_list(F.when(is_inline(), F.struct("pos", inline_text().alias("t"), F.col("__hidden").alias("h"))))
-    grouped = marked.groupBy(*doc_cols, "__owner").agg(head.alias("e"), F.array_sort(pieces, lambda a, b: a["pos"] - b["pos"]).alias("r"), F.min("element_order").alias("low"), F.min_by("element_order", "pos").alias("first_order"))
+    grouped = marked.groupBy(*doc_cols, "__owner").agg(head.alias("e"), F.array_sort(pieces, lambda a, b: a["pos"] - b["pos"]).alias("r"), F.min_by("element_order", "pos").alias("first_order"))
     text = F.array_join(F.transform(F.filter("r", lambda x: ~x["h"] | F.col("e").isNotNull()), lambda x: x["t"]), "")
     seen = F.array_join(F.transform(F.filter("r", lambda x: ~x["h"]), lambda x: x["t"]), "")
     block = F.col("e").isNotNull() & ~F.col("e")["hidden"]
     lone = F.col("e").isNull() | F.col("e")["hidden"]
     out = grouped.select(
-        *doc_cols, F.col("__owner").alias("pos"), *[F.col("e")[f].alias(f) for f in ("kind", "element_type", "content", "level", "encoding", "attributes")],
+        *doc_cols, F.col("__owner").alias("pos"), *[F.col("e")[f].alias(f) for f in ("kind", "element_type", "content", "level", "encoding", "attributes", *more)],
         F.coalesce(F.col("e")["element_order"], F.lit(0)).alias("element_order"), F.coalesce(F.col("e")["in_value"], F.lit(False)).alias("in_value"),
         F.when(block, text).otherwise(seen).alias("run"), lone.alias("lone"), F.coalesce("first_order", F.lit(0)).alias("first_order"),
     )
     return out.withColumn("next_order", F.lead("first_order").over(by_document(doc_cols)))
 
 
+def _hides() -> Column:
+    """Whether an element keeps itself and all that is in it out of the body's text."""
+    return F.coalesce(~F.col("kind").isin("block", "inline") | ((F.col("kind") == "block") & (F.col("element_type") == "metadata")), F.lit(True))
+
+
+def units(rows: DataFrame, doc_cols: list[str], more: list[str] | None = None) -> DataFrame:
+    """One row for each unit: its element's fields, ``run`` (the inlines' text), ``in_value``, ``lone`` and ``next_order``.
+
+    ``lone``: the unit's element gives no text to the body. ``next_order`` is
+    the order of the element after the run. A unit without an element has
+    ``element_type`` null. ``more``: other columns of the element to keep. Two
+    shuffles by document, for the ancestors and for the units.
+    """
+    # a null kind hides itself and isn't asked of as an ancestor
+    root = F.coalesce(~F.col("kind").isin("block", "inline") | ((F.col("kind") == "block") & (F.col("element_type") == "metadata")), F.lit(False))
+    related = Related(rows, doc_cols, {"hidden": root})
+    hidden = _hides() | related.above("hidden")
+    return _grouped(heading_scope(related.df, doc_cols), doc_cols, hidden, more or [])
+
+
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def _cells(content):
     """The non-empty strings among a JSON text's values, in order; a text that isn't JSON is its own only cell."""
@@ -108,16 +117,18 @@ def to_match_text(rows: DataFrame, doc_cols: list[str], out: str = "text") -> Da
     return to_text(rows, doc_cols, " ", out)
 
 
-def headings(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
+def headings(rows: DataFrame, doc_cols: list[str], more: list[str] | None = None) -> DataFrame:
     """One row for each heading: ``pos``, ``level`` (rank), ``title``, ``id`` (empty if none), ``element_order``, and the source's attributes.
 
     Headings inside values don't count. ``body_order`` is the order of what
-    follows the title's inlines, null at the end; ``depth`` is the element's level.
+    follows the title's inlines, null at the end; ``depth`` is the element's level;
+    ``more``: other columns of the heading's row to keep.
     """
-    found = units(rows, doc_cols).where(F.col("pos").isNotNull() & (F.col("element_type") == "heading") & ~F.col("in_value"))
+    # a heading shows its title's inlines whatever it lies in, so no ancestors are needed
+    found = _grouped(heading_scope(rows, doc_cols), doc_cols, F.lit(False), more or []).where((F.col("element_type") == "heading") & ~F.col("in_value"))
     content = F.coalesce(F.col("content"), F.lit(""))
     return found.select(
         *doc_cols, "pos", rank_of(F.col("attributes"), F.col("level")).alias("level"), F.when(content == "", F.col("run")).otherwise(content).alias("title"),
         F.coalesce(F.try_element_at("attributes", F.lit("id")), F.lit("")).alias("id"), "element_order", "attributes", "encoding",
-        F.coalesce("level", F.lit(1)).alias("depth"), F.col("next_order").alias("body_order"),
+        F.coalesce("level", F.lit(1)).alias("depth"), F.col("next_order").alias("body_order"), *(more or []),
     )

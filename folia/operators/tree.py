@@ -1,21 +1,22 @@
 """Tree relations over the row form, from depth and adjacency alone.
 
-For k = 0, 1, ... let c_k be the last earlier row of the document with level k
-or less. Every c_k with k below a row's level is an ancestor of the row, and
-every ancestor is some c_k. All c_k are window expressions over one window, so
-a document is sorted once, whatever is asked.
+A row's ancestors are found on a stack, in one pass over the document's rows
+in their order. The engine deals rows by document and sorts them by place; the
+pass streams over the sorted rows as Arrow batches and adds columns, at a cost
+in proportion to the rows, however deep documents are. What is asked of an
+ancestor is a boolean column, which the engine works out before the pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-#: Levels that the window expressions reach down to; a deeper row raises an error.
-MAX_DEPTH = 12
+from folia.workers import reach_workers
 
 
 def by_document(doc_cols: list[str]) -> WindowSpec:
@@ -27,52 +28,118 @@ def depth(level: Column) -> Column:
     return F.coalesce(level, F.lit(1))
 
 
-def has_ancestor(doc_cols: list[str], test: Callable[[Column], Column], max_depth: int = MAX_DEPTH) -> Column:
-    """Whether some ancestor passes ``test``, which gets the ancestor as a struct (kind, element_type, level, pos)."""
-    before = by_document(doc_cols).rowsBetween(Window.unboundedPreceding, -1)
-    level = depth(F.col("level"))
-    found = F.when(level > max_depth, F.raise_error(F.lit(f"an element is deeper than {max_depth}"))).otherwise(F.lit(False)).cast("boolean")
-    for k in range(max_depth):
-        at = F.last(F.when(level <= k, F.struct("kind", "element_type", "level", "pos")), ignorenulls=True).over(before)
-        found = found | ((F.lit(k) < level) & F.coalesce(at.isNotNull() & test(at), F.lit(False)))
-    return found
+def _whole_documents(batches: Iterator, first: str) -> Iterator:
+    """Arrow tables of whole documents, one or more, from batches of rows; ``first`` marks each document's first row."""
+    import pyarrow as pa
 
+    held: list = []
+    for batch in batches:
+        starts = [i for i, x in enumerate(batch.column(first).to_pylist()) if x]
+        if not starts:
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, starts[-1]))
+        if sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held)
+        held = [batch.slice(starts[-1])]
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
-def parent(doc_cols: list[str], max_depth: int = MAX_DEPTH) -> Column:
-    """The nearest ancestor as a struct (kind, element_type, level, pos); null for a row without one."""
-    before = by_document(doc_cols).rowsBetween(Window.unboundedPreceding, -1)
-    level = depth(F.col("level"))
-    found = F.lit(None).cast("struct<kind:string,element_type:string,level:int,pos:int>")
-    for k in range(max_depth):
-        found = F.when(level == k + 1, F.last(F.when(level <= k, F.struct("kind", "element_type", "level", "pos")), ignorenulls=True).over(before)).otherwise(found)
-    return found
 
+Pass = Callable[..., list[list]]
 
-def next_at_or_above(doc_cols: list[str], value: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """``value`` at the first later row that isn't deeper than this one; null if none is left."""
-    after = by_document(doc_cols).rowsBetween(1, Window.unboundedFollowing)
-    level = depth(F.col("level"))
-    found = F.lit(None)
-    for k in range(max_depth + 1):
-        found = F.when(level == k, F.first(F.when(level <= k, value), ignorenulls=True).over(after)).otherwise(found)
-    return found
 
+def in_order(rows: DataFrame, doc_cols: list[str], inputs: dict[str, Column], outputs: str, step: Pass, order: list[str | Column] | None = None) -> DataFrame:
+    """Adds the columns of ``outputs`` (DDL) that ``step`` computes along each document's rows, sorted by ``order`` (default: ``pos``).
 
-def is_inline() -> Column:
-    return F.coalesce(F.col("kind") == "inline", F.lit(False))
+    ``step`` gets the list of marks of documents' first rows and a list for
+    each of ``inputs``, of some whole documents, and returns a list for each
+    output. Only inputs become Python objects; other columns pass as Arrow
+    data. One exchange by document.
+    """
+    reach_workers(rows.sparkSession)
+    own = rows.columns
+    run = Window.partitionBy(*doc_cols).orderBy(*(order or ["pos"]))
+    marked = rows.withColumns({"__first": F.row_number().over(run) == 1, **{f"__in{i}": c for i, c in enumerate(inputs.values())}})
+    added = T._parse_datatype_string(outputs).fields
+    schema = T.StructType([*rows.schema.fields, *added])
+    n_inputs = len(inputs)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = [to_arrow_type(f.dataType) for f in added]
+
+    def work(batches):
+        import pyarrow as pa
+
+        for table in _whole_documents(batches, "__first"):
+            found = step(table["__first"].to_pylist(), *[table[f"__in{i}"].to_pylist() for i in range(n_inputs)])
+            out = pa.table([table[c] for c in own] + [pa.array(x, type=t) for x, t in zip(found, arrow, strict=True)], names=schema.names)
+            yield from out.to_batches()
+
+    return marked.mapInArrow(work, schema)
+
+
+def _relate(firsts: list[bool], levels: list[int], masks: list[int], values: list[bool]) -> list[list]:
+    """For each row: what holds of some ancestor, of the parent, of the next row that isn't deeper, that one's level, and the level of the open value."""
+    n = len(levels)
+    above, parents, following, next_level, scopes = [0] * n, [0] * n, [0] * n, [None] * n, [None] * n
+    in_value = [False] * n
+    stack: list[int] = []  # rows that are open
+    scope = None
+    for i in range(n):
+        level, mask = levels[i], masks[i]
+        if firsts[i]:
+            stack, scope = [], None
+        while stack and levels[stack[-1]] >= level:
+            closed = stack.pop()
+            following[closed], next_level[closed] = mask, level
+        if stack:
+            up = stack[-1]
+            parents[i], above[i] = masks[up], above[up] | masks[up]
+            in_value[i] = in_value[up] or values[up]
+        scopes[i] = scope
+        if values[i] and not in_value[i]:
+            scope = level
+        elif scope is not None and level <= scope:
+            scope = None
+        stack.append(i)
+    return [above, parents, following, next_level, scopes]
+
+
+class Related:
+    """Rows with their relations: ``df``, and columns that tell what holds around a row."""
+
+    def __init__(self, rows: DataFrame, doc_cols: list[str], tests: dict[str, Column]):
+        self._bit = {name: 1 << i for i, name in enumerate(tests)}
+        mask = F.lit(0)
+        for name, test in tests.items():
+            mask = mask + F.when(F.coalesce(test, F.lit(False)), self._bit[name]).otherwise(0)
+        value = F.coalesce(F.col("kind") == "value", F.lit(False))
+        self.df = in_order(rows, doc_cols, {"level": depth(F.col("level")), "mask": mask, "value": value}, "__above int, __parent int, __next int, __next_level int, __scope int", _relate)
+        self.added = ["__above", "__parent", "__next", "__next_level", "__scope"]
+
+    def above(self, name: str) -> Column:
+        """Whether the test holds of some ancestor."""
+        return F.col("__above").bitwiseAND(self._bit[name]) != 0
+
+    def parent(self, name: str) -> Column:
+        """Whether the test holds of the parent; false for a row without one."""
+        return F.col("__parent").bitwiseAND(self._bit[name]) != 0
+
+    def following(self, name: str) -> Column:
+        """Whether the test holds of the first later row that isn't deeper; its level is ``__next_level``, null if there is none."""
+        return F.col("__next").bitwiseAND(self._bit[name]) != 0
 
 
-def hidden_from_body(doc_cols: list[str], max_depth: int = MAX_DEPTH) -> Column:
-    """Whether a row is a value or metadata element, or lies below one."""
-    root = lambda e: (e["kind"] == "value") | (e["element_type"] == "metadata")
-    own = F.coalesce((F.col("kind") == "value") | (F.col("element_type") == "metadata"), F.lit(False))
-    return own | has_ancestor(doc_cols, root, max_depth)
+def is_inline() -> Column:
+    return F.coalesce(F.col("kind") == "inline", F.lit(False))
 
 
-def body(rows: DataFrame, doc_cols: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The rows of the body; orders and ``pos`` stay. One shuffle by document."""
-    marked = rows.withColumn("__hidden", hidden_from_body(doc_cols, max_depth))
-    return marked.where(~F.col("__hidden") & F.coalesce(F.col("kind").isin("block", "inline"), F.lit(False))).drop("__hidden")
+def body(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
+    """The rows of the body: no values, no metadata, nothing below them; orders and ``pos`` stay. One shuffle by document."""
+    root = F.coalesce((F.col("kind") == "value") | (F.col("element_type") == "metadata"), F.lit(False))
+    related = Related(rows, doc_cols, {"hidden": root})
+    return related.df.where(~root & ~related.above("hidden") & F.coalesce(F.col("kind").isin("block", "inline"), F.lit(False))).drop(*related.added)
 
 
 def heading_scope(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
