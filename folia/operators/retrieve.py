@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folia.operators import outline
-from folia.operators.text import headings, to_match_text, to_text
-from folia.schema import FIELDS, to_list
+from folia.operators.text import headings, texts, to_text
+from folia.operators.tree import in_order
+from folia.schema import FIELDS, LIST_DDL
 from folia.vocabulary import MAX_INT
 
 
@@ -20,15 +21,53 @@ def _ilike(text: Column, term: str) -> Column:
     return text.rlike(f"(?isu)^{pattern}$")
 
 
-def in_spans(rows: DataFrame, spans: DataFrame, doc_cols: list[str], start: str, end: str, carry: list[str]) -> DataFrame:
-    """The rows whose order lies in a span of their document, with the span's columns."""
-    named = spans.select(*[F.col(c).alias(f"__{c}") for c in doc_cols], F.col(start).alias("__s"), F.col(end).alias("__e"), *[F.col(c).alias(f"__c_{c}") for c in carry])
-    same = F.lit(True)
-    for c in doc_cols:
-        same = same & (rows[c] == named[f"__{c}"])
-    order = F.coalesce(rows["element_order"], F.lit(0))
-    met = rows.join(named, same & (order >= F.col("__s")) & (order <= F.col("__e")))
-    return met.select(*[rows[c] for c in doc_cols], *[F.col(f"__c_{c}").alias(f"span_{c}") for c in carry], "pos", *[rows[f] for f in FIELDS])
+#: Of an element that stands for an empty span: it has no text.
+_STAND_IN = {"pos": -1, "kind": "block", "element_type": "hr", "level": 1, "encoding": "text", "element_order": 0}
+
+
+def in_spans(rows: DataFrame, spans: DataFrame, doc_cols: list[str], start: str, end: str, carry: list[str], empty: bool = False, front: bool = False) -> DataFrame:
+    """The rows whose order lies in a span of their document, with columns of the span as ``span_...``.
+
+    Spans of a document mustn't overlap, but may be empty. Each row takes the
+    last span that begins at its order or before, in one window over rows and
+    spans together, so that rows aren't paired with spans. ``empty``: each span
+    also gives a row of its own, a rule with ``pos`` -1. ``front``: rows from
+    order 0 on that lie before all spans are kept, with nulls for the span.
+    """
+    order = F.coalesce("element_order", F.lit(0))
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
+    span = "struct<" + ",".join(f"c{i}:{kinds[c]}" for i, c in enumerate([end, *carry])) + ">"
+    own = rows.select(*doc_cols, order.alias("__at"), F.lit(True).alias("__row"), F.struct("pos", *FIELDS).alias("__r"), F.lit(None).cast(span).alias("__c"))
+    marks = spans.select(*doc_cols, F.col(start).alias("__at"), F.lit(False).alias("__row"), F.lit(None).cast(own.schema["__r"].dataType).alias("__r"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate([end, *carry])]).alias("__c"))
+    before = Window.partitionBy(*doc_cols).orderBy("__at", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(~F.col("__row") & (F.col("__at") <= F.col("__c.c0")), F.col("__c")), ignorenulls=True).over(before)
+    met = own.unionByName(marks).withColumn("__s", F.when(F.col("__row"), last).otherwise(F.col("__c")))
+    kept = F.col("__row") & F.coalesce(F.col("__at") <= F.col("__s.c0"), F.lit(False))
+    if empty:
+        kept = kept | ~F.col("__row")
+    if front:
+        kept = kept | (F.col("__row") & F.col("__s").isNull() & (F.col("__at") >= 0))
+    field = lambda f: F.when(F.col("__row"), F.col("__r")[f]).otherwise(F.lit(_STAND_IN.get(f))).alias(f)
+    return met.where(kept).select(*doc_cols, *[F.col("__s")[f"c{i + 1}"].alias(f"span_{c}") for i, c in enumerate(carry)], *[field(f) for f in ("pos", *FIELDS)])
+
+
+def _ends(firsts: list[bool], orders: list[int], ranks: list[int]) -> list[list]:
+    """For each heading the order of the next one of its rank or above, less one; the largest number without one."""
+    ends = [MAX_INT] * len(orders)
+    stack: list[int] = []
+    for i, first in enumerate(firsts):
+        if first:
+            stack = []
+        waiting = []
+        while stack and (ranks[stack[-1]] >= ranks[i]):
+            j = stack.pop()
+            if orders[j] < orders[i]:
+                ends[j] = orders[i] - 1
+            else:  # of the same order: it waits for a larger one
+                waiting.append(j)
+        stack.extend(reversed(waiting))
+        stack.append(i)
+    return [ends]
 
 
 def get_section(rows: DataFrame, doc_cols: list[str], pattern: str) -> DataFrame:
@@ -37,13 +76,8 @@ def get_section(rows: DataFrame, doc_cols: list[str], pattern: str) -> DataFrame
     A match inside another match isn't repeated; orders stay. A document without
     a match has no rows.
     """
-    h = headings(rows, doc_cols).select(*doc_cols, "level", "title", "id", F.col("element_order").alias("ord"))
-    later = h.select(*[F.col(c).alias(f"__{c}") for c in doc_cols], F.col("level").alias("__level"), F.col("ord").alias("__ord"))
-    same = F.lit(True)
-    for c in doc_cols:
-        same = same & (h[c] == later[f"__{c}"])
-    hit = h.where(_ilike(F.col("title"), pattern) | (F.col("id") == pattern))
-    spans = hit.join(later, same & (F.col("__ord") > F.col("ord")) & (F.col("__level") <= F.col("level")), "left").groupBy(*doc_cols, "ord").agg(F.coalesce(F.min("__ord") - 1, F.lit(MAX_INT)).alias("end"))
+    h = headings(rows, doc_cols).select(*doc_cols, "pos", "level", F.col("element_order").alias("ord"), (_ilike(F.col("title"), pattern) | (F.col("id") == pattern)).alias("hit"))
+    spans = in_order(h, doc_cols, {"ord": F.col("ord"), "level": F.col("level")}, "end int", _ends, ["ord", "pos"]).where("hit").groupBy(*doc_cols, "ord").agg(F.min("end").alias("end"))
     before = Window.partitionBy(*doc_cols).orderBy("ord", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     top = spans.withColumn("__prev", F.max("end").over(before)).where("__prev is null or __prev < end")
     return in_spans(rows, top, doc_cols, "ord", "end", []).select(*doc_cols, "pos", *FIELDS)
@@ -54,37 +88,48 @@ def get_section_text(rows: DataFrame, doc_cols: list[str], pattern: str) -> Data
     return to_text(get_section(rows, doc_cols, pattern), doc_cols)
 
 
+def _packed() -> Column:
+    """An aggregate: the list form of the elements of some rows."""
+    real = F.when(F.col("pos") >= 0, F.struct("pos", F.struct(*FIELDS).alias("b")))
+    return F.transform(F.array_sort(F.collect_list(real), lambda a, b: a["pos"] - b["pos"]), lambda x: x["b"]).cast(LIST_DDL)
+
+
 def sections_with_content(rows: DataFrame, doc_cols: list[str], blocks: bool = False) -> DataFrame:
-    """Sections with ``content`` (their own text) and, if asked, ``blocks`` (their own elements)."""
+    """Sections with ``content`` (their own text) and, if asked, ``blocks`` (their own elements, empty if there are none).
+
+    Where headings' orders don't rise, a row belongs to the section that begins
+    last at its order or before.
+    """
     found = outline.sections(rows, doc_cols)
-    key = [*doc_cols, "start_order"]
-    own = in_spans(rows, found, doc_cols, "content_start_order", "end_order", ["start_order"]).withColumnRenamed("span_start_order", "start_order")
-    out = found.join(to_text(own, key, out="content"), key, "left").withColumn("content", F.coalesce("content", F.lit("")))
+    columns = [c for c in found.columns if c not in doc_cols]
+    key = [*doc_cols, *[f"span_{c}" for c in columns]]
+    own = in_spans(rows, found, doc_cols, "content_start_order", "end_order", columns, empty=True)
+    out = to_text(own, key, out="content")
     if blocks:
-        out = out.join(to_list(own, key), key, "left")
-    return out
-
-
-def _search_spans(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
-    """From each heading to the next one, and what comes before the first."""
-    h = headings(rows, doc_cols).select(*doc_cols, "title", F.col("element_order").alias("s"))
-    by = Window.partitionBy(*doc_cols).orderBy("s")
-    spans = h.select(*doc_cols, F.col("title").alias("section"), "s", F.coalesce(F.lead("s").over(by) - 1, F.lit(MAX_INT)).alias("e"))
-    first = h.groupBy(*doc_cols).agg(F.min("s").alias("first"))
-    docs = rows.select(*doc_cols).distinct().join(first, doc_cols, "left")
-    front = docs.select(*doc_cols, F.lit("(preamble)").alias("section"), F.lit(0).alias("s"), F.coalesce(F.col("first") - 1, F.lit(MAX_INT)).alias("e")).where("e >= 0")
-    return spans.unionByName(front)
+        packed = own.groupBy(*key).agg(_packed().alias("blocks"))
+        same = packed.withColumnsRenamed({c: f"__{c}" for c in key})
+        on = F.lit(True)
+        for c in key:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        out = out.join(same, on).select(*key, "content", "blocks")
+    return out.withColumnsRenamed({f"span_{c}": c for c in columns})
 
 
 def sections_like(rows: DataFrame, doc_cols: list[str], term: str, blocks: bool = False) -> DataFrame:
-    """Sections (to the next heading, with the preamble) whose text contains ``term``: ``section``, ``start_order`` and text or blocks."""
-    spans = _search_spans(rows, doc_cols)
-    key = [*doc_cols, "section", "s"]
-    inside = in_spans(rows, spans, doc_cols, "s", "e", ["section", "s"]).withColumnsRenamed({"span_section": "section", "span_s": "s"})
-    match = spans.join(to_match_text(inside, key, "__m"), key, "left").where(_ilike(F.coalesce("__m", F.lit("")), term))
-    gathered = to_list(inside, key) if blocks else to_text(inside, key, out="content")
-    out = match.join(gathered, key, "left").withColumnRenamed("s", "start_order")
-    return out.select(*doc_cols, "section", "start_order", "blocks" if blocks else F.coalesce("content", F.lit("")).alias("content"))
+    """Sections (to the next heading, with the preamble) whose text contains ``term``: ``section``, ``start_order`` and text or blocks.
+
+    What comes before the first heading is ``(preamble)``; it is told only if
+    there is something.
+    """
+    h = headings(rows, doc_cols).select(*doc_cols, F.col("title").alias("section"), F.col("element_order").alias("s"))
+    spans = h.withColumn("e", F.coalesce(F.lead("s").over(Window.partitionBy(*doc_cols).orderBy("s")) - 1, F.lit(MAX_INT)))
+    inside = in_spans(rows, spans, doc_cols, "s", "e", ["section", "s"], front=True)
+    inside = inside.withColumns({"span_section": F.when(F.col("span_s").isNull(), "(preamble)").otherwise(F.coalesce("span_section", F.lit(""))), "span_s": F.coalesce("span_s", F.lit(0))})
+    key = [*doc_cols, "span_section", "span_s"]
+    match = texts(inside, key, {"__m": " ", "content": "\n\n"}).where(_ilike(F.col("__m"), term))
+    if blocks:
+        match = match.join(inside.groupBy(*key).agg(_packed().alias("blocks")), key)
+    return match.select(*doc_cols, F.col("span_section").alias("section"), F.col("span_s").alias("start_order"), "blocks" if blocks else "content")
 
 
 def _page_spans(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
@@ -99,12 +144,10 @@ def _page_spans(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
 
 def page_rows(rows: DataFrame, doc_cols: list[str], blocks: bool = False) -> DataFrame:
     """Pages with ``block_count`` (elements) and, if asked, ``blocks``. Documents without page breaks have no rows."""
-    spans = _page_spans(rows, doc_cols)
-    key = [*doc_cols, "start_order"]
-    inside = in_spans(rows, spans, doc_cols, "start_order", "end_order", ["start_order"]).withColumnRenamed("span_start_order", "start_order")
-    counts = inside.groupBy(*key).agg(F.count(F.lit(1)).alias("block_count"))
-    out = spans.join(counts, key, "left").withColumn("block_count", F.coalesce("block_count", F.lit(0)))
-    return out.join(to_list(inside, key), key, "left") if blocks else out
+    columns = ["page_number", "start_order", "end_order"]
+    inside = in_spans(rows, _page_spans(rows, doc_cols), doc_cols, "start_order", "end_order", columns, empty=True).withColumnsRenamed({f"span_{c}": c for c in columns})
+    more = [_packed().alias("blocks")] if blocks else []
+    return inside.groupBy(*doc_cols, *columns).agg(F.count_if(F.col("pos") >= 0).alias("block_count"), *more)
 
 
 def get_pages(rows: DataFrame, doc_cols: list[str], first: int, last: int) -> DataFrame:

@@ -104,12 +104,21 @@ def unit_text(separator: str) -> Column:
     return F.when(skipped, "").when(table, cells).otherwise(plain)
 
 
+def texts(rows: DataFrame, doc_cols: list[str], separators: dict[str, str]) -> DataFrame:
+    """One row for each document, with its body's text once for each name and separator."""
+    reach_workers(rows.sparkSession)
+    said = units(rows, doc_cols).withColumns({f"__{out}": unit_text(separator) for out, separator in separators.items()})
+
+    def joined(out: str, separator: str) -> Column:
+        pieces = F.collect_list(F.when(F.col(f"__{out}") != "", F.struct("pos", F.col(f"__{out}").alias("t"))))
+        return F.array_join(F.transform(F.array_sort(pieces, lambda a, b: a["pos"] - b["pos"]), lambda x: x["t"]), separator).alias(out)
+
+    return said.groupBy(*doc_cols).agg(*[joined(*x) for x in separators.items()])
+
+
 def to_text(rows: DataFrame, doc_cols: list[str], separator: str = "\n\n", out: str = "text") -> DataFrame:
     """One row for each document: its body's text, units joined by ``separator``. Values and metadata are no text."""
-    reach_workers(rows.sparkSession)
-    said = units(rows, doc_cols).withColumn("__t", unit_text(separator))
-    pieces = F.collect_list(F.when(F.col("__t") != "", F.struct("pos", F.col("__t").alias("t"))))
-    return said.groupBy(*doc_cols).agg(F.array_join(F.transform(F.array_sort(pieces, lambda a, b: a["pos"] - b["pos"]), lambda x: x["t"]), separator).alias(out))
+    return texts(rows, doc_cols, {out: separator})
 
 
 def to_match_text(rows: DataFrame, doc_cols: list[str], out: str = "text") -> DataFrame:
