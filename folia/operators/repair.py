@@ -6,15 +6,14 @@ last, so they work on one document at a time in an Arrow UDF over the list form.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from folia.schema import FIELDS, LIST
 from folia.workers import reach_workers
 
-_PARENT = {"list_item": ("list", {"list", "deflist"}), "caption": ("figure", {"figure", "table"})}
-
-
 def _plain(element) -> dict:
     """An element as a dict, whichever form it arrived in."""
     return {f: element[f] for f in FIELDS}
@@ -24,70 +23,100 @@ def _level(e: dict) -> int:
     return 1 if e["level"] is None else e["level"]
 
 
+def _next_at_or_above(levels: list[int]) -> list[int]:
+    """For each place the first later one that isn't deeper; the length without one."""
+    found = [len(levels)] * len(levels)
+    waiting: list[int] = []
+    for i, level in enumerate(levels):
+        while waiting and levels[waiting[-1]] >= level:
+            found[waiting.pop()] = i
+        waiting.append(i)
+    return found
+
+
 def normalize_elements(blocks: list[dict]) -> list[dict]:
     """Moves the text of each lone plain block into its container, until none is left.
 
     A plain block is lone if the element before it is a block without content one
     level above, and the next element that isn't deeper isn't a block of its
     level. Its inlines go up one level, and orders behind it go down by one.
+
+    One pass: whether a block is lone depends on what stands before it, which is
+    settled by then, and on the next element that isn't deeper, which no
+    collapse changes.
     """
-    work = [dict(b) for b in blocks]
-    at = 1
-    while at < len(work):
-        e, before = work[at], work[at - 1]
-        lone = e["kind"] == "block" and e["element_type"] == "plain" and _level(e) > 1 and before["kind"] == "block" and not before["content"] and before["level"] == _level(e) - 1
-        if lone:
-            end = at + 1
-            while end < len(work) and _level(work[end]) > _level(e):
-                end += 1
-            lone = not (end < len(work) and work[end]["kind"] == "block" and _level(work[end]) == _level(e))
-        if not lone:
-            at += 1
-            continue
-        before["content"] = e["content"]
-        for child in work[at + 1 : end]:
-            child["level"] = _level(child) - 1
-        for later in work[at + 1 :]:
-            if later["element_order"] is not None:
-                later["element_order"] -= 1
-        del work[at]
-        at = max(1, at - 1)
-    return work
+    levels = [_level(b) for b in blocks]
+    after = _next_at_or_above(levels)
+    out: list[dict] = []
+    dissolved: list[int] = []  # levels of the collapsed blocks that the place lies in
+    gone = 0
+    for i, block in enumerate(blocks):
+        while dissolved and levels[i] <= dissolved[-1]:
+            dissolved.pop()
+        e = dict(block)
+        if dissolved:
+            e["level"] = levels[i] - len(dissolved)
+        level = _level(e)
+        if e["kind"] == "block" and e["element_type"] == "plain" and level > 1 and out:
+            above = out[-1]
+            j = after[i]
+            beside = j < len(blocks) and blocks[j]["kind"] == "block" and levels[j] == levels[i] - len(dissolved) + sum(levels[j] > d for d in dissolved)
+            if above["kind"] == "block" and not above["content"] and above["level"] == level - 1 and not beside:
+                above["content"] = e["content"]
+                dissolved.append(levels[i])
+                gone += 1
+                continue
+        if e["element_order"] is not None:
+            e["element_order"] -= gone
+        out.append(e)
+    return out
+
 
+#: What may have to lie above an element, and what does for it: (kind, types); no types: any.
+_NEEDS = {
+    "holder": lambda kind, name: kind != "inline",
+    "list": lambda kind, name: kind == "block" and name in ("list", "deflist"),
+    "figure": lambda kind, name: kind == "block" and name in ("figure", "table"),
+}
 
-def _belongs(e: dict, above: list[tuple[int, str, str]]) -> bool:
+
+def _need(e: dict) -> tuple[str, str] | None:
+    """What has to lie above an element, and the type of the block that is put there if nothing does."""
     if e["kind"] == "inline":
-        return any(kind != "inline" for _, kind, _ in above)
-    if e["kind"] == "block" and e["element_type"] in _PARENT:
-        return any(kind == "block" and name in _PARENT[e["element_type"]][1] for _, kind, name in above)
-    return True
+        return "holder", "plain"
+    return {("block", "list_item"): ("list", "list"), ("block", "caption"): ("figure", "figure")}.get((e["kind"], e["element_type"]))
 
 
 def _wrapped(work: list[dict]) -> list[dict]:
-    """Strays, in runs, inside the container that they need."""
+    """Strays, in runs, inside the container that they need.
+
+    For each need the least level at which an element that does for it is open
+    tells whether a deeper element has one above it.
+    """
     out: list[dict] = []
-    above: list[tuple[int, str, str]] = []
-    at = 0
-    while at < len(work):
-        e = work[at]
-        while above and above[-1][0] >= _level(e):
-            above.pop()
-        if _belongs(e, above):
-            above.append((_level(e), e["kind"], e["element_type"]))
-            out.append(e)
-            at += 1
-            continue
-        end = at
-        alike = (lambda x: x["kind"] == "inline") if e["kind"] == "inline" else (lambda x: (x["kind"], x["element_type"]) == (e["kind"], e["element_type"]))
-        while end < len(work) and (_level(work[end]) > _level(e) or (_level(work[end]) == _level(e) and alike(work[end]))):
-            end += 1
-        down = 1 if _level(e) <= 1 else 0
-        name = "plain" if e["kind"] == "inline" else _PARENT[e["element_type"]][0]
-        wrapper = {"kind": "block", "element_type": name, "content": "", "level": _level(e) - 1 + down, "encoding": "text", "attributes": {"list_type": "bullet"} if name == "list" else {}, "element_order": 0}
-        out.append(wrapper)
-        out.extend(x | {"level": _level(x) + down} for x in work[at:end])
-        above.append((wrapper["level"], "block", name))
-        at = end
+    least = dict.fromkeys(_NEEDS, math.inf)
+    run = None  # of the strays being wrapped: level, what their siblings must be, levels that they go down
+
+    def opened(kind: str, name: str, level: int) -> None:
+        for need, does in _NEEDS.items():
+            if does(kind, name):
+                least[need] = min(least[need], level)
+
+    for e in work:
+        level, need = e["level"], _need(e)
+        alike = "inline" if e["kind"] == "inline" else (e["kind"], e["element_type"])
+        if run is None or level < run[0] or (level == run[0] and alike != run[1]):
+            run = None
+            least = {n: at if at < level else math.inf for n, at in least.items()}
+            if need is None or least[need[0]] < level:
+                opened(e["kind"], e["element_type"], level)
+            else:
+                name, down = need[1], int(level <= 1)
+                run = (level, alike, down)
+                attributes = {"list_type": "bullet"} if name == "list" else {}
+                out.append({"kind": "block", "element_type": name, "content": "", "level": level - 1 + down, "encoding": "text", "attributes": attributes, "element_order": 0})
+                opened("block", name, level - 1 + down)
+        out.append(e | {"level": level + (run[2] if run else 0)})
     return out
 
 
