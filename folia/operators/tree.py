@@ -61,6 +61,8 @@ def in_order(rows: DataFrame, doc_cols: list[str], inputs: dict[str, Column], ou
     own = rows.columns
     run = Window.partitionBy(*doc_cols).orderBy(*(order or ["pos"]))
     marked = rows.withColumns({"__first": F.row_number().over(run) == 1, **{f"__in{i}": c for i, c in enumerate(inputs.values())}})
+    # the window deals rows by document; other windows may stand above it by now, so the order is asked for once more
+    marked = marked.sortWithinPartitions(*doc_cols, *(order or ["pos"]))
     added = T._parse_datatype_string(outputs).fields
     schema = T.StructType([*rows.schema.fields, *added])
     n_inputs = len(inputs)

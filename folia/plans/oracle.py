@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folia.sources.conversations import SHAPES
+from folia.plans import oracle_rules
+from folia.sources.conversations import IRREGULAR, SHAPES
 
 
 def _sql(value) -> str:
@@ -37,6 +38,21 @@ nested AS (
 )
 """
 
+_ODD = ", ".join("(" + ", ".join(_sql(v) for v in (i, k, t, lv, c is True, None if c is True else c, e, f"{a}={v}" if a else "", o)) + ")" for i, (k, t, lv, c, e, a, v, o) in enumerate(IRREGULAR))
+
+IRREGULAR_ROWS = f"""{FLAT},
+odd_shape(i, k, t, l, full_, c, e, a, o) AS (VALUES {_ODD}),
+odd AS (
+  SELECT conv_id, pos, k AS kind, t AS element_type, CASE WHEN full_ THEN content ELSE c END AS content, (CASE WHEN conv_id % 9 = 0 THEN coalesce(l, 1) + 1 ELSE l END)::INTEGER AS level, e AS encoding, a AS attributes,
+    (element_order + o)::INTEGER AS element_order
+  FROM flat JOIN odd_shape s ON (flat.pos + 3 * flat.conv_id) % {len(IRREGULAR)} = s.i
+)
+"""
+
+DEEP_ROWS = f"""{FLAT},
+deep AS (SELECT conv_id, pos, kind, CASE WHEN pos % 9 = 4 THEN 'metadata' ELSE 'div' END AS element_type, content, (1 + pos * 7 % 20)::INTEGER AS level, encoding, '' AS attributes, element_order FROM flat)
+"""
+
 #: What is hidden from the body, and the texts of units: an element with the inlines after it.
 UNITS = """
 hid AS (
@@ -113,24 +129,6 @@ pages AS (
   SELECT conv_id, NULL, 0, min(s) - 1 FROM brk GROUP BY conv_id HAVING min(s) > 0
 )"""
 _PAGE_ROWS = f"{NESTED}, {_PAGES}, got AS (SELECT n.* FROM nested n JOIN (SELECT conv_id, min(start_order) AS s, max(end_order) AS e FROM pages WHERE page_number BETWEEN 1 AND 2 GROUP BY conv_id) USING (conv_id) WHERE element_order BETWEEN s AND e)"
-_LINT = """
-w AS (
-  SELECT *, coalesce(content, '') AS c, lead(level) OVER d AS nxt, lag(element_type) OVER d AS before_type, lag(content) OVER d AS before_content, lag(kind) OVER d AS before_kind, lag(level) OVER d AS before_level,
-    (SELECT arg_min(b.level, b.pos) FROM nested b WHERE b.conv_id = n.conv_id AND b.pos > n.pos AND b.kind = 'block') AS next_block,
-    (SELECT arg_min(b.kind || b.level, b.pos) FROM nested b WHERE b.conv_id = n.conv_id AND b.pos > n.pos AND b.level <= n.level) AS sibling,
-    (SELECT arg_max(b.kind, b.pos) FROM nested b WHERE b.conv_id = n.conv_id AND b.pos < n.pos AND b.level < n.level) AS parent_kind,
-    min(CASE WHEN kind = 'value' THEN element_order END) OVER (PARTITION BY conv_id) AS first_value,
-    kind = 'block' AND coalesce(content, '') = '' AND element_type IN ('div', 'section', 'figure', 'caption', 'blockquote', 'list', 'list_item') AS container
-  FROM nested n WINDOW d AS (PARTITION BY conv_id ORDER BY pos)
-)
-SELECT conv_id, element_order, 'empty_element' AS rule, 'info' AS severity FROM w
-WHERE c = '' AND element_type NOT IN ('hr', 'image', 'raw', 'space', 'softbreak', 'linebreak') AND (nxt IS NULL OR nxt <= level) AND NOT (container AND nxt IS NOT NULL)
-UNION ALL SELECT conv_id, element_order, 'childless_container', 'warning' FROM w WHERE container AND next_block <= level
-UNION ALL SELECT conv_id, element_order, 'block_in_inline', 'warning' FROM w WHERE kind = 'block' AND parent_kind = 'inline'
-UNION ALL SELECT conv_id, element_order, 'lone_plain', 'warning' FROM w
-WHERE element_type = 'plain' AND level > 1 AND before_kind = 'block' AND coalesce(before_content, '') = '' AND before_level = level - 1 AND coalesce(sibling, '') <> 'block' || level
-UNION ALL SELECT conv_id, element_order, 'block_after_value', 'warning' FROM w WHERE kind = 'block' AND level = 1 AND first_value < element_order
-"""
 _JSON_LINE = """'{"t":"' || CASE element_type WHEN 'heading' THEN 'H' WHEN 'code' THEN 'C' ELSE 'P' END || '","c":' || to_json(content)::VARCHAR || ',"l":' || level
 || CASE WHEN attributes <> '' THEN ',"a":{"h":"' || right(attributes, 1) || '"}' ELSE '' END || '}'"""
 _SAME = f"SELECT {_COLUMNS} FROM nested"
@@ -178,7 +176,7 @@ ORACLE_SQL = {
     "filter_types": _placed(f"element_type IN {_IN}"),
     "exclude_types": _placed(f"element_type NOT IN {_IN}"),
     "slice_orders": _placed("element_order BETWEEN 3 AND 17"),
-    "assemble": _renumbered("element_order BETWEEN 5 AND 40"),
+    "assemble": _renumbered("true", "pos DESC"),
     "reorder": _renumbered("true"),
     "concat": _placed("element_order BETWEEN 0 AND 2 OR element_order BETWEEN 5 AND 6"),
     "merge": _nested(f"""SELECT {_COLUMNS} FROM nested UNION ALL
@@ -189,7 +187,7 @@ ORACLE_SQL = {
     "accessors": _nested("""SELECT conv_id, pos, element_type AS type, content, level, encoding, element_order AS ord, CASE WHEN element_type = 'link' THEN 'https://example.com/' END AS href,
       element_type IN ('heading', 'paragraph', 'code', 'blockquote', 'list', 'table', 'hr', 'metadata', 'image', 'raw') AS valid, 9 AS set_level, 'x' AS set_content, 3 AS set_order FROM nested"""),
     "builders": """SELECT conv_id, turn, i AS pos, kind, element_type,
-        CASE i WHEN 0 THEN role WHEN 2 THEN substr(text, 1, 20) WHEN 4 THEN role WHEN 6 THEN role WHEN 3 THEN '' WHEN 7 THEN '' WHEN 8 THEN '' END AS content, level, 'text' AS encoding,
+        CASE i WHEN 0 THEN role WHEN 2 THEN text WHEN 4 THEN role WHEN 6 THEN role WHEN 3 THEN '' WHEN 7 THEN '' WHEN 8 THEN '' END AS content, level, 'text' AS encoding,
         CASE WHEN i = 0 THEN 'heading_level=' || (1 + turn % 3) ELSE a END AS attributes, i AS element_order
       FROM conversations, (VALUES (0, 'block', 'heading', 1, ''), (1, 'block', 'paragraph', 1, ''), (2, 'inline', 'text', 2, ''), (3, 'inline', 'space', 2, ''), (4, 'inline', 'bold', 2, ''),
         (5, 'block', 'list', 1, 'list_type=bullet;ordered=false'), (6, 'block', 'list_item', 2, 'ordered=false'), (7, 'block', 'list_item', 2, 'ordered=false'), (8, 'block', 'hr', 1, '')) s(i, kind, element_type, level, a)""",
@@ -216,13 +214,16 @@ ORACLE_SQL = {
       j AS (SELECT conv_id, element_type, content, a.l AS before_level, b.l AS after_level, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b USING (conv_id, element_type, content))
       SELECT conv_id, CASE WHEN y > x THEN 'ADDED' WHEN x > y THEN 'REMOVED' ELSE 'MOVED' END AS change, element_type, content, CASE WHEN x = y THEN x ELSE abs(x - y) END AS n, before_level, after_level
       FROM j WHERE x <> y OR before_level IS DISTINCT FROM after_level""",
-    "validate": _nested("""SELECT conv_id, element_order, 'V3' AS rule, 'level' AS field FROM (SELECT *, lag(level) OVER (PARTITION BY conv_id ORDER BY pos) AS p FROM nested) WHERE p > 0 AND level > p + 1
-      UNION ALL SELECT conv_id, element_order, 'L4', 'list' FROM nested WHERE element_type = 'caption'"""),
-    "lint": f"WITH {NESTED}, {_LINT}",
-    "quality": _flat(""", h AS (SELECT conv_id, element_order, split_part(content, ' ', 1) AS c, right(attributes, 1)::INTEGER AS r, lead(right(attributes, 1)::INTEGER) OVER (PARTITION BY conv_id ORDER BY element_order) AS n
-        FROM flat WHERE element_type = 'heading')
-      SELECT conv_id, element_order, 'empty_section' AS rule FROM h WHERE n <= r
-      UNION ALL SELECT conv_id, min(element_order), 'duplicate_heading' FROM h GROUP BY conv_id, c, r HAVING count(*) > 1"""),
+    "validate": f"WITH {NESTED}, {oracle_rules.validate('nested')}",
+    "validate_irregular": f"WITH {IRREGULAR_ROWS}, {oracle_rules.validate('odd')}",
+    "validate_deep": f"WITH {DEEP_ROWS}, {oracle_rules.validate('deep')}",
+    "lint": f"WITH {NESTED}, {oracle_rules.lint('nested')}",
+    "lint_irregular": f"WITH {IRREGULAR_ROWS}, {oracle_rules.lint('odd')}",
+    "quality": f"WITH {FLAT}, {oracle_rules.quality('flat')}",
+    "quality_irregular": f"WITH {IRREGULAR_ROWS}, {oracle_rules.quality('odd')}",
+    "body_deep": f"WITH {DEEP_ROWS}, {_units('deep')} SELECT {_COLUMNS} FROM hid WHERE NOT hidden",
+    "to_text_deep": f"WITH {DEEP_ROWS}, {_units('deep')} SELECT conv_id, coalesce(string_agg(t, {_BLANK} ORDER BY pos) FILTER (t <> ''), '') AS text FROM said GROUP BY conv_id",
+    "headings_deep": f"WITH {DEEP_ROWS} SELECT conv_id, 1 + pos % 3 AS level, content AS title, '' AS id, element_order FROM deep WHERE pos % 4 = 1",
     "compact_lines": _flat(f"SELECT conv_id, pos, {_JSON_LINE} AS line FROM flat"),
     "compact_roundtrip": _nested(_SAME),
     "heading_blocks": f"""WITH {_TITLES} SELECT conv_id, 'block' AS kind, 'heading' AS element_type, title AS content, 1 AS level, 'text' AS encoding,

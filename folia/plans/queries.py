@@ -10,9 +10,9 @@ from folia.functions import builders as B
 from folia.functions import elements as E
 from folia.functions import lists as L
 from folia.operators import check, outline, repair, retrieve, text, tree
-from folia.schema import FIELDS, to_list, to_rows
+from folia.schema import DDL, FIELDS, to_list, to_rows
 from folia.sources import compact
-from folia.sources.conversations import conversation_rows, nested_rows
+from folia.sources.conversations import conversation_rows, deep_rows, irregular_rows, nested_rows
 
 DOC = ["conv_id"]
 
@@ -99,7 +99,7 @@ def builders(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = L.assemble(
         F.concat(
             B.heading(1 + F.col("turn") % 3, F.col("role")),
-            B.paragraph(parts=[B.text(F.substring("text", 1, 20)), B.space(), B.bold(F.col("role"))]),
+            B.paragraph(parts=[B.text(F.col("text")), B.space(), B.bold(F.col("role"))]),
             B.list_of(F.array(F.col("role"), F.lit(None).cast("string"))),
             B.hr(),
         )
@@ -144,18 +144,22 @@ def get_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(retrieve.get_pages(nested_rows(spark, sf_dir), DOC, 1, 2))
 
 
-def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.validate(nested_rows(spark, sf_dir), DOC).select(*DOC, "element_order", "rule", "field")
+def on_source(make, source, *columns):
+    """A query that applies an operator to a source's row form and keeps some columns."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = make(source(spark, sf_dir), DOC)
+        return found.select(*DOC, *columns) if columns else found
 
-def lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check.lint(nested_rows(spark, sf_dir), DOC).select(*DOC, "element_order", "rule", "severity")
+    return run
 
 
-def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the headings alone, named by their role."""
-    heads = conversation_rows(spark, sf_dir).where("element_type = 'heading'").withColumn("content", F.substring_index("content", " ", 1))
-    return check.quality(heads, DOC).select(*DOC, "element_order", "rule")
+def headings_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth of the deep rows is a heading."""
+    heading = F.col("pos") % 4 == 1
+    rank = F.create_map(F.lit("heading_level"), (1 + F.col("pos") % 3).cast("string"))
+    rows = deep_rows(spark, sf_dir).withColumns({"element_type": F.when(heading, "heading").otherwise(F.col("element_type")), "attributes": F.when(heading, rank).otherwise(F.col("attributes"))})
+    return text.headings(rows, DOC).select(*DOC, "level", "title", "id", "element_order")
 
 
 def inline_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +201,7 @@ QUERIES = {
     "filter_types": on_lists(lambda b: L.keep_types(b, ["heading", "text", "link"])),
     "exclude_types": on_lists(lambda b: L.drop_types(b, ["heading", "text", "link"])),
     "slice_orders": on_lists(lambda b: L.slice_orders(b, 3, 17)),
-    "assemble": on_lists(lambda b: L.assemble(L.slice_orders(b, 5, 40))),
+    "assemble": on_lists(lambda b: L.assemble(F.concat(F.reverse(b), F.array(F.lit(None).cast(DDL))))),
     "reorder": on_lists(lambda b: L.reorder(F.reverse(b))),
     "concat": on_lists(lambda b: L.concat(L.slice_orders(b, 0, 2), L.slice_orders(b, 5, 6))),
     "merge": merged,
@@ -218,9 +222,16 @@ QUERIES = {
     "get_pages": get_pages,
     "get_pages_text": on_rows(retrieve.get_pages_text, first=1, last=2),
     "diff": diff,
-    "validate": validate,
-    "lint": lint,
-    "quality": quality,
+    "validate": on_source(check.validate, nested_rows, "element_order", "rule", "field"),
+    "validate_irregular": on_source(check.validate, irregular_rows, "element_order", "rule", "field"),
+    "validate_deep": on_source(check.validate, deep_rows, "element_order", "rule", "field"),
+    "lint": on_source(check.lint, nested_rows, "element_order", "rule", "severity"),
+    "lint_irregular": on_source(check.lint, irregular_rows, "element_order", "rule", "severity"),
+    "quality": on_source(check.quality, conversation_rows, "element_order", "rule"),
+    "quality_irregular": on_source(check.quality, irregular_rows, "element_order", "rule"),
+    "body_deep": lambda spark, sf_dir: flat(tree.body(deep_rows(spark, sf_dir), DOC)),
+    "to_text_deep": on_source(text.to_text, deep_rows),
+    "headings_deep": headings_deep,
     "compact_lines": compact_lines,
     "compact_roundtrip": compact_roundtrip,
     "normalize": on_lists(repair.normalize),
