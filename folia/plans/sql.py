@@ -95,6 +95,28 @@ def functions() -> dict[str, tuple[str, str, str]]:
         "build_linebreak": ("", LIST_DDL, _one("inline", "linebreak", content="''")),
         "build_raw": ("format string, content string", LIST_DDL, _one("block", "raw", "map('format', coalesce(format, 'html'))")),
     }
+    item = "transform(coalesce(items, cast(array() as array<string>)), (t, i) -> " + _element("block", "'list_item'", "coalesce(t, '')", "2", attrs="map('ordered', '{o}')", order="i + 1") + ")"
+    shown = lambda x: f"array_min(transform({x}, b -> coalesce(b.level, 1)))"
+    under = lambda x: "transform(" + _live(f"coalesce({x}, cast(array() as {LIST_DDL}))") + ", (b, i) -> " + _with("b", level=f"cast(coalesce(b.level, 1) + 2 - {shown(_live(x))} as int)", element_order="cast(i as int)") + ")"
+    # a struct with a map isn't comparable, so the sort compares by order and place alone
+    by_order = "transform(array_sort(transform(" + _live("blocks") + ", (b, i) -> struct(coalesce(b.element_order, 0) as o, i as i, b as b)), (x, y) -> case when x.o < y.o then -1 when x.o > y.o then 1 else x.i - y.i end), x -> x.b)"
+    rank = "coalesce(try_cast(nullif(regexp_extract(coalesce(try_element_at(b.attributes, 'heading_level'), ''), '^[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]*([+-]?[0-9]+)', 1), '') as int), b.level, 1)"
+    moved = _with("b", attributes=f"map_concat(map_filter(coalesce(b.attributes, {_NO_ATTRS}), (k, v) -> k <> 'heading_level'), map('heading_level', cast(greatest(1, least(6, {rank} + coalesce(offset_, 0))) as string)))")
+    top_own = f"coalesce(array_max(transform({_live('blocks')}, b -> coalesce(b.element_order, 0))), -1)"
+    found |= {
+        "build_ul": ("items array<string>", LIST_DDL, f"concat(array({_element('block', "'list'", 'null', attrs="map('ordered', 'false', 'list_type', 'bullet')")}), {item.replace('{o}', 'false')})"),
+        "build_ol": ("items array<string>", LIST_DDL, f"concat(array({_element('block', "'list'", 'null', attrs="map('ordered', 'true', 'list_type', 'ordered')")}), {item.replace('{o}', 'true')})"),
+        "build_div": (f"children {LIST_DDL}, id string, class_ string", LIST_DDL, f"concat(array({_element('block', "'div'", 'null', attrs=_given(id='id', class_='class_'))}), {under('children')})"),
+        "build_metadata": ("content string", LIST_DDL, f"array({_element('block', "'metadata'", 'content', encoding="'yaml'")})"),
+        "build_section": (f"rank int, title string, children {LIST_DDL}", LIST_DDL, f"concat({_one('block', 'heading', "map('heading_level', cast(coalesce(rank, 2) as string))", "coalesce(title, '')")}, transform({_live(f'coalesce(children, cast(array() as {LIST_DDL}))')}, (b, i) -> {_with('b', element_order='cast(i + 1 as int)')}))"),
+        "build_math": ("content string", LIST_DDL, _one("inline", "math", "map('display', 'inline')", "coalesce(content, '')")),
+        "build_quoted": ("content string", LIST_DDL, _one("inline", "quoted", "map('quote_type', 'double')", "coalesce(content, '')")),
+        "build_cite": ("key string", LIST_DDL, _one("inline", "cite", _given(key="key"), "coalesce(key, '')")),
+        "build_span": ("content string, id string, class_ string", LIST_DDL, _one("inline", "span", _given(id="id", class_="class_"), "coalesce(content, '')")),
+        "elements_reorder": (f"blocks {LIST_DDL}", LIST_DDL, _numbered(by_order)),
+        "elements_stamp": (f"blocks {LIST_DDL}", LIST_DDL, f"case when blocks is not null then concat(blocks, array({_element('value', "'version'", f"'{V.SPEC_VERSION}'", order=f'{top_own} + 1')})) end"),
+        "elements_rebase_levels": (f"blocks {LIST_DDL}, offset_ int", LIST_DDL, f"transform({_live('blocks')}, b -> case when b.element_type = 'heading' and {rank} > 0 then {moved} else b end)"),
+    }
     for rank in range(1, 7):
         found[f"build_h{rank}"] = ("content string", LIST_DDL, _one("block", "heading", f"map('heading_level', '{rank}')"))
     for name in _TEXT_INLINES:

@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_COLUMNS = "column_name string, column_type string, min string, max string, approx_unique long, avg double, std double, q25 string, q50 string, q75 string, count long, null_percentage double"
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """Columns ``column_name``, ``column_type``, ``min``, ``max``, ``approx_unique``, ``count`` and ``null_count``; one pass.
+    """One row for each column, in one pass over the table.
 
-    Types without an order have null extremes.
+    ``column_name``, ``column_type``, ``min``, ``max``, ``approx_unique``,
+    ``avg`` and ``std`` (of the sample), the approximate quartiles ``q25``,
+    ``q50`` and ``q75``, ``count`` (rows) and ``null_percentage`` (null without
+    rows). Averages and quartiles are null where values aren't numbers, extremes
+    where they have no order.
     """
     numeric = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
+    none = F.lit(None)
     parts = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
-        flat = not kind.startswith(("array", "map", "struct", "variant", "binary"))
-        least = F.min(c).cast("string") if flat else F.lit(None).cast("string")
-        most = F.max(c).cast("string") if flat else F.lit(None).cast("string")
+        flat, number = not kind.startswith(("array", "map", "struct", "variant", "binary")), kind.startswith(numeric)
+        least, most = (F.min(c).cast("string"), F.max(c).cast("string")) if flat else (none.cast("string"), none.cast("string"))
         unique = F.approx_count_distinct(c if flat else F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string"))
-        mean = F.avg(c).cast("double") if kind.startswith(numeric) else F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("column_type"), least.alias("min"), most.alias("max"), unique.alias("approx_unique"), mean.alias("avg"), F.count(F.lit(1)).alias("count"), F.count_if(c.isNull()).alias("null_count")))
+        mean, deviation = (F.avg(c).cast("double"), F.stddev(c).cast("double")) if number else (none.cast("double"), none.cast("double"))
+        quarters = [(F.percentile_approx(c, q) if number else none).cast("string").alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
+        rows = F.count(F.lit(1))
+        nulls = F.round(F.try_divide(F.count_if(c.isNull()) * 100, rows), 2).cast("double")
+        parts.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("column_type"), least.alias("min"), most.alias("max"), unique.alias("approx_unique"), mean.alias("avg"), deviation.alias("std"), *quarters, rows.alias("count"), nulls.alias("null_percentage")))
     if not parts:
-        return df.sparkSession.createDataFrame([], "column_name string, column_type string, min string, max string, approx_unique long, avg double, count long, null_count long")
+        return df.sparkSession.createDataFrame([], _COLUMNS)
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 

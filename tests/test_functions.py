@@ -285,3 +285,28 @@ def test_properties_of_lists(spark):
     b = F.col("blocks")
     row = docs.select(F.size(L.merge(b, b)), F.size(L.keep_types(b, ["code"])), F.size(L.drop_types(b, ["code"])), F.size(L.reorder(b))).first()
     assert tuple(row) == (8, 2, 2, 4)
+
+
+@pytest.mark.parametrize("levels", [13, 40, 300])
+def test_documents_of_any_depth(spark, levels):
+    nested = [make("block", "list" if i % 2 else "list_item", "", i + 1) for i in range(levels)]
+    doc = [make("block", "heading", "Top", 1, heading_level="1"), *nested, make("inline", "text", "deep", levels + 1), make("block", "metadata", "", 1), *[make("block", "div", "gone", i + 2) for i in range(levels)]]
+    rows = rows_of(spark, doc)
+    assert text.to_text(rows, ["d"]).first()["text"] == "Top\n\ndeep"
+    assert [r["title"] for r in text.headings(rows, ["d"]).collect()] == ["Top"] == [r["title"] for r in outline.toc(rows, ["d"]).collect()]
+    assert tree.body(rows, ["d"]).count() == levels + 2
+    assert {r["rule"] for r in check.validate(rows, ["d"]).collect()} == {"L4"} and "empty_element" not in {r["rule"] for r in check.lint(rows, ["d"]).collect()}
+
+
+def test_quality_goes_by_the_next_larger_order(spark):
+    doc = [make("block", "heading", "A", 1, heading_level="2"), make("block", "paragraph", "same order", 1), make("block", "heading", "B", 1, heading_level="2")]
+    rows = rows_of(spark, doc).withColumn("element_order", F.when(F.col("pos") < 2, 0).otherwise(1))
+    assert [(r["rule"], r["element_order"]) for r in check.quality(rows, ["d"]).collect()] == [("empty_section", 0)]
+
+
+def test_normalize_many_tight_items():
+    doc = [make("block", "list", "", 1)]
+    for i in range(100_000):
+        doc += [make("block", "list_item", "", 2, 2 * i + 1), make("block", "plain", "x", 3, 2 * i + 2)]
+    out = repair.normalize_elements(doc)
+    assert len(out) == 100_001 and all(e["content"] == "x" for e in out[1:]) and [e["element_order"] for e in out] == list(range(100_001))
