@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_COLUMNS = "column_name string, column_type string, min string, max string, approx_unique long, avg double, std double, q25 string, q50 string, q75 string, count long, null_percentage double"
+_COLUMNS = "column_name string, column_type string, min string, max string, approx_unique long, avg double, std double, q25 string, q50 string, q75 string, count long, null_count long, null_percentage double"
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def profile(df: DataFrame) -> DataFrame:
 
     ``column_name``, ``column_type``, ``min``, ``max``, ``approx_unique``,
     ``avg`` and ``std`` (of the sample), the approximate quartiles ``q25``,
-    ``q50`` and ``q75``, ``count`` (rows) and ``null_percentage`` (null without
-    rows). Averages and quartiles are null where values aren't numbers, extremes
+    ``q50`` and ``q75``, ``count`` (rows), ``null_count`` and ``null_percentage``
+    (null without rows). Averages and quartiles are null where values aren't numbers, extremes
     where they have no order.
     """
     numeric = ("int", "bigint", "smallint", "tinyint", "float", "double", "decimal")
@@ -30,7 +30,7 @@ def profile(df: DataFrame) -> DataFrame:
         quarters = [(F.percentile_approx(c, q) if number else none).cast("string").alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
         rows = F.count(F.lit(1))
         nulls = F.round(F.try_divide(F.count_if(c.isNull()) * 100, rows), 2).cast("double")
-        parts.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("column_type"), least.alias("min"), most.alias("max"), unique.alias("approx_unique"), mean.alias("avg"), deviation.alias("std"), *quarters, rows.alias("count"), nulls.alias("null_percentage")))
+        parts.append(F.struct(F.lit(name).alias("column_name"), F.lit(kind).alias("column_type"), least.alias("min"), most.alias("max"), unique.alias("approx_unique"), mean.alias("avg"), deviation.alias("std"), *quarters, rows.alias("count"), F.count_if(c.isNull()).alias("null_count"), nulls.alias("null_percentage")))
     if not parts:
         return df.sparkSession.createDataFrame([], _COLUMNS)
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")

@@ -276,6 +276,7 @@ def test_render_columns(spark):
 def test_profile(spark):
     rows = {r["column_name"]: r for r in profile(spark.range(5).withColumn("s", F.lit(None).cast("string"))).collect()}
     assert rows["id"]["max"] == "4" and rows["s"]["null_count"] == 5
+    assert (rows["id"]["q25"], rows["id"]["q50"], rows["id"]["q75"], rows["s"]["null_percentage"]) == ("1", "2", "3", 100.0) and rows["id"]["std"] == pytest.approx(2.5**0.5)
     assert quote("a'b") == "'a''b'" and quote(None) == "''"
 
 
