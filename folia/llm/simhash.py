@@ -14,8 +14,12 @@ smaller Hamming space with a vantage-point tree of its own:
   and asked about in every shard that the triangle bound can't exclude: at a
   node with vantage ``v`` and radius ``m``, a point at distance ``d`` visits the
   inner side if ``d - r <= m`` and the outer side if ``d + r > m``;
+* a shard that got far more points than its share is parted anew by trees over
+  the other blocks: of two fingerprints within the distance, one of those
+  blocks differs by no more than its part again;
 * each shard builds the lower levels over all that it holds, in memory, and
-  answers its queries through the same bounds, many queries at a time; leaves
+  answers its queries through the same bounds, many queries at a time; where
+  all points have the same bits in a block, the other blocks part them; leaves
   verify the distance over the whole fingerprint.
 
 The sample decides how even the shards are, never what is found. A shard
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import checkpointed, with_kernel, written
+from folia.llm.common import drop_written, release_others, with_kernel, written, written_with
 from folia.workers import reach_workers
 
 #: Seed of the shingle hash.
@@ -150,24 +154,31 @@ class _Forest:
             np.minimum.at(self.up, hi, lo)
 
 
-def _search(members: np.ndarray, queries: np.ndarray, codes: np.ndarray, mask: int, r: int, limit: int, forest: _Forest, rng, leaf: int = 48, cells: int = 1 << 20) -> None:
+def _search(members: np.ndarray, queries: np.ndarray, codes: np.ndarray, mask: int, rest: tuple[int, ...], r: int, limit: int, forest: _Forest, rng, leaf: int = 48, cells: int = 1 << 20) -> None:
     """Joins each query with the members within ``limit`` bits, by descending a tree over the members.
 
     ``members`` and ``queries`` are positions in ``codes``. Work is done for
     all queries of a node at a time; a leaf compares in blocks of ``cells``.
+    Members that agree on the whole of ``mask`` are parted by the blocks of
+    ``rest``.
     """
-    m64 = np.uint64(mask)
-    stack = [(members, queries)]
+    stack = [(members, queries, mask, rest, r)]
     while stack:
-        own, ask = stack.pop()
+        own, ask, mask, rest, r = stack.pop()
         if not len(own) or not len(ask):
             continue
+        m64 = np.uint64(mask)
         parted = _halves(codes[own] & m64, rng) if len(own) > leaf and len(ask) > 8 else None
         if parted is not None:
             v, m, d = parted
             far = np.bitwise_count((codes[ask] & m64) ^ v).astype(np.int64)
-            stack.append((own[d <= m], ask[far - r <= m]))
-            stack.append((own[d > m], ask[far + r > m]))
+            stack.append((own[d <= m], ask[far - r <= m], mask, rest, r))
+            stack.append((own[d > m], ask[far + r > m], mask, rest, r))
+            continue
+        first = codes[own[0]] & m64
+        if rest and len(own) > leaf and len(ask) > 8 and np.all(codes[own] & m64 == first):
+            ask = ask[np.bitwise_count((codes[ask] & m64) ^ first) <= r]
+            stack.extend((own, ask, block, tuple(b for b in rest if b != block), limit // len(rest)) for block in rest)
             continue
         step = max(1, cells // len(own))
         for at in range(0, len(ask), step):
@@ -177,101 +188,177 @@ def _search(members: np.ndarray, queries: np.ndarray, codes: np.ndarray, mask: i
             forest.join(part[i], own[j])
 
 
+class _Level:
+    """A tree over one block of bits, whose leaves are the shards from ``first`` on."""
+
+    def __init__(self, sample: np.ndarray, mask: int, rest: tuple[int, ...], limit: int, points: int, shard_points: int, first: int):
+        self.mask, self.rest, self.first = mask, rest, first
+        self.r = limit // (len(rest) + 1)
+        leaves: list[int] = []
+        depth = max(5, math.ceil(math.log2(max(2, points / shard_points))))
+        self.tree = _tree(sample & np.uint64(mask), depth, np.random.default_rng(first), leaves)
+        self.after = first + len(leaves)
+
+    def visits(self, codes: np.ndarray, r: int) -> list[tuple[int, np.ndarray]]:
+        """(shard, positions of the codes that visit it) for a radius; 0 gives each code's home."""
+        out: list = []
+        _routes(self.tree, codes & np.uint64(self.mask), np.arange(len(codes)), r, out)
+        return [(self.first + shard, at) for shard, at in out]
+
+    def homes(self, codes: np.ndarray) -> np.ndarray:
+        home = np.empty(len(codes), dtype=np.int64)
+        for shard, at in self.visits(codes, 0):
+            home[at] = shard
+        return home
+
+
+def _levels(sample: np.ndarray, masks: tuple[int, ...], limit: int, points: int, shard_points: int, first: int) -> list[_Level]:
+    """A tree for each block of ``masks``."""
+    out: list[_Level] = []
+    for mask in masks:
+        out.append(_Level(sample, mask, tuple(b for b in masks if b != mask), limit, points, shard_points, out[-1].after if out else first))
+    return out
+
+
+def _routed(rows: DataFrame, plan, stored_only: bool = False) -> DataFrame:
+    """Rows (shard, fp, stored) of shards in ``plan`` dealt to that plan's shards; other rows stay."""
+
+    def route(batches):
+        import pyarrow as pa
+
+        release_others(__name__)
+        for batch in batches:
+            shards, fps, stored = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for shard in np.unique(shards).tolist():
+                own = np.nonzero(shards == shard)[0]
+                some, keeps = fps[own].astype(np.int64), stored[own].astype(bool)
+                if shard not in plan.value:
+                    yield batch.take(pa.array(own))
+                    continue
+                for level in plan.value[shard]:
+                    home = level.homes(some.view(np.uint64))
+                    parts = ((s, np.nonzero(home == s)[0]) for s in np.unique(home).tolist()) if stored_only else level.visits(some.view(np.uint64), level.r)
+                    for target, at in parts:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), target, dtype=np.int32)), pa.array(some[at]), pa.array((home[at] == target) & keeps[at])], names=["shard", "fp", "stored"])
+
+    return rows.mapInArrow(route, "shard int, fp long, stored boolean")
+
+
+def _sampled(rows: DataFrame, share: float) -> DataFrame:
+    """About a share of some fingerprints, by a hash of them."""
+    return rows.where(F.xxhash64(F.col("fp"), F.lit(7)) <= int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else rows
+
+
 def links(points: DataFrame, max_distance: int = 4, bands: int = 4, sample_rows: int = 20_000, shard_points: int = 4_096) -> DataFrame:
     """Edges (a, b), a > b, whose components are those of "at most ``max_distance`` bits apart".
 
     ``points``: distinct longs in column ``fp``. A spanning forest of every
-    shard's links, not all links. An empty table gives no edges.
+    shard's links, not all links. An empty table gives no edges. The driver
+    sees a sample of some ``sample_rows`` fingerprints, or a 64th of more, up to
+    two million, and the number of points of each shard.
     """
     spark = points.sparkSession
     reach_workers(spark)
     total = points.count()
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
-    # by hash, so that any order of rows gives a fair sample; only the balance of the shards hangs on it
-    picked = points.orderBy(F.xxhash64(F.col("fp"), F.lit(7))).limit(sample_rows)
-    sample = np.array([r[0] for r in picked.collect()], dtype=np.int64).view(np.uint64)
-    depth = min(10, max(5, math.ceil(math.log2(max(2, total / shard_points)))))
-    r = max_distance // bands
-    trees = []
-    n_shards = 0
-    for mask in _blocks(bands):
-        leaves: list[int] = []
-        tree = _tree(sample & np.uint64(mask), depth, np.random.default_rng(len(trees)), leaves)
-        trees.append((mask, n_shards, tree))
-        n_shards += len(leaves)
-    plan = spark.sparkContext.broadcast(trees)
-
-    def route(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes, every = fps.view(np.uint64), np.arange(len(fps))
-            for mask, first, tree in plan.value:
-                masked = codes & np.uint64(mask)
-                home = np.empty(len(fps), dtype=np.int64)
-                out: list = []
-                _routes(tree, masked, every, 0, out)
-                for shard, at in out:
-                    home[at] = shard
-                out = []
-                _routes(tree, masked, every, r, out)
-                for shard, at in out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), first + shard, dtype=np.int32)), pa.array(fps[at]), pa.array(home[at] == shard)], names=["shard", "fp", "stored"]
-                    )
-
-    masks = [(first, mask) for mask, first, _ in trees]
+    fetch = lambda rows: np.array([r[0] for r in rows.collect()], dtype=np.int64).view(np.uint64)
+    wanted = min(max(sample_rows, total // 64), 2_000_000)
+    upper = {-1: _levels(fetch(_sampled(points, wanted / total).select("fp")), tuple(_blocks(bands)), max_distance, total, shard_points, 0)}
+    levels = upper[-1]
+    source = points.select(F.lit(-1).alias("shard"), "fp", F.lit(True).alias("stored"))
+    plan = spark.sparkContext.broadcast(upper)
+    held = _routed(source, plan, stored_only=True)
+    heavy = dict(held.groupBy("shard").count().where(F.col("count") > 16 * shard_points).collect())
+    routed = _routed(source, plan)
+    lower: dict[int, list[_Level]] = {}
+    for shard, n in heavy.items() if bands > 1 else ():
+        above = next(x for x in levels if x.first <= shard < x.after)
+        sample = fetch(_sampled(held.where(F.col("shard") == shard), min(1.0, sample_rows / n)).select("fp"))
+        lower[shard] = _levels(sample, above.rest, max_distance, n, shard_points, levels[-1].after)
+        levels = [*levels, *lower[shard]]
+    if lower:
+        routed = _routed(routed, spark.sparkContext.broadcast(lower))
+    searched = spark.sparkContext.broadcast([(x.first, x.mask, x.rest, x.r) for x in levels])
 
     def search(key, table):
         import pandas as pd
 
+        release_others(__name__)
         shard = int(key[0])
-        mask = max((f, m) for f, m in masks if f <= shard)[1]
+        _, mask, rest, r = max(x for x in searched.value if x[0] <= shard)
         fps = table["fp"].to_numpy(dtype=np.int64)
         order = np.argsort(fps)
         fps, stored = fps[order], table["stored"].to_numpy(dtype=bool)[order]
         forest = _Forest(len(fps))
-        _search(np.nonzero(stored)[0], np.arange(len(fps)), fps.view(np.uint64), mask, r, max_distance, forest, np.random.default_rng(shard))
+        _search(np.nonzero(stored)[0], np.arange(len(fps)), fps.view(np.uint64), mask, rest, r, max_distance, forest, np.random.default_rng(shard))
         root = forest.roots()
         moved = np.nonzero(root != np.arange(len(fps)))[0]
         return pd.DataFrame({"a": fps[moved], "b": fps[root[moved]]})
 
-    routed = points.select("fp").mapInArrow(route, "shard int, fp long, stored boolean")
     return routed.groupBy("shard").applyInPandas(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each edge's component, by alternating large and small stars.
+    """(node, root): for each node but the smallest of its component, that smallest one, by alternating large and small stars.
 
     Every step takes minima by key with map-side combining and joins on the
-    key; no neighbourhood is gathered in one place. An empty table gives none.
+    key; no neighbourhood is gathered in one place. Rounds are written to the
+    shared folder, each in place of the last; their number grows with the
+    logarithm of a component's size, and more than ``max_rounds`` raise an
+    error. An empty table gives none.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
+    n, sign = F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    now, seen = written_with(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", n, sign)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = checkpointed(small)
-        sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(sign) == seen:
-            return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        seen = tuple(sign)
+        before, last = now, seen
+        now, seen = written_with(small, "edges", n, sign)
+        drop_written(before)
+        if seen == last:
+            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+#: Of a table that is broadcast, rows at most; of a fingerprint that is dealt by itself, rows at least.
+_BROADCAST_ROWS, _HOT_ROWS, _SALTS = 500_000, 20_000, 8
+
+
 def _placed(prints: DataFrame, id_col: str, max_distance: int, bands: int) -> DataFrame:
-    """Of rows with ``fp`` and ``rid``: (cfp, component_id, component_size, keeper), one row for each fingerprint."""
-    first = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("rid"))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("rows"), F.min(first).alias("first")))
-    roots = components(links(classes.select("fp"), max_distance, bands))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select(classes["fp"].alias("cfp"), "low", "rows", "first", F.coalesce("root", "fp").alias("root"))
-    whole = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("rows").alias("component_size"), F.min("first")["rid"].alias("keeper"))
-    return placed.join(whole, "root").select("cfp", "component_id", "component_size", "keeper")
+    """Of rows with ``fp`` and ``h``: (cfp, rows, component_id, component_size, keeper), one row for each fingerprint; the keeper has ``id`` and ``h``."""
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("h").alias("h"))
+    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("rows"), F.min(first).alias("first")), "classes")
+    roots = written(components(links(classes.select("fp"), max_distance, bands)), "roots")
+    members = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "low", "rows", "first", "root")
+    # a component's own smallest fingerprint isn't among its members
+    whole, (n,) = written_with(
+        members.select("root", "low", F.col("rows").alias("size"), "first").unionByName(classes.join(roots.select("root").distinct(), classes["fp"] == F.col("root")).select("root", "low", F.col("rows").alias("size"), "first"))
+        .groupBy("root").agg(F.min("low").alias("low"), F.sum("size").alias("size"), F.min("first").alias("first")), "components", F.count(F.lit(1)),
+    )
+    named = whole.select(F.col("root").alias("__root"), F.col("low").alias("component_id"), F.col("size").alias("component_size"), F.col("first").alias("keeper"))
+    if n <= _BROADCAST_ROWS:
+        joined = members.join(F.broadcast(named), F.col("root") == F.col("__root"))
+    else:  # a component of very many fingerprints is dealt to several tasks
+        salted = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        joined = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).join(salted, (F.col("root") == F.col("__root")) & (F.col("salt") == F.col("__salt")))
+    others = classes.join(roots, classes["fp"] == roots["node"], "left_anti").join(named, classes["fp"] == F.col("__root"), "left")
+    columns = ["component_id", "component_size", "keeper"]
+    alone = others.select(F.col("fp").alias("cfp"), "rows", *[F.when(F.col("__root").isNull(), F.col(o)).otherwise(F.col(c)).alias(c) for c, o in zip(columns, ("low", "rows", "first"), strict=True)])
+    return joined.select(F.col("fp").alias("cfp"), "rows", *columns).unionByName(alone)
+
+
+def _with_component(prints: DataFrame, id_col: str, max_distance: int, bands: int) -> DataFrame:
+    """``prints`` with the columns of :func:`_placed`; fingerprints of very many rows are looked up where those rows are."""
+    named, (hot,) = written_with(_placed(prints, id_col, max_distance, bands), "placed", F.count_if(F.col("rows") >= _HOT_ROWS))
+    if not hot:
+        return prints.join(named, prints["fp"] == named["cfp"])
+    often = F.broadcast(named.where(F.col("rows") >= _HOT_ROWS))
+    rare = prints.join(often, prints["fp"] == F.col("cfp"), "left_anti").join(named.where(F.col("rows") < _HOT_ROWS), F.col("fp") == F.col("cfp"))
+    return prints.join(often, prints["fp"] == F.col("cfp")).unionByName(rare)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, width: int = 4, bands: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -279,31 +366,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Adds ``fp`` (long), ``fingerprint`` (16 hex digits), ``component_id`` (the
     smallest id reachable over links, its own included) and ``component_size``
-    (rows) to the columns of ``keep`` (default: the id). Null and empty texts
-    have fingerprint zero and link as any other. Rows with a null id take part;
-    a component of null ids only has a null id. Repeated rows stay, with equal
-    results. An empty table gives no rows.
+    (rows) to the columns of ``keep`` (default: the id); kept columns of these
+    names give way. Null and empty texts have fingerprint zero and link as any
+    other. Rows with a null id take part; a component of null ids only has a
+    null id. Repeated rows stay, with equal results. An empty table gives no
+    rows.
     """
     if bands < 1 or max_distance < 0:
         raise ValueError("bands must be positive and max_distance not negative")
-    new = ("fp", "fingerprint", "component_id", "component_size", "rid")
+    new = ("fp", "fingerprint", "component_id", "component_size")
     out = [c for c in ([id_col] if keep is None else keep) if c not in new]
-    prints = fingerprints(docs, text_col, list(dict.fromkeys([id_col, *out])), width)
-    prints = written(prints.withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
-    named = _placed(prints, id_col, max_distance, bands)
-    return prints.join(named, prints["fp"] == named["cfp"]).select(*[prints[c] for c in out], "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("h"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(out)])
+    kept = [f"__k{i}" for i in range(len(out))]
+    prints = written(fingerprints(source, "__text", ["__id", "h", *kept], width), "fingerprints")
+    found = _with_component(prints, "__id", max_distance, bands)
+    return found.select(*[F.col(k).alias(c) for k, c in zip(kept, out, strict=True)], "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 4, width: int = 4, bands: int = 4) -> DataFrame:
-    """One row of each component, columns as they are: the one with the smallest id, of repeated ids any one.
+    """One row of each component, columns as they are: the one with the smallest id.
 
-    Null ids come after all others. Null and empty texts are one component.
+    Null ids come after all others; of different texts of one id the one with
+    the smallest hash stays, and of rows with equal id and text one. Null and
+    empty texts are one component. Texts aren't written or dealt out: rows that
+    go are told by id and a hash of the text.
     """
-    clash = {"fp": "__fp", "rid": "__rid"}
-    plain = docs.withColumnsRenamed({k: v for k, v in clash.items() if k in docs.columns})
-    own = clash.get(id_col, id_col) if id_col in clash and id_col in docs.columns else id_col
-    prints = fingerprints(plain, clash.get(text_col, text_col) if text_col in clash else text_col, plain.columns, width)
-    prints = written(prints.withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
-    keepers = _placed(prints.select(own, "fp", "rid"), own, max_distance, bands).select(F.col("keeper").alias("rid")).distinct()
-    kept = prints.join(keepers, "rid", "left_semi").select(*plain.columns)
-    return kept.withColumnsRenamed({v: k for k, v in clash.items() if k in docs.columns})
+    h = lambda c: F.xxhash64(F.col(c))
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), h(text_col).alias("h"))
+    prints = written(fingerprints(source, "__text", ["__id", "h"], width), "fingerprints")
+    found = _with_component(prints, "__id", max_distance, bands)
+    kept = (F.col("keeper.id").eqNullSafe(F.col("__id"))) & (F.col("keeper.h") == F.col("h"))
+    gone, (n_gone,) = written_with(found.where(~kept).select("__id", F.col("h").alias("__h")).distinct(), "gone", F.count(F.lit(1)))
+    again, (n_again,) = written_with(found.where(kept).groupBy("__id", F.col("h").alias("__h")).count().where("count > 1").select("__id", "__h"), "repeated", F.count(F.lit(1)))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (h(text_col) == F.col("__h"))
+    small = lambda table, n: F.broadcast(table) if n <= _BROADCAST_ROWS else table
+    out = docs.join(small(gone, n_gone), same, "left_anti")
+    if not n_again:
+        return out
+    same = out[id_col].eqNullSafe(F.col("__id")) & (h(text_col) == F.col("__h"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # of rows that repeat, one: combined in each task before they are dealt out
+    one = out.join(small(again, n_again), same, "left_semi").groupBy(F.col(id_col).alias("__id"), h(text_col).alias("__h")).agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__r"))
+    return out.join(small(again, n_again), same, "left_anti").unionByName(one.select("__r.*"))
