@@ -405,6 +405,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return out
     same = out[id_col].eqNullSafe(F.col("__id")) & (h(text_col) == F.col("__h"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     # of rows that repeat, one: combined in each task before they are dealt out
-    one = out.join(small(again, n_again), same, "left_semi").groupBy(F.col(id_col).alias("__id"), h(text_col).alias("__h")).agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("__r"))
+    one = out.join(small(again, n_again), same, "left_semi").groupBy(F.col(id_col).alias("__id"), h(text_col).alias("__h")).agg(F.min_by(whole, F.xxhash64(*plain)).alias("__r"))
     return out.join(small(again, n_again), same, "left_anti").unionByName(one.select("__r.*"))

@@ -1,26 +1,32 @@
 """Exact top-k search over binary codes through incremental multi-index hashing.
 
-A 64-bit code is cut into ``segments``. Codes at distance D from a query agree
-with it up to ``D // segments`` bits on at least one segment, so once every
-segment's table has been probed with all patterns of up to r differing bits,
-every code at distance ``segments * (r + 1) - 1`` or less has been seen. The
-radius grows from zero; a query ends when k verified codes lie within that
-bound, and the others go on. When the next radius has more patterns than the
-table has codes, what remains is compared with all codes, which covers
-everything.
+A 64-bit code is cut into ``segments``, each with a table of its own. Codes at
+distance D from a query agree with it up to ``D // segments`` bits on at least
+one segment, so once every segment's table has been probed with all patterns of
+up to r differing bits, every code at distance ``segments * (r + 1) - 1`` or
+less has been seen. The radius grows from zero, a job for each; a query ends
+when k verified codes lie within that bound, and only the others go on.
+
+A segment's table is dealt to shards by the leading bits of the segment's
+value, so that a shard holds a bounded number of codes; shards that many codes
+share are dealt further by a hash. A query goes to the shards whose leading bits
+differ from its own by no more than the radius, and is probed there with the
+patterns that spend the rest of it. No query meets a code that doesn't share a
+near segment with it. When the next radius' probes would take longer than all
+codes, the queries that are still open are compared with all codes in blocks,
+which covers everything.
 
 Rows are reduced to distinct codes first, each with its k + 1 smallest ids and
 how often each stands there (more can't be asked for), so a vector that a third
 of all rows share is one code. A query whose id stands at m codes looks for
 k + m pairs of id and code, so that k are left without its own.
-Codes are dealt to shards of bounded size and queries to blocks of bounded
-size; a task answers one block on one shard, and answers are merged by rank.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,11 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folia.llm.common import checkpointed, with_kernel
+from folia.llm.common import checkpointed, with_kernel, written, written_with
 from folia.workers import reach_workers
 
 BITS = 64
 
+#: A probe takes about as long as so many comparisons of codes.
+_PROBE_COST = 8
+
 
 def sign_code(vector: list[float | None] | None) -> int | None:
     """Bit i is set if component i is positive; of over 64 components, bit i is that of the sum of every 64th from i.
@@ -63,82 +72,155 @@ def _patterns(bits: int, r: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in itertools.combinations(range(bits), r)], dtype=np.uint64)
 
 
-def search(codes: np.ndarray, sizes: np.ndarray, queries: np.ndarray, k: int | np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the nearest codes that hold k rows (all codes that tie with the last): query, code, distance.
+def _segments(n_codes: int) -> int:
+    """As many segments as make a segment's values about as many as the codes, eight at most."""
+    return min(8, max(1, round(BITS / math.log2(max(2, n_codes)))))
 
-    ``codes`` are distinct; ``sizes`` says how many rows of each count. ``k``
-    may differ by query.
-    """
-    least = np.broadcast_to(k, len(queries))
-    cuts = [BITS * i // segments for i in range(segments + 1)]
-    tables = []
-    for a, b in itertools.pairwise(cuts):
-        part = (codes >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
-        order = np.argsort(part, kind="stable")
-        tables.append((np.uint64(a), b - a, order, part[order]))
-    found: list[list[np.ndarray]] = [[] for _ in queries]
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    open_ = np.arange(len(queries))
-
-    def settle(q: int, at: np.ndarray, covered: int) -> bool:
-        """Whether the codes seen so far, up to ``covered`` bits away, hold k rows; if so, reports them."""
-        d = np.bitwise_count(codes[at] ^ queries[q]).astype(np.int64)
-        rows = np.bincount(d, weights=sizes[at], minlength=BITS + 1).cumsum()
-        enough = int(np.searchsorted(rows, least[q]))
-        if enough > covered:
-            return False
-        near = d <= enough
-        out.append((q, at[near], d[near]))
-        return True
 
-    r = 0
-    while len(open_):
-        probes = sum(math.comb(bits, r) for _, bits, _, _ in tables) if r <= max(t[1] for t in tables) else len(codes)
-        if probes >= len(codes):
-            for q in open_:
-                if not settle(q, np.arange(len(codes)), BITS):
-                    d = np.bitwise_count(codes ^ queries[q]).astype(np.int64)
-                    out.append((q, np.arange(len(codes)), d))
-            break
-        for shift, bits, order, values in tables:
-            masks = _patterns(bits, r)
-            step = max(1, (1 << 20) // max(1, len(masks)))
-            for at in range(0, len(open_), step):
-                some = open_[at : at + step]
-                wanted = (((queries[some] >> shift) & np.uint64((1 << bits) - 1))[:, None] ^ masks[None, :]).ravel()
-                lo, hi = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
-                hit = np.nonzero(hi > lo)[0]
-                n = (hi - lo)[hit]
-                places = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hit) else np.zeros(0, dtype=np.int64)
-                owner = np.repeat(hit // len(masks), n)
-                ends = np.searchsorted(owner, np.arange(len(some) + 1))
-                for i, q in enumerate(some):
-                    if ends[i + 1] > ends[i]:
-                        found[q].append(order[places[ends[i] : ends[i + 1]]])
-        still = []
-        for q in open_:
-            if found[q]:
-                found[q] = [np.unique(np.concatenate(found[q]))]
-                if settle(q, found[q][0], segments * (r + 1) - 1):
-                    found[q] = []
-                    continue
-            still.append(q)
-        open_ = np.array(still, dtype=np.int64)
-        r += 1
-    if not out:
-        e = np.zeros(0, dtype=np.int64)
-        return e, e, e
-    return np.concatenate([np.full(len(a), q) for q, a, _ in out]), np.concatenate([a for _, a, _ in out]), np.concatenate([d for _, _, d in out])
+class _Layout:
+    """The cuts of codes into segments, and of segments' tables into shards of ``prefix`` leading bits."""
+
+    def __init__(self, segments: int, prefix: int):
+        self.cuts = [BITS * i // segments for i in range(segments + 1)]
+        self.prefix = min(prefix, *(b - a for a, b in itertools.pairwise(self.cuts)))
+
+    def bits(self, segment: int) -> int:
+        return self.cuts[segment + 1] - self.cuts[segment]
+
+    def values(self, codes: np.ndarray, segment: int) -> np.ndarray:
+        return (codes >> np.uint64(self.cuts[segment])) & np.uint64((1 << self.bits(segment)) - 1)
+
+    def shards(self, codes: np.ndarray, segment: int) -> np.ndarray:
+        return (self.values(codes, segment) >> np.uint64(self.bits(segment) - self.prefix)).astype(np.int64) + (segment << self.prefix)
+
+    def patterns(self, r: int) -> int:
+        """Probes of a query at radius r, over all segments."""
+        return sum(math.comb(self.bits(i), r) for i in range(len(self.cuts) - 1))
+
+
+def nearest(queries: np.ndarray, need: np.ndarray, owner: np.ndarray, at: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates (query, code) as positions, those that may be among a query's nearest: up to the distance by which ``need`` rows are seen."""
+    pair = np.unique(owner * np.int64(len(codes)) + at) if len(at) else np.zeros(0, dtype=np.int64)
+    owner, at = pair // max(1, len(codes)), pair % max(1, len(codes))
+    d = np.bitwise_count(codes[at] ^ queries[owner]).astype(np.int64)
+    slot = owner * (BITS + 1) + d
+    seen = np.bincount(slot, weights=sizes[at], minlength=len(queries) * (BITS + 1)).reshape(len(queries), BITS + 1).cumsum(axis=1)
+    last = (seen < need[:, None]).sum(axis=1)  # the first distance at which enough are seen
+    keep = d <= last[owner]
+    return owner[keep], at[keep], d[keep]
+
+
+def probe(layout: _Layout, shard: int, r: int, codes: np.ndarray, sizes: np.ndarray, queries: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of some queries in one shard at radius r exactly."""
+    segment, bits = shard >> layout.prefix, layout.bits(shard >> layout.prefix) - layout.prefix
+    low = np.uint64((1 << bits) - 1)
+    values = layout.values(codes, segment) & low
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    spent = np.bitwise_count(layout.shards(queries, segment) ^ shard).astype(np.int64)
+    owners, places = [], []
+    for used in np.unique(spent).tolist():
+        if not 0 <= r - used <= bits:
+            continue
+        masks, some = _patterns(bits, r - used), np.nonzero(spent == used)[0]
+        step = max(1, (1 << 20) // len(masks))
+        for i in range(0, len(some), step):
+            part = some[i : i + step]
+            wanted = ((layout.values(queries[part], segment) & low)[:, None] ^ masks[None, :]).ravel()
+            lo, hi = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
+            hit = np.nonzero(hi > lo)[0]
+            n = (hi - lo)[hit]
+            starts = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(hit) else np.zeros(0, dtype=np.int64)
+            places.append(order[starts + np.arange(n.sum() if len(hit) else 0)])
+            owners.append(np.repeat(part[hit // len(masks)], n))
+    empty = np.zeros(0, dtype=np.int64)
+    return nearest(queries, need, np.concatenate([empty, *owners]), np.concatenate([empty, *places]), codes, sizes)
+
+
+_FOUND = "qcode long, need long, code long, size long, distance int"
+
+
+def _answers(ask: np.ndarray, need: np.ndarray, own: np.ndarray, sizes: np.ndarray, q: np.ndarray, c: np.ndarray, d: np.ndarray):
+    import pandas as pd
+
+    return pd.DataFrame({"qcode": ask[q], "need": need[q], "code": own[c], "size": sizes[c], "distance": d.astype(np.int32)})
+
+
+def _dealt(codes: DataFrame, layout: _Layout) -> DataFrame:
+    """Codes by the shards of their segments: (shard, code, size)."""
+
+    def dealt(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in range(len(layout.cuts) - 1):
+                yield pa.RecordBatch.from_arrays([pa.array(layout.shards(own.view(np.uint64), i)), batch.column(0), batch.column(1)], names=["shard", "code", "size"])
 
+    return codes.select("code", F.col("size").cast("long").alias("size")).mapInArrow(dealt, "shard long, code long, size long")
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code", segments: int = 4, shard_codes: int = 65_536, block_queries: int = 4_096) -> DataFrame:
+
+def _probed(stored: DataFrame, queries: DataFrame, layout: _Layout, r: int, parts: dict[int, int]) -> DataFrame:
+    """Candidates of open queries at radius r. ``parts``: of shards that very many codes share, how many parts they are dealt to."""
+    spark, n_segments = stored.sparkSession, len(layout.cuts) - 1
+
+    def asked(batches):
+        import pyarrow as pa
+
+        masks = np.concatenate([_patterns(layout.prefix, i) for i in range(min(r, layout.prefix) + 1)]).astype(np.int64)
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in range(n_segments):
+                home = layout.shards(own.view(np.uint64), i)
+                for mask in masks.tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array(home ^ mask), batch.column(0), batch.column(1)], names=["shard", "qcode", "need"])
+
+    wanted = queries.select("qcode", "need").mapInArrow(asked, "shard long, qcode long, need long")
+    times = lambda: F.broadcast(spark.createDataFrame(list(parts.items()), "shard long, times int"))
+    n = F.coalesce(F.col("times"), F.lit(1))
+    stored = stored.join(times(), "shard", "left").select("shard", F.pmod(F.xxhash64("code", F.lit(13)), n).cast("int").alias("part"), "code", "size")
+    wanted = wanted.join(times(), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), "qcode", "need")
+
+    def answer(key, table, some):
+        own, ask, need = table["code"].to_numpy(np.int64), some["qcode"].to_numpy(np.int64), some["need"].to_numpy(np.int64)
+        sizes = table["size"].to_numpy(np.int64)
+        return _answers(ask, need, own, sizes, *probe(layout, int(key[0]), r, own.view(np.uint64), sizes, ask.view(np.uint64), need))
+
+    return stored.groupBy("shard", "part").cogroup(wanted.groupBy("shard", "part")).applyInPandas(answer, _FOUND)
+
+
+def _compared(codes: DataFrame, queries: DataFrame, n_codes: int, n_asked: int, shard_codes: int, block_queries: int) -> DataFrame:
+    """Nearest codes of some queries by comparing them with all codes, block by block."""
+    shards, blocks = max(1, math.ceil(n_codes / shard_codes)), max(1, math.ceil(n_asked / block_queries))
+    mix = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(n)).cast("int")
+    left = codes.select("code", F.col("size").cast("long").alias("size"), mix("code", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = queries.select("qcode", "need", mix("qcode", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+
+    def answer(table, some):
+        import pandas as pd
+
+        own, ask, need = table["code"].to_numpy(np.int64), some["qcode"].to_numpy(np.int64), some["need"].to_numpy(np.int64)
+        sizes, every = table["size"].to_numpy(np.int64), np.arange(len(table))
+        step = max(1, (1 << 21) // max(1, len(own)))
+        out = [_answers(ask[:0], need[:0], own, sizes, every[:0], every[:0], every[:0])]
+        for i in range(0, len(ask), step):
+            part = slice(i, i + step)
+            q, c = np.divmod(np.arange(len(ask[part]) * len(own)), max(1, len(own)))
+            out.append(_answers(ask[part], need[part], own, sizes, *nearest(ask[part].view(np.uint64), need[part], q, c, own.view(np.uint64), sizes)))
+        return pd.concat(out)
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(answer, _FOUND)
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code", segments: int | None = None, shard_codes: int = 16_384, block_queries: int = 4_096) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest rows of each query, its own row excepted.
 
     Ties of distance go to the smaller id; ranks begin at 1. A query with fewer
     than k other rows gets them all. Rows with a null code or id are neither
     found nor asked for; of repeated ids in ``queries`` one is asked. All rows
     whose id equals the query's id are the query's own; repeated rows of another
-    id are neighbours each. Either table may be empty: no rows then.
+    id are neighbours each. Columns other than id and code are not looked at.
+    Either table may be empty: no rows then.
     """
     spark = rows.sparkSession
     reach_workers(spark)
@@ -151,22 +233,32 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     # k + 1 ids of each code: the query's own may be among them. A rank limit is applied before rows are dealt out.
     first = Window.partitionBy("code").orderBy("id")
     few = checkpointed(entries.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("code", "id", "times", "n"))
-    codes = few.groupBy("code").agg(F.max("n").alias("size"))
-    questions = asked.select("code", "need").distinct()
-    n_codes, n_asked = codes.count(), questions.count()
-    shards, blocks = max(1, math.ceil(n_codes / shard_codes)), max(1, math.ceil(n_asked / block_queries))
-    mix = lambda n: F.pmod(F.xxhash64(F.col("code"), F.lit(11)), F.lit(n)).cast("int")
-    left = codes.select("code", "size", mix(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = questions.select("code", "need", mix(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def answer(table, wanted):
-        import pandas as pd
-
-        own, ask, need = table["code"].to_numpy(np.int64), wanted["code"].to_numpy(np.int64), wanted["need"].to_numpy(np.int64)
-        q, c, d = search(own.view(np.uint64), table["size"].to_numpy(np.int64), ask.view(np.uint64), need, segments)
-        return pd.DataFrame({"qcode": ask[q], "need": need[q], "code": own[c], "distance": d.astype(np.int32)})
-
-    pairs = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(answer, "qcode long, need long, code long, distance int")
+    codes = checkpointed(few.groupBy("code").agg(F.max("n").alias("size")))
+    open_ = asked.select(F.col("code").alias("qcode"), "need").distinct()
+    n_codes, n_open = codes.count(), open_.count()
+    layout = _Layout(segments or _segments(n_codes), max(0, math.ceil(math.log2(max(1, n_codes / shard_codes)))))
+    stored = _dealt(codes, layout)
+    crowded = stored.groupBy("shard").count().where(F.col("count") > 4 * shard_codes).collect() if n_codes > shard_codes else []
+    crowded = {shard: -(-n // (2 * shard_codes)) for shard, n in crowded}
+    found = spark.createDataFrame([], _FOUND)
+    parts = []
+    r = 0
+    while n_open and r <= layout.bits(0) and layout.patterns(r) * _PROBE_COST < n_codes:
+        near = found.unionByName(_probed(stored, open_, layout, r, crowded)).distinct()
+        # what may still be among the nearest: codes up to the distance by which enough rows are seen
+        closer = Window.partitionBy("qcode", "need").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+        near = near.withColumn("__closer", F.coalesce(F.sum("size").over(closer), F.lit(0))).where(F.col("__closer") < F.col("need")).drop("__closer")
+        covered = len(layout.cuts[1:]) * (r + 1) - 1
+        sure = F.sum(F.when(F.col("distance") <= covered, F.col("size"))).over(Window.partitionBy("qcode", "need"))
+        near = written(near.withColumn("done", F.coalesce(sure >= F.col("need"), F.lit(False))), f"radius-{r}")
+        parts.append(near.where("done").drop("done"))
+        found = near.where("not done").drop("done")
+        settled = parts[-1].select("qcode", "need").distinct()
+        open_, (n_open,) = written_with(open_.join(settled, ["qcode", "need"], "left_anti"), "open", F.count(F.lit(1)))
+        r += 1
+    if n_open:
+        parts.append(_compared(codes, open_, n_codes, n_open, shard_codes, block_queries))
+    pairs = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], _FOUND))
     by_code = Window.partitionBy("qcode", "need").orderBy("distance", "id")
     near = pairs.join(few, "code").withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= F.col("need")).select("qcode", "need", "id", "times", "distance")
     mine = Window.partitionBy("query_id").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
