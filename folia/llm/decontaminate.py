@@ -10,9 +10,11 @@ place) come first, then all words are compared, so what is left is exact.
 
 Everything is DataFrame operations, and the words of a document leave its row
 only where a prefix word matched and the comparison succeeded. The windows are
-broadcast in blocks of at most ``block_windows``, so that what is broadcast
-stays bounded however large the benchmark is; each further block is another
-pass over the documents.
+broadcast in blocks of at most ``block_windows`` windows and ``block_bytes``
+bytes, so that what is broadcast stays bounded however large the benchmark is;
+each further block is another pass over the documents. The items that hold a
+window are no part of that: windows with the same items share a number, and
+only documents with hits are joined with the items behind it.
 """
 
 from __future__ import annotations
@@ -40,16 +42,17 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """Distinct windows: ``words`` (array), ``size``, ``items`` (ids as strings that have it, sorted)."""
+    """Distinct windows: ``words`` (array), ``size``, ``items`` (ids as strings that have it, sorted) and ``items_id``, a number for these."""
     found = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("w") - size + 1)
     every = found.withColumn("size", size).select("item", "size", "w", F.explode(starts).alias("at")).select("item", "size", F.slice("w", F.col("at"), F.col("size")).alias("words"))
-    return every.groupBy("words", "size").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return every.groupBy("words", "size").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("items_id", F.xxhash64("items"))
 
 
-def _in_blocks(table: DataFrame, rows: int, per_block: int) -> list[DataFrame]:
-    blocks = max(1, -(-rows // per_block))
+def _in_blocks(table: DataFrame, rows: int, per_block: int, size: int = 0, block_bytes: int = 1) -> list[DataFrame]:
+    """A table in parts of about so many rows and bytes."""
+    blocks = max(1, -(-rows // per_block), -(-size // block_bytes))
     if blocks == 1:
         return [table]
     part = F.pmod(F.xxhash64(*table.columns), F.lit(blocks))
@@ -63,7 +66,7 @@ def rarity(docs: DataFrame, vocabulary: DataFrame, text_col: str, rows: int, per
     return vocabulary.join(reduce(DataFrame.unionByName, counted), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_windows: int = 100_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20, block_windows: int = 100_000, block_bytes: int = 64_000_000, broadcast_items: int = 1_000_000) -> DataFrame:
     """What of the benchmark each document holds, one row for each row of ``docs``.
 
     ``n_words``; ``n_hit``, the words inside any occurrence of a window;
@@ -74,51 +77,62 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ids are not listed. Repeated rows get equal results. An empty benchmark
     leaves every document clean; no documents, no rows.
     """
-    known = checkpointed(windows(benchmark, window, item_col, item_text_col).withColumn("wid", F.xxhash64("words")))
+    known = checkpointed(windows(benchmark, window, item_col, item_text_col))
     vocabulary = known.select(F.explode("words").alias("word")).distinct()
-    n_windows, n_words = known.count(), vocabulary.count()
+    n_words = vocabulary.count()
+    n_windows, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.array_join("words", " "))), F.lit(0))).first()
+    sets = known.groupBy(F.col("items_id").alias("__items_id")).agg(F.first("items").alias("__items"))
+    small = (sets.agg(F.sum(F.size("__items"))).first()[0] or 0) <= broadcast_items
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    plan = spark.createDataFrame([(_SELF, None, None, None, None)], "word string, shift int, size int, words array<string>, items array<string>")
+    plan = spark.createDataFrame([(_SELF, None, None, None, None)], "word string, shift int, size int, words array<string>, items_id long")
     passes = [plan]
     if n_windows:
         counts = checkpointed(rarity(docs, vocabulary, text_col, n_words, block_windows))
-        placed = known.select("words", "size", "items", F.posexplode("words").alias("shift", "word")).join(counts, "word")
+        placed = known.select("words", "size", "items_id", F.posexplode("words").alias("shift", "word")).join(counts, "word")
         rarest = Window.partitionBy("words").orderBy("n", "word", "shift")
-        prefix = checkpointed(placed.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("word", "shift", "size", "words", "items"))
-        passes = [part.unionByName(plan) for part in _in_blocks(prefix, n_windows, block_windows)]
+        prefix = checkpointed(placed.withColumn("r", F.row_number().over(rarest)).where("r = 1").select("word", "shift", "size", "words", "items_id"))
+        passes = [part.unionByName(plan) for part in _in_blocks(prefix, n_windows, block_windows, 3 * size, block_bytes)]
 
     def one(part: DataFrame, number: int) -> DataFrame:
-        part = part.select(*[F.col(c).alias(f"p_{c}") for c in ("word", "shift", "size", "words", "items")])
+        part = part.select(*[F.col(c).alias(f"p_{c}") for c in ("word", "shift", "size", "words", "items_id")])
         opened = source.select("id", "text_hash", words(F.col("text")).alias("w")).select("id", "text_hash", "w", F.posexplode(F.concat(F.array(F.lit(_SELF)), F.col("w"))).alias("pos", "word"))
         start = F.col("pos") - 1 - F.col("p_shift")  # of the window, words from 0
         fits = (start >= 0) & (start + F.col("p_size") <= F.size("w"))
         same = F.when(fits, F.slice("w", F.greatest(start + 1, F.lit(1)), F.col("p_size")) == F.col("p_words"))
         met = opened.join(F.broadcast(part), (F.col("word") == F.col("p_word")) & (F.col("p_size").isNull() | same))
         itself = F.col("p_size").isNull()
-        return met.select("id", "text_hash", F.when(itself, F.size("w")).alias("n_words"), F.when(itself & F.lit(number == 0), 1).alias("row"), F.when(~itself, F.struct(start.alias("a"), (start + F.col("p_size")).alias("b"))).alias("hit"), "p_items")
+        return met.select("id", "text_hash", F.when(itself, F.size("w")).alias("n_words"), F.when(itself & F.lit(number == 0), 1).alias("row"), F.when(~itself, F.struct(start.alias("a"), (start + F.col("p_size")).alias("b"))).alias("hit"), "p_items_id")
 
     met = reduce(DataFrame.unionByName, [one(part, i) for i, part in enumerate(passes)])
     by_doc = met.groupBy("id", "text_hash").agg(
         F.max("n_words").cast("bigint").alias("n_words"),
         F.count("row").cast("int").alias("rows"),
         F.array_sort(F.collect_set("hit")).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("p_items")))).alias("items"),
+        F.collect_set("p_items_id").alias("sets"),
     )
     covered = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda acc, hit: F.struct(F.greatest(acc["end"], hit["b"]).alias("end"), (acc["n"] + F.greatest(hit["b"] - F.greatest(acc["end"], hit["a"]), F.lit(0))).alias("n")),
     )["n"]
-    counted = by_doc.withColumn("n_hit", covered.cast("bigint")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return counted.select(
+    counted = by_doc.withColumn("n_hit", covered.cast("bigint")).drop("hits")
+    # one row for each document and set of items, without one for a document without hits
+    opened = counted.withColumn("__set", F.explode_outer("sets")).drop("sets")
+    met = opened.join(F.broadcast(sets) if small else sets, F.col("__set") == F.col("__items_id"), "left")
+    told = met.groupBy("id", "text_hash", "n_words", "n_hit", "rows").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("items"))
+    return told.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
         F.col("id").alias(id_col), "text_hash", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000, **settings) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, columns as they are."""
+    """The rows of ``docs`` that are not contaminated, columns as they are.
+
+    Null and empty texts and null ids stay, repeated rows go or stay together,
+    and an empty benchmark or table leaves all rows as they are.
+    """
     found = checkpointed(contamination(docs, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     small = found.count() <= broadcast_rows
     named = F.broadcast(found) if small else found
