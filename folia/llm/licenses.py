@@ -28,10 +28,41 @@ from folia.llm.common import with_kernel
 #: Base phrases and their labels (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Templates of the method: label and markup (fixed values; the wording is the licenses' own).
+#: Wording that several templates share (fixed values).
+_HOLDERS = """<<var;name="holders";original="THE AUTHORS OR COPYRIGHT HOLDERS";match=".{1,10}">>"""
+_GPL = """is free software; you can redistribute it and or modify
+        it under the terms of the GNU General Public License as published by the Free Software Foundation
+        <<beginOptional>>either<<endOptional>> version {v} <<beginOptional>>of the License<<endOptional>> <<beginOptional>>or (at your option) any later version<<endOptional>>"""
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY <<var;name="holders";original="THE COPYRIGHT HOLDERS AND CONTRIBUTORS";match=".{1,12}">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+        INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        <<var;name="liable";original="THE COPYRIGHT HOLDER OR CONTRIBUTORS";match=".{1,12}">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        <<beginOptional>><<var;name="b1";original="1";match="1|a">><<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        <<beginOptional>><<var;name="b2";original="2";match="2|b">><<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution."""
+
+#: Templates of the method: label and markup (fixed values; the wording is the licenses' own). Labels in ``-text`` are
+#: whole licenses, in ``-opening`` how their texts begin, in ``-header`` and ``-notice`` what files and readers are told.
 TEMPLATES = (
     (
         "mit-text",
+        f"""Permission is hereby granted, free of charge, to any person obtaining a copy of
+        <<var;name="what";original="this software and associated documentation files (the "Software")";match=".{{1,12}}">>,
+        to deal in the <<var;name="noun";original="Software";match="software|materials|work">> without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        <<var;name="noun2";original="Software";match="software|materials|work">>, and to permit persons to whom the <<var;name="noun3";original="Software";match="software|materials|work">> is
+        <<beginOptional>>furnished<<endOptional>> <<beginOptional>>provided<<endOptional>> to do so, subject to the following conditions:
+        The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the
+        <<var;name="noun4";original="Software";match="software|materials|work">>.
+        THE <<var;name="noun5";original="SOFTWARE";match="software|materials|work">> IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {_HOLDERS} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+        TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE <<var;name="noun6";original="SOFTWARE";match="software|materials|work">> OR THE USE OR OTHER DEALINGS IN THE
+        <<var;name="noun7";original="SOFTWARE";match="software|materials|work">>""",
+    ),
+    (
+        "mit-opening",
         """Permission is hereby granted, free of charge, to any person obtaining a copy of
         <<var;name="what";original="this software and associated documentation files (the "Software")";match=".{1,12}">>,
         to deal in the <<var;name="noun";original="Software";match="software|materials|work">> without restriction,
@@ -43,24 +74,43 @@ TEMPLATES = (
         <<beginOptional>>is<<endOptional>><<endOptional>>
         <<var;name="verb";original="Released";match="released|licensed|distributed|available|published">> under the <<beginOptional>>terms of the<<endOptional>> MIT License""",
     ),
+    (
+        "isc-text",
+        f"""Permission to use, copy, modify, <<var;name="and";original="and/or";match="and or|and">> distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="holder";original="THE AUTHOR";match=".{{1,8}}">> DISCLAIMS ALL WARRANTIES WITH REGARD TO
+        THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {_HOLDERS} BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE""",
+    ),
     (
         "apache-2-header",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this
         <<var;name="noun";original="file";match="file|software|work|project">> except in compliance with the License.
-        <<beginOptional>>You may obtain a copy of the License at<<endOptional>>""",
+        <<beginOptional>>You may obtain a copy of the License at <<beginOptional>>http://www.apache.org/licenses/LICENSE-2.0<<endOptional>>
+        <<beginOptional>>https://www.apache.org/licenses/LICENSE-2.0<<endOptional>><<endOptional>>
+        <<beginOptional>>Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.<<endOptional>>""",
     ),
     (
         "apache-2-notice",
         """<<var;name="verb";original="Licensed";match="released|licensed|distributed|available|published">> under the
         <<beginOptional>>terms of the<<endOptional>> Apache License <<beginOptional>>Version<<endOptional>> 2 <<beginOptional>>0<<endOptional>>""",
     ),
+    ("gpl-2-header", _GPL.replace("{v}", "2")),
+    ("gpl-3-header", _GPL.replace("{v}", "3")),
     (
         "gpl-3-notice",
         """<<var;name="verb";original="licensed";match="released|licensed|distributed|available|published">> under the <<beginOptional>>terms of the<<endOptional>>
         GNU General Public License <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3""",
     ),
+    ("bsd-2-text", f"{_BSD_CONDITIONS} {_BSD_WARRANTY}"),
+    (
+        "bsd-3-text",
+        f"""{_BSD_CONDITIONS} <<beginOptional>><<var;name="b3";original="3";match="3|c">><<endOptional>> Neither the name of <<var;name="owner";original="the copyright holder";match=".{{1,10}}">>
+        nor the names of <<beginOptional>>its<<endOptional>> <<beginOptional>>other<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. {_BSD_WARRANTY}""",
+    ),
     (
-        "bsd-text",
+        "bsd-opening",
         """Redistribution and use in source and binary forms, with or without modification, are permitted
         <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met""",
     ),
@@ -92,7 +142,7 @@ class Automaton:
         self.closed = [self._closure({s}) for s in range(len(self.arcs))]
         self.first = {w for s in self.closed[0] for w, _ in self.arcs[s]}
         #: With a space around each, the words without which nothing is accepted.
-        self.needed = [b" " + w + b" " for w in sorted({w for arcs in self.arcs for w, _ in arcs if w is not None}) if not self._reaches_end_without(w)]
+        self.needed = [b" " + w + b" " for w in sorted({w for arcs in self.arcs for w, _ in arcs if w is not None}, key=lambda w: (-len(w), w)) if not self._reaches_end_without(w)]
         if None in self.first or self.final in self.closed[0]:
             raise ValueError(f"template {label}: it must begin with words of its own")
 
@@ -187,21 +237,27 @@ def phrase_places(found: list[bytes], line: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan(text: str | None, automata: list[Automaton]) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int]]]:
+def starts(automata: list[Automaton]) -> dict[bytes, list[Automaton]]:
+    """The automata by the words that they may begin with."""
+    spots: dict[bytes, list[Automaton]] = {}
+    for a in automata:
+        for w in a.first:
+            spots.setdefault(w, []).append(a)
+    return spots
+
+
+def scan(text: str | None, automata: list[Automaton], spots: dict[bytes, list[Automaton]] | None = None) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int]]]:
     """(number of words, base places (label, word), accepted templates (label, first word, end))."""
     found = words(text)
     line = b" " + b" ".join(found) + b" "
     base = [(label, at) for phrase, label in PHRASES for at in phrase_places(found, line, phrase.encode())]
     accepted = []
-    spots: dict[bytes, list[Automaton]] = {}
-    for a in automata:
-        if all(w in line for w in a.needed):
-            for w in a.first:
-                spots.setdefault(w, []).append(a)
-    if spots:
+    tried = {id(a) for a in automata if all(w in line for w in a.needed)}
+    if tried:
+        spots = starts(automata) if spots is None else spots
         for at, w in enumerate(found):
             for a in spots.get(w, ()):
-                end = a.match(found, at)
+                end = a.match(found, at) if id(a) in tried else None
                 if end is not None:
                     accepted.append((a.label, at, end))
     return len(found), base, accepted
@@ -226,15 +282,18 @@ def license_scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     ``base_labels`` and ``labels`` (base and accepted templates), distinct,
     sorted and comma-joined, empty without one; ``score``: 1 if a template
     accepts, 0.8 if only base phrases stand there, 0 else. Null counts as empty.
+    Repeated rows get equal results; kept columns with the names of new ones
+    give way; no rows give no rows.
     """
 
     def make():
         automata = [Automaton(label, markup) for label, markup in templates]
+        spots = starts(automata)
 
         def kernel(texts):
             rows = []
             for text in texts:
-                n, base, accepted = scan(text, automata)
+                n, base, accepted = scan(text, automata, spots)
                 places = [at for _, at in base]
                 own = {label for label, _ in base}
                 labels = own | {label for label, _, _ in accepted}
