@@ -156,8 +156,14 @@ def pii_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with each span replaced by its kind in brackets; overlapping spans give way to the one that starts first."""
-    found = pii_spans(docs, text_col, "__pii")
+    """The rows with each span replaced by its kind in brackets; overlapping spans give way to the one that starts first, and then ends last.
+
+    Columns stay, whatever their names; null texts stay null.
+    """
+    own = "__pii"
+    while own in docs.columns:
+        own += "_"
+    found = pii_spans(docs, text_col, own)
     text = F.col(text_col)
 
     def step(acc: Column, span: Column) -> Column:
@@ -165,7 +171,7 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
         grown = F.concat(acc["out"], F.coalesce(text.substr(acc["at"].cast("int") + 1, (span["start"] - acc["at"]).cast("int")), F.lit("")), F.lit("["), F.upper(span["kind"]), F.lit("]"))
         return F.struct(F.when(skip, acc["at"]).otherwise(span["end"]).alias("at"), F.when(skip, acc["out"]).otherwise(grown).alias("out"))
 
-    ordered = F.array_sort("__pii", lambda a, b: (a["start"] - b["start"]).cast("int"))
+    ordered = F.array_sort(own, lambda a, b: F.when(a["start"] == b["start"], b["end"] - a["end"]).otherwise(a["start"] - b["start"]).cast("int"))
     done = F.aggregate(ordered, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step)
     rest = F.concat(done["out"], text.substr(done["at"].cast("int") + 1, F.length(text)))
-    return found.withColumn(text_col, F.when(F.size("__pii") > 0, rest).otherwise(text)).select(*docs.columns)
+    return found.withColumn(text_col, F.when(F.size(own) > 0, rest).otherwise(text)).select(*docs.columns)

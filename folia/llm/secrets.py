@@ -171,7 +171,8 @@ def secret_digests(docs: DataFrame, text_col: str = "text", keep: list[str] | No
     """Adds counts of the base kinds, a digest of the base spans and all spans as one string.
 
     ``base_sha256`` is over the base spans only; a text without spans has that
-    of the empty string. Null counts as empty.
+    of the empty string. Null counts as empty. Repeated rows get equal results;
+    kept columns with the names of new ones give way; no rows give no rows.
     """
 
     def make():
@@ -190,7 +191,7 @@ def secret_digests(docs: DataFrame, text_col: str = "text", keep: list[str] | No
 
 
 def redacted(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The rows with secrets in their texts replaced by ``[SECRET]``; columns and their order stay."""
+    """The rows with secrets in their texts replaced by ``[SECRET]``; columns and their order stay, null and empty texts and repeated rows too."""
     columns = docs.columns if keep is None else keep
 
     def make():
