@@ -221,10 +221,14 @@ _WORKER: dict[str, list] = {}
 HELD[__name__] = _WORKER
 
 
-def _cached(path: str) -> list:
-    if path not in _WORKER:
-        _WORKER[path] = [WordTokenizer(path), {}, {}, 0]
-    return _WORKER[path]
+def _cached(path: str, labels: bool = True) -> list:
+    """The state for a file; ``labels``: whether entries have labels, which those of a state with other entries don't suit."""
+    state = _WORKER.setdefault(path, [None, {}, {}, 0, labels])
+    if state[0] is None:
+        state[0] = WordTokenizer(path)
+    if state[4] != labels:
+        state[1:] = [{}, {}, 0, labels]
+    return state
 
 
 _OUT = [
@@ -238,8 +242,8 @@ _DIGEST = [
 ]
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False, cache_bytes: int = 80_000_000) -> DataFrame:
-    """Adds ``ids`` (array of int) and ``decoded`` (text), or with ``digests`` their number and SHA-256 values.
+def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, digests: bool = False, decode: bool = True, cache_bytes: int = 40_000_000) -> DataFrame:
+    """Adds ``ids`` (array of int) and ``decoded`` (text; not without ``decode``), or with ``digests`` their number and SHA-256 values.
 
     Equal to the library's encoding without added special tokens and its
     decoding with special tokens kept. Null counts as the empty text: no ids,
@@ -249,16 +253,18 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
     encoded, up to about twice ``cache_bytes``.
     """
 
+    form = decode or digests
+
     def make():
-        state = _cached(tokenizer_path)
+        state = _cached(tokenizer_path, form)
         tokenizer = state[0]
 
         def entry(word: str | int) -> tuple[int, str, str]:
-            """(number of ids, ids, labels), the latter two joined by spaces."""
+            """(number of ids, ids, labels), the latter two joined by spaces; no labels if they aren't asked for."""
             got = state[2].get(word)
             if got is None:
                 ids = [word] if isinstance(word, int) else tokenizer.word(word)
-                got = (len(ids), " ".join(map(str, ids)), tokenizer.decode(ids))
+                got = (len(ids), " ".join(map(str, ids)), tokenizer.decode(ids) if form else "")
             if state[3] >= cache_bytes:  # the young generation becomes the old one
                 state[2], state[1], state[3] = state[1], {}, 0
             state[1][word] = got
@@ -279,11 +285,11 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
                 else:
                     columns[0].append(list(map(int, joined.split())))
                     columns[1].append(decoded)
-            return columns if digests else columns[:2]
+            return columns if digests else columns[:2] if decode else columns[:1]
 
         return kernel
 
-    return with_kernel(docs, make, [text_col], _DIGEST if digests else _OUT, keep)
+    return with_kernel(docs, make, [text_col], _DIGEST if digests else _OUT if decode else _OUT[:1], keep)
 
 
 def bpe_decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
