@@ -49,7 +49,8 @@ class TokenAutomaton:
         self.label = {i: s for s, i in vocab.items()}
         self.rank: dict[tuple[int, int], int] = {}  # the missing arc that the gadget of this merge made
         self.made: dict[int, tuple[int, int, int]] = {}  # token: left part, right part, merge
-        self._table: dict[tuple[int, int], bool] = {}
+        self._table: dict[int, dict[int, bool]] = {}
+        self._filled = 0
         self._table_entries = table_entries
         dead = set()
         for k, (left, right) in enumerate(merges):
@@ -100,12 +101,14 @@ class TokenAutomaton:
 
     def follows(self, state: int, token: int) -> bool:
         """The transition table's entry."""
-        key = (state, token)
-        got = self._table.get(key)
+        row = self._table.setdefault(state, {})
+        got = row.get(token)
         if got is None:
-            if len(self._table) >= self._table_entries:
+            if self._filled >= self._table_entries:
                 self._table.clear()
-            got = self._table[key] = self._arc(state, token)
+                self._filled, row = 0, self._table.setdefault(state, {})
+            got = row[token] = self._arc(state, token)
+            self._filled += 1
         return got
 
     def lengths(self, ahead: str) -> tuple[int, ...]:
@@ -123,7 +126,7 @@ class TokenAutomaton:
         path: list[int] = []
         before: list[tuple] = []  # for each label of the path its start and the lengths that weren't tried
         failed = bytearray(n + 1)
-        at, last = 0, -1
+        at, last, row = 0, -1, {}
         left = iter(known.get(word[:4]) or self.lengths(word[:4]))
         while at < n:
             token = None
@@ -135,7 +138,7 @@ class TokenAutomaton:
                 if token is not None:
                     if last < 0:
                         break
-                    may = table.get((last, token))
+                    may = row.get(token)
                     if may or may is None and self.follows(last, token):
                         break
                     token = None
@@ -143,6 +146,7 @@ class TokenAutomaton:
                 path.append(token)
                 before.append((at, left))
                 at, last = stop, token
+                row = table.get(last, {})
                 if at < n:
                     ahead = word[at : at + 4]
                     left = iter(known.get(ahead) or self.lengths(ahead))
@@ -153,6 +157,7 @@ class TokenAutomaton:
                 path.pop()
                 at, left = before.pop()
                 last = path[-1] if path else -1
+                row = table.get(last, {})
         return path
 
 
@@ -206,7 +211,10 @@ class WordTokenizer:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            self._library = Tokenizer.from_file(self.path)
+            with open(self.path, encoding="utf-8") as f:
+                spec = json.load(f)
+            # normalizer and splitter are all that is wanted of it
+            self._library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         back = {c: b for b, c in self._letters.items()}
         pieces = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(back[c] for c in p).decode("utf-8") for p, _ in pieces]

@@ -24,6 +24,16 @@ from folia.workers import reach_workers
 SLICE_ROWS = 256
 
 
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of the driver's as a table, handed over as Arrow data; unlike a list of rows this starts no Python workers."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T._parse_datatype_string(ddl)
+    schema = to_arrow_schema(fields)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema), schema=fields)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and readable after the loss of any executor."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folia.llm.common import checkpointed
+from folia.llm.common import checkpointed, local_table
 
 #: Not a word character, so no word equals it; stands for the document itself among its words.
 _SELF = "\x00"
@@ -85,7 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     small = (sets.agg(F.sum(F.size("__items"))).first()[0] or 0) <= broadcast_items
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    plan = spark.createDataFrame([(_SELF, None, None, None, None)], "word string, shift int, size int, words array<string>, items_id long")
+    plan = local_table(spark, [(_SELF, None, None, None, None)], "word string, shift int, size int, words array<string>, items_id long")
     passes = [plan]
     if n_windows:
         counts = checkpointed(rarity(docs, vocabulary, text_col, n_words, block_windows))

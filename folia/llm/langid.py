@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folia.llm.common import HELD, with_kernel
+from folia.llm.common import HELD, local_table, with_kernel
 
 UNDETERMINED = "und"
 
@@ -91,7 +91,7 @@ def _escaped(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Frozen trees of some languages as tables: ``state`` of the last three bytes, ``bits`` by state, byte and language."""
+    """Frozen trees of some languages as tables: ``state`` of the last three bytes' numbers, ``bits`` by state, byte and language."""
 
     def __init__(self, trees: dict[str, Tree], order: int = 3):
         if not 0 <= order <= 3:
@@ -113,10 +113,15 @@ class Model:
                     below = p[shorter[at:end]].astype(np.float64) if n else np.full((1, 256), 1 / 256)
                     p[first[n] + at : first[n] + end] = _escaped(counts, below)
             self.bits[:, :, i] = -np.log2(p)
-        # the state after bytes a, b, c, at a << 16 | b << 8 | c: that of the longest known suffix
-        self.state = np.zeros(1 << 24, dtype=np.uint16 if first[-1] < 1 << 16 else np.int32)
+        # bytes of contexts are numbered from 1, all others are 0; the state after bytes a, b, c is that of the longest known suffix
+        seen = sorted({b for n, own in enumerate(contexts) for j in range(n) for b in np.unique(own >> (8 * j) & 255).tolist()})
+        self.number = np.zeros(256, dtype=np.int32)
+        self.number[seen] = np.arange(1, len(seen) + 1)
+        self.kinds = len(seen) + 1
+        self.state = np.zeros(self.kinds**3, dtype=np.uint16 if first[-1] < 1 << 16 else np.int32)
         for n, own in enumerate(contexts[1:], 1):
-            self.state.reshape(-1, 1 << (8 * n))[:, own] = np.arange(first[n], first[n + 1])
+            place = sum(self.number[own >> (8 * j) & 255].astype(np.int64) * self.kinds**j for j in range(n))
+            self.state.reshape(-1, self.kinds**n)[:, place] = np.arange(first[n], first[n + 1])
         self.bits = self.bits.reshape(-1, len(self.languages))
 
     def code_lengths(self, data: bytes) -> np.ndarray:
@@ -124,8 +129,9 @@ class Model:
         total = np.zeros(len(self.languages))
         padded = np.frombuffer(bytes([_START]) * 3 + data, dtype=np.uint8)
         for at in range(0, len(data), 1 << 18):
-            part = padded[at : at + (1 << 18) + 3].astype(np.int32)
-            state = self.state[(part[:-3] << 16) | (part[1:-2] << 8) | part[2:-1]].astype(np.int32)
+            part = padded[at : at + (1 << 18) + 3]
+            kind = self.number[part]
+            state = self.state[(kind[:-3] * self.kinds + kind[1:-2]) * self.kinds + kind[2:-1]].astype(np.int32)
             total += self.bits[state * 256 + part[3:]].sum(axis=0, dtype=np.float64)
         return total
 
@@ -162,7 +168,7 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return {}
     train_bytes = min(train_bytes, all_bytes // len(often))
     share = {lang: min(1.0, 4 * train_docs / max(1, n)) for lang, n in often.items()}
-    up_to = labelled.sparkSession.createDataFrame([(lang, int(-(1 << 63) + p * ((1 << 64) - 1)) if p < 1 else (1 << 63) - 1) for lang, p in share.items()], "lang string, up_to long")
+    up_to = local_table(labelled.sparkSession, [(lang, int(-(1 << 63) + p * ((1 << 64) - 1)) if p < 1 else (1 << 63) - 1) for lang, p in share.items()], "lang string, up_to long")
     size = F.octet_length("text")
     drawn = rows.join(F.broadcast(up_to), "lang").where((F.col("draw") <= F.col("up_to")) & F.col("text").isNotNull() & (size <= train_bytes // 8))
     one = drawn.groupBy("lang", "draw").agg(F.min(F.struct(size.alias("size"), "text")).alias("t")).select("lang", "draw", "t.size", "t.text")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import drop_written, release_others, with_kernel, written, written_with
+from folia.llm.common import drop_written, local_table, release_others, with_kernel, written, written_with
 from folia.workers import reach_workers
 
 #: Seed of the shingle hash.
@@ -261,7 +261,7 @@ def links(points: DataFrame, max_distance: int = 4, bands: int = 4, sample_rows:
     reach_workers(spark)
     total = points.count()
     if total < 2:
-        return spark.createDataFrame([], "a long, b long")
+        return local_table(spark, [], "a long, b long")
     fetch = lambda rows: np.array([r[0] for r in rows.collect()], dtype=np.int64).view(np.uint64)
     wanted = min(max(sample_rows, total // 64), 2_000_000)
     upper = {-1: _levels(fetch(_sampled(points, wanted / total).select("fp")), tuple(_blocks(bands)), max_distance, total, shard_points, 0)}

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folia.llm.common import checkpointed, with_kernel, written, written_with
+from folia.llm.common import checkpointed, local_table, with_kernel, written, written_with
 from folia.workers import reach_workers
 
 BITS = 64
@@ -176,7 +176,7 @@ def _probed(stored: DataFrame, queries: DataFrame, layout: _Layout, r: int, part
                     yield pa.RecordBatch.from_arrays([pa.array(home ^ mask), batch.column(0), batch.column(1)], names=["shard", "qcode", "need"])
 
     wanted = queries.select("qcode", "need").mapInArrow(asked, "shard long, qcode long, need long")
-    times = lambda: F.broadcast(spark.createDataFrame(list(parts.items()), "shard long, times int"))
+    times = lambda: F.broadcast(local_table(spark, list(parts.items()), "shard long, times int"))
     n = F.coalesce(F.col("times"), F.lit(1))
     stored = stored.join(times(), "shard", "left").select("shard", F.pmod(F.xxhash64("code", F.lit(13)), n).cast("int").alias("part"), "code", "size")
     wanted = wanted.join(times(), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), "qcode", "need")
@@ -240,7 +240,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     stored = _dealt(codes, layout)
     crowded = stored.groupBy("shard").count().where(F.col("count") > 4 * shard_codes).collect() if n_codes > shard_codes else []
     crowded = {shard: -(-n // (2 * shard_codes)) for shard, n in crowded}
-    found = spark.createDataFrame([], _FOUND)
+    found = local_table(spark, [], _FOUND)
     parts = []
     r = 0
     while n_open and r <= layout.bits(0) and layout.patterns(r) * _PROBE_COST < n_codes:
@@ -258,7 +258,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
         r += 1
     if n_open:
         parts.append(_compared(codes, open_, n_codes, n_open, shard_codes, block_queries))
-    pairs = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], _FOUND))
+    pairs = reduce(DataFrame.unionByName, parts, local_table(spark, [], _FOUND))
     by_code = Window.partitionBy("qcode", "need").orderBy("distance", "id")
     near = pairs.join(few, "code").withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= F.col("need")).select("qcode", "need", "id", "times", "distance")
     mine = Window.partitionBy("query_id").orderBy("distance", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
