@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -544,3 +545,52 @@ def test_quality_without_trusted_text(spark, empty):
     assert {r["keep"] for r in found} == {True} and {r["threshold"] for r in found} == {None}
     assert found[0]["perplexity"] == pytest.approx(256)
     assert quality.quality(empty, ids).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    assert not any(map(langid.has_letter, ["½ ²", "Ⅷ", "٣ 1_", "", "?!"])) and all(map(langid.has_letter, ["1é", "ß", "中", "x", "𝒜"]))
+    table = spark.createDataFrame([(i, "the cat sat on the mat " * 3, "en") for i in range(12)] + [(50, "5½ ² Ⅷ", "en"), (51, "the cat", None), (51, "the cat", None)], "doc_id long, text string, lang string")
+    found = [tuple(r) for r in langid.language_id(table, keep=["doc_id"]).select("doc_id", "lang_pred", "score").collect()]
+    assert [r[1:] for r in found if r[0] == 50] == [("und", 0.0)]
+    assert len({r for r in found if r[0] == 51}) == 1 and {r[1] for r in found if r[0] == 51} == {"en"}
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    rows = [(i, "same words in both " * 4, "aa" if i % 2 else "bb") for i in range(40)]
+    # the same texts for both languages, whichever of them are held out
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dict.fromkeys(["bb", "aa"], langid.context_counts(["same words in both " * 40], 3, 1)), keep=["doc_id"]).collect()
+    assert {(r["lang_pred"], r["score"]) for r in found} == {("aa", 0.5)}
+
+
+def test_points_that_share_a_block(spark):
+    rng = np.random.default_rng(8)
+    points = {int(p) << 16 | 0x1234 for p in rng.integers(0, 1 << 47, 500, dtype=np.int64)}
+    points |= {p ^ sum(1 << int(b) for b in rng.choice(np.arange(16, 63), 3, replace=False)) for p in list(points)[:150]}
+    points = sorted(points)
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(p,) for p in points], "fp long"), shard_points=16, sample_rows=200)).collect()}
+    near = slow_components(points, points)
+    assert all(roots.get(points[i], points[i]) == points[min(g)] for g in near for i in g)
+    # in one shard: far fewer comparisons than pairs
+    many = np.unique(rng.integers(0, 1 << 47, 100_000, dtype=np.int64) << 16).view(np.uint64)
+    masks = simhash._blocks(4)
+    forest, began = simhash._Forest(len(many)), time.time()
+    simhash._search(np.arange(len(many)), np.arange(len(many)), many, masks[0], tuple(masks[1:]), 1, 4, forest, rng)
+    assert time.time() - began < 60
+
+
+def test_pii_scores(spark):
+    table = spark.createDataFrame([(1, "mail a@b.co"), (2, "zz a@b.co"), (3, "none"), (4, None), (5, "zz 10.0.0.1 zz card 4111 1111 1111 1111")], "doc_id long, text string")
+    assert {r["doc_id"]: r["max_score"] for r in pii.pii_digests(table).collect()} == {1: 1.0, 2: 0.9, 3: None, 4: None, 5: 0.9}
+    clash = spark.createDataFrame([("a@b.co +1 (017) 555-7713", 1), (None, 2)], "text string, __pii int")
+    assert [tuple(r) for r in pii.masked(clash).orderBy("__pii").collect()] == [("[EMAIL] [PHONE]", 1), (None, 2)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from folia.scratch import scratch_root
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        scratch_root(session)
