@@ -27,11 +27,14 @@ labels of the arcs.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import operator
 import os
 import re
 import unicodedata
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -39,6 +42,7 @@ from folia.llm.common import HELD, with_kernel
 from folia.llm.pretokens import WORD_LEVEL, byte_alphabet, known
 
 _NEVER = 1 << 60
+_FIRST, _SECOND = operator.itemgetter(0), operator.itemgetter(1)
 
 
 class TokenAutomaton:
@@ -224,19 +228,57 @@ class WordTokenizer:
         return " ".join([self.labels[i] for i in ids])
 
 
-#: Of this worker process, by path: the tokenizer, two generations of encoded words, and the younger one's bytes.
-_WORKER: dict[str, list] = {}
+#: Words of a text that are looked up at a time.
+_SOME_WORDS = 20_000
+
+
+class _Encoded:
+    """What a worker keeps for a file: the tokenizer and two generations of encoded words, about ``cache_bytes`` each.
+
+    An entry is a word's ids, with ``labels`` (ids, labels), and with
+    ``digests`` both joined by spaces.
+    """
+
+    def __init__(self, path: str, labels: bool, digests: bool):
+        self.tokenizer = WordTokenizer(path)
+        self.entries(labels, digests)
+
+    def entries(self, labels: bool, digests: bool) -> None:
+        """Sets what entries hold; others than before drop those there are."""
+        if getattr(self, "form", None) != (labels, digests):
+            self.form, self.young, self.old, self.size = (labels, digests), {}, {}, 0
+
+    def _entry(self, word: str | int):
+        ids = [word] if isinstance(word, int) else self.tokenizer.word(word)
+        labels, digests = self.form
+        if digests:
+            return " ".join(map(str, ids)), self.tokenizer.decode(ids)
+        return (tuple(ids), self.tokenizer.decode(ids)) if labels else tuple(ids)
+
+    def look_up(self, words: list[str | int], cache_bytes: int) -> list:
+        """The entries of some words, in order."""
+        if self.size >= cache_bytes:  # the young generation becomes the old one
+            self.young, self.old, self.size = {}, self.young, 0
+        for word in set(words).difference(self.young):
+            got = self.old.get(word)
+            if got is None:
+                got = self._entry(word)
+            self.young[word] = got
+            length = len(word) if isinstance(word, str) else 0
+            self.size += 350 + 4 * length if self.form[0] else 250 + 4 * length
+        return list(map(self.young.__getitem__, words))
+
+
+#: Of this worker process, by path.
+_WORKER: dict[str, _Encoded] = {}
 HELD[__name__] = _WORKER
 
 
-def _cached(path: str, labels: bool = True) -> list:
-    """The state for a file; ``labels``: whether entries have labels, which those of a state with other entries don't suit."""
-    state = _WORKER.setdefault(path, [None, {}, {}, 0, labels])
-    if state[0] is None:
-        state[0] = WordTokenizer(path)
-    if state[4] != labels:
-        state[1:] = [{}, {}, 0, labels]
-    return state
+def _worker(path: str, labels: bool, digests: bool) -> _Encoded:
+    if path not in _WORKER:
+        _WORKER[path] = _Encoded(path, labels, digests)
+    _WORKER[path].entries(labels, digests)
+    return _WORKER[path]
 
 
 _OUT = [
@@ -261,38 +303,29 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
     encoded, up to about twice ``cache_bytes``.
     """
 
-    form = decode or digests
+    labels = decode or digests
 
     def make():
-        state = _cached(tokenizer_path, form)
-        tokenizer = state[0]
+        encoded = _worker(tokenizer_path, labels, digests)
 
-        def entry(word: str | int) -> tuple[int, str, str]:
-            """(number of ids, ids, labels), the latter two joined by spaces; no labels if they aren't asked for."""
-            got = state[2].get(word)
-            if got is None:
-                ids = [word] if isinstance(word, int) else tokenizer.word(word)
-                got = (len(ids), " ".join(map(str, ids)), tokenizer.decode(ids) if form else "")
-            if state[3] >= cache_bytes:  # the young generation becomes the old one
-                state[2], state[1], state[3] = state[1], {}, 0
-            state[1][word] = got
-            state[3] += 350 + (len(word) if isinstance(word, str) else 0) + len(got[1]) + len(got[2])
-            return got
+        def entries(text: str | None) -> list:
+            words = encoded.tokenizer.words(text) if text else []
+            return [e for at in range(0, len(words), _SOME_WORDS) for e in encoded.look_up(words[at : at + _SOME_WORDS], cache_bytes)]
 
         def kernel(texts):
             columns: list[list] = [[], [], []]
             for text in texts:
-                words = tokenizer.words(text) if text else []
-                got = [state[1].get(w) or entry(w) for w in words]
-                counts, ids, labels = zip(*got, strict=True) if got else ((), (), ())
-                joined, decoded = " ".join(ids), " ".join(labels)
+                got = entries(text)
+                ids = map(_FIRST, got) if labels else got
                 if digests:
-                    columns[0].append(sum(counts))
+                    joined = " ".join(ids)
+                    columns[0].append(joined.count(" ") + 1 if got else 0)
                     columns[1].append(hashlib.sha256(joined.encode()).hexdigest())
-                    columns[2].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                    columns[2].append(hashlib.sha256(" ".join(map(_SECOND, got)).encode("utf-8")).hexdigest())
                 else:
-                    columns[0].append(list(map(int, joined.split())))
-                    columns[1].append(decoded)
+                    columns[0].append(np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32))
+                    if decode:
+                        columns[1].append(" ".join(map(_SECOND, got)))
             return columns if digests else columns[:2] if decode else columns[:1]
 
         return kernel
@@ -304,7 +337,7 @@ def bpe_decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep:
     """Adds ``decoded``: the labels of an array of ids. A null array, or an id outside the vocabulary, gives null."""
 
     def make():
-        labels = _cached(tokenizer_path)[0].labels
+        labels = _worker(tokenizer_path, True, False).tokenizer.labels
 
         def kernel(rows):
             return [[" ".join([labels[i] for i in ids]) if ids is not None and all(i in labels for i in ids) else None for ids in rows]]
