@@ -40,4 +40,36 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(places.n, 0)::BIGINT AS n_hit
 FROM doc LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL = {"op3_topk": TOPK, "op9_decontaminate": CONTAMINATION}
+#: All orders of the five filters, applied to the counts of failure masks.
+FILTER_AUDIT = r"""
+WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+judged AS (SELECT doc_id, max(coalesce(quality = 1, false)::INTEGER) AS good, max(coalesce(toxic = 1, false)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc.doc_id > min(doc.doc_id) OVER (PARTITION BY text), false) AS e
+  FROM doc LEFT JOIN judged ON doc.doc_id = judged.doc_id
+),
+masks AS (SELECT part, concat_ws('', CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS mask,
+  count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x <> b.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, i::INTEGER AS step, filter_order[i] AS f, filter_order[1:i - 1] AS before FROM orders, range(1, 6) AS r(i)),
+out AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN translate(mask, before || f, '') = mask THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') = mask THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') <> mask THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') = mask THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(mask, f) AND translate(mask, before, '') = mask THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM out
+"""
+
+ORACLE_SQL = {"op3_topk": TOPK, "op9_decontaminate": CONTAMINATION, "op11_filter_audit": FILTER_AUDIT}

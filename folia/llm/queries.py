@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm import bpe, decontaminate, langid, licenses, pii, quality, secrets, simhash, token_counts, topk
+from folia.llm import bpe, decontaminate, filter_audit, langid, licenses, pii, quality, secrets, simhash, token_counts, topk
 from folia.llm.oracle import ORACLE_SQL
 
 
@@ -63,6 +63,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.document_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
