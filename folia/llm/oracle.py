@@ -72,4 +72,23 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 FROM out
 """
 
-ORACLE_SQL = {"op3_topk": TOPK, "op9_decontaminate": CONTAMINATION, "op11_filter_audit": FILTER_AUDIT}
+#: Rows are told apart by their numbers; all scores are computed.
+HARD_NEGATIVES = """
+WITH base AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+scored AS (
+  SELECT a.r AS a, b.r AS b, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM base a JOIN base b ON a.r <> b.r WHERE a.vec_id % 100 = 0
+),
+positive AS (SELECT a, b, anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id))::INTEGER AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+  FROM positive p JOIN scored n ON p.a = n.a AND NOT n.same AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op3_topk": TOPK, "op9_decontaminate": CONTAMINATION, "op11_filter_audit": FILTER_AUDIT, "op12_hard_negatives": HARD_NEGATIVES}

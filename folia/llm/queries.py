@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm import bpe, decontaminate, filter_audit, langid, licenses, pii, quality, secrets, simhash, token_counts, topk
+from folia.llm import bpe, decontaminate, filter_audit, hard_negatives, langid, licenses, pii, quality, secrets, simhash, token_counts, topk
 from folia.llm.oracle import ORACLE_SQL
 
 
@@ -67,6 +67,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.document_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.whole_vectors(_table(spark, sf_dir, "embeddings"), label=shifted)
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +85,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
