@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm import bpe, decontaminate, filter_audit, hard_negatives, langid, licenses, pii, quality, secrets, simhash, token_counts, topk
+from folia.llm import bpe, byte_bpe, decontaminate, filter_audit, hard_negatives, langid, licenses, pii, quality, secrets, simhash, token_counts, topk
 from folia.llm.oracle import ORACLE_SQL
 
 
@@ -73,6 +73,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.byte_bpe_encode(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], digests=True)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -86,6 +92,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_filter_audit": op11_filter_audit,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
