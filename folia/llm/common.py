@@ -34,6 +34,14 @@ def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema), schema=fields)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of the tables has it in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and readable after the loss of any executor."""
     spark = df.sparkSession

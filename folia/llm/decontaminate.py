@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folia.llm.common import checkpointed, local_table
+from folia.llm.common import checkpointed, local_table, unused
 
 #: Not a word character, so no word equals it; stands for the document itself among its words.
 _SELF = "\x00"
@@ -133,7 +133,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Null and empty texts and null ids stay, repeated rows go or stay together,
     and an empty benchmark or table leaves all rows as they are.
     """
-    found = checkpointed(contamination(docs, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    id_name, hash_name = unused("__id", docs), unused("__hash", docs)
+    found = checkpointed(contamination(docs, benchmark, id_col, text_col, **settings).where("contaminated").select(F.col(id_col).alias(id_name), F.col("text_hash").alias(hash_name)).distinct())
     small = found.count() <= broadcast_rows
     named = F.broadcast(found) if small else found
-    return docs.join(named, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
+    return docs.join(named, docs[id_col].eqNullSafe(F.col(id_name)) & (F.xxhash64(docs[text_col]) == F.col(hash_name)), "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folia.llm.common import HELD, local_table, with_kernel
+from folia.llm.common import HELD, local_table, unused, with_kernel
 
 UNDETERMINED = "und"
 
@@ -293,7 +293,8 @@ def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return lambda some: [[told(t) for t in some]]
 
-    return with_kernel(docs, make, [text_col], [T.StructField("__told", T.BooleanType())]).where("__told").select(*docs.columns)
+    own = unused("__told", docs)
+    return with_kernel(docs, make, [text_col], [T.StructField(own, T.BooleanType())]).where(own).select(*docs.columns)
 
 
 __all__ = ["Model", "Models", "context_counts", "has_letter", "held_out", "identify", "in_a_language", "language_id", "sample", "train", "usual_bits"]

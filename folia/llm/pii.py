@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm.common import unused
+
 #: Characters on each side of a span in which context words count.
 CONTEXT = 48
 
@@ -160,9 +162,7 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Columns stay, whatever their names; null texts stay null.
     """
-    own = "__pii"
-    while own in docs.columns:
-        own += "_"
+    own = unused("__pii", docs)
     found = pii_spans(docs, text_col, own)
     text = F.col(text_col)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folia.llm.common import drop_written, local_table, release_others, with_kernel, written, written_with
+from folia.llm.common import drop_written, local_table, release_others, unused, with_kernel, written, written_with
 from folia.workers import reach_workers
 
 #: Seed of the shingle hash.
@@ -396,16 +396,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prints = written(fingerprints(source, "__text", ["__id", "h"], width), "fingerprints")
     found = _with_component(prints, "__id", max_distance, bands)
     kept = (F.col("keeper.id").eqNullSafe(F.col("__id"))) & (F.col("keeper.h") == F.col("h"))
-    gone, (n_gone,) = written_with(found.where(~kept).select("__id", F.col("h").alias("__h")).distinct(), "gone", F.count(F.lit(1)))
-    again, (n_again,) = written_with(found.where(kept).groupBy("__id", F.col("h").alias("__h")).count().where("count > 1").select("__id", "__h"), "repeated", F.count(F.lit(1)))
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (h(text_col) == F.col("__h"))
+    id_name, h_name, row = unused("__id", docs), unused("__h", docs), unused("__r", docs)
+    named = lambda rows: rows.select(F.col("__id").alias(id_name), F.col("h").alias(h_name))
+    gone, (n_gone,) = written_with(named(found.where(~kept)).distinct(), "gone", F.count(F.lit(1)))
+    again, (n_again,) = written_with(named(found.where(kept).groupBy("__id", "h").count().where("count > 1")), "repeated", F.count(F.lit(1)))
+    same = docs[id_col].eqNullSafe(F.col(id_name)) & (h(text_col) == F.col(h_name))
     small = lambda table, n: F.broadcast(table) if n <= _BROADCAST_ROWS else table
     out = docs.join(small(gone, n_gone), same, "left_anti")
     if not n_again:
         return out
-    same = out[id_col].eqNullSafe(F.col("__id")) & (h(text_col) == F.col("__h"))
+    same = out[id_col].eqNullSafe(F.col(id_name)) & (h(text_col) == F.col(h_name))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     # of rows that repeat, one: combined in each task before they are dealt out
-    one = out.join(small(again, n_again), same, "left_semi").groupBy(F.col(id_col).alias("__id"), h(text_col).alias("__h")).agg(F.min_by(whole, F.xxhash64(*plain)).alias("__r"))
-    return out.join(small(again, n_again), same, "left_anti").unionByName(one.select("__r.*"))
+    one = out.join(small(again, n_again), same, "left_semi").groupBy(F.col(id_col).alias(id_name), h(text_col).alias(h_name)).agg(F.min_by(whole, F.xxhash64(*plain)).alias(row))
+    return out.join(small(again, n_again), same, "left_anti").unionByName(one.select(f"{row}.*"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folia.llm import secrets
@@ -94,5 +95,19 @@ def test_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_leave_columns_of_any_name(spark, sf_dir):
+    """Names that the stages use inside, in either case."""
+    names = {"__id": 1, "__h": 2, "__hash": 3, "__told": 4, "__R": 5, "__k0": 6, "fp": 7, "h": 8, "k0": 9, "i0": 10, "o0": 11, "item_id": 12, "component_id": 13, "text_hash": 14, "n": 15, "__pii": 16}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, value in names.items():
+        docs = docs.withColumn(name, F.lit(value))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns
+        assert [tuple(r) for r in docs.select(*names).distinct().collect()] == [tuple(names.values())]
+    assert dict(corpus_pipeline.STAGES)["bpe_encode"](spark, docs, sf_dir).count() == docs.count() > 15
+
+
 def test_stages_name_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "bpe_encode"]
