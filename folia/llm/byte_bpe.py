@@ -50,6 +50,7 @@ class Ranks:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.labels = {rank: token for token, rank in self.ranks.items()}
+        self.never = max(self.labels) + 1
         self.split = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.size = 0
@@ -62,7 +63,7 @@ class Ranks:
         if len(word) > _LONG:
             return self._merged_by_heap(word)
         parts = [word[i : i + 1] for i in range(len(word))]
-        never = len(ranks) + max(ranks.values())
+        never = self.never
         pair = [ranks.get(a + b, never) for a, b in itertools.pairwise(parts)]
         while pair:
             least = min(pair)
