@@ -3,7 +3,8 @@
 DataFrame functions only; every row is worked on where it lies, without a
 shuffle. ``split`` and ``regexp_extract_all`` with the same pattern give what
 lies between the matches and the matches; a fold over both keeps the place and
-collects the matches that pass. Patterns are written so that Java's matcher
+collects the matches that pass, in groups, so that a text's time grows with its
+length and not with the square of its matches. Patterns are written so that Java's matcher
 neither recurses nor rescans: repetitions are possessive, and a match may only
 begin where a run of its characters begins or the last match ended, which is
 where the leftmost match begins anyway.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from folia.llm.common import unused
 
-#: Characters on each side of a span in which context words count.
+#: Characters on each side of a match in which context words count.
 CONTEXT = 48
 
 
@@ -89,43 +90,41 @@ KINDS = (
 )
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,text:string,score:double>>"
+#: Matches that are folded at a time: a fold copies what it has found for each of them.
+_GROUP = 64
 
 
-def _found(text: Column, kind: Kind) -> Column:
-    """The passing matches of one kind, by their start."""
-    parts = F.arrays_zip(
-        F.transform(F.split(text, kind.pattern, -1), lambda s: F.length(s)).alias("gap"),
-        F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"),
-    )
+def _parts(gaps: Column, hits: Column) -> Column:
+    """What lies before each match, with its length; the match; what lies behind it."""
+    before = F.transform(gaps, lambda gap: F.struct(F.length(gap).alias("n"), F.right(gap, F.lit(CONTEXT)).alias("end")))
+    behind = F.transform(F.slice(gaps, 2, F.size(gaps)), lambda gap: F.left(gap, F.lit(CONTEXT)))
+    return F.arrays_zip(before.alias("gap"), hits.alias("hit"), behind.alias("behind"))
+
+
+def _found(parts: Column, kind: Kind) -> Column:
+    """The passing matches of one kind, by their start, with their scores.
+
+    A context word near a match adds 0.1. Near are up to 48 characters on each
+    side that belong to no other match of the kind.
+    """
     none = F.array().cast(_SPAN)
+    size = lambda part: part["gap"]["n"] + F.coalesce(F.length(part["hit"]), F.lit(0))
 
     def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + part["gap"]
-        end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        span = F.struct(F.lit(kind.name).alias("kind"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), part["hit"].alias("text"), F.lit(kind.score).alias("score"))
+        start, end = acc["at"] + part["gap"]["n"], acc["at"] + size(part)
+        around = F.concat_ws(" ", part["gap"]["end"], part["behind"])
+        score = F.when(around.rlike(f"(?i)(?<![a-z])(?:{kind.words})"), min(1.0, round(kind.score + 0.1, 2))).otherwise(kind.score)
+        span = F.struct(F.lit(kind.name).alias("kind"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), part["hit"].alias("text"), score.alias("score"))
         passes = part["hit"].isNotNull() & kind.valid(part["hit"])
         return F.struct(end.alias("at"), F.when(passes, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    hinted = text.contains(kind.hint) if kind.hint == "@" else text.rlike(kind.hint)
-    return F.when(hinted, folded).otherwise(none)
-
-
-def _scored(text: Column, spans: Column) -> Column:
-    """Adds 0.1 for a context word near a span, at most to 1."""
-
-    def near(span: Column) -> Column:
-        around = F.concat(
-            text.substr(F.greatest(span["start"] - CONTEXT, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(CONTEXT)).cast("int")),
-            F.lit(" "),
-            text.substr(span["end"].cast("int") + 1, F.lit(CONTEXT)),
-        )
-        hit = F.lit(False)
-        for kind in KINDS:
-            hit = F.when(span["kind"] == kind.name, around.rlike(f"(?i)(?<![a-z])(?:{kind.words})")).otherwise(hit)
-        return span.withField("score", F.least(F.lit(1.0), F.round(span["score"] + F.when(hit, 0.1).otherwise(0.0), 2)))
-
-    return F.transform(spans, near)
+    group = lambda first: F.slice(parts, first, _GROUP)
+    firsts = F.sequence(F.lit(1), F.size(parts), F.lit(_GROUP))
+    sums = F.transform(firsts, lambda first: F.aggregate(group(first), F.lit(0), lambda n, part: n + size(part)))
+    starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    # one start more than groups: that of the text's end
+    grouped = F.zip_with(firsts, F.slice(starts, 1, F.size(firsts)), lambda first, at: F.aggregate(group(first), F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"]))
+    return F.when(parts.isNotNull(), F.flatten(grouped)).otherwise(none)
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii") -> DataFrame:
@@ -135,8 +134,14 @@ def pii_spans(docs: DataFrame, text_col: str = "text", out_col: str = "pii") ->
     column named ``out_col`` is replaced. Repeated rows get equal results.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = F.concat(*[_found(text, kind) for kind in KINDS])
-    return docs.withColumn(out_col, spans).withColumn(out_col, _scored(text, F.col(out_col)))
+    gaps, parts = ([unused(f"__{c}{i}", docs) for i in range(len(KINDS))] for c in ("gaps", "parts"))
+    hinted = [text.contains(k.hint) if k.hint == "@" else text.rlike(k.hint) for k in KINDS]
+    # columns of their own, as each is used more than once
+    split = docs.withColumns({g: F.when(h, F.split(text, k.pattern, -1)) for g, h, k in zip(gaps, hinted, KINDS, strict=True)})
+    hits = [F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k in KINDS]
+    zipped = split.withColumns({p: F.when(F.col(g).isNotNull(), _parts(F.col(g), h)) for p, g, h in zip(parts, gaps, hits, strict=True)})
+    spans = F.concat(*[_found(F.col(p), k) for p, k in zip(parts, KINDS, strict=True)])
+    return zipped.withColumn(out_col, spans).drop(*gaps, *parts)
 
 
 def _joined(spans: Column) -> Column:
