@@ -9,7 +9,7 @@ n * log2(n) changes by two terms. Windows whose entropy reaches the class's
 threshold, and that mix letters with digits, are merged to spans. Candidates on
 the allow-list (identifiers that are no secrets) are suppressed. Words of
 well-known examples and placeholders suppress only the part between ``/``,
-``=`` and ``_`` that they stand in, and none of more than 64 characters (the
+``=``, ``_`` and ``-`` that they stand in, and none of more than 64 characters (the
 Base64 alphabet's), which may hold them by chance.
 
 Spans are half-open and count code points.
@@ -42,7 +42,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
 #: Parts of candidates, of up to so many characters, that hold one of these words are no secrets.
 PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|changeme|placeholder|redacted|xxxx|0123456789|abcdefghij")
-PART, PART_LENGTH = re.compile(r"[^/=_]+"), 64
+PART, PART_LENGTH = re.compile(r"[^/=_-]+"), 64
 
 #: Candidates that match one of these as a whole are no secrets.
 ALLOWED = (
