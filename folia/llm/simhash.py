@@ -16,7 +16,8 @@ smaller Hamming space with a vantage-point tree of its own:
   inner side if ``d - r <= m`` and the outer side if ``d + r > m``;
 * a shard that got far more points than its share is parted anew by trees over
   the other blocks: of two fingerprints within the distance, one of those
-  blocks differs by no more than its part again;
+  blocks differs by no more than its part again; so on while a shard is crowded
+  and a block is left that no tree above it has looked at;
 * each shard builds the lower levels over all that it holds, in memory, and
   answers its queries through the same bounds, many queries at a time; where
   all points have the same bits in a block, the other blocks part them; leaves
@@ -249,36 +250,43 @@ def _sampled(rows: DataFrame, share: float) -> DataFrame:
     return rows.where(F.xxhash64(F.col("fp"), F.lit(7)) <= int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else rows
 
 
+def _shards(points: DataFrame, total: int, max_distance: int, bands: int, sample_rows: int, shard_points: int) -> tuple[DataFrame, list[_Level]]:
+    """Rows (shard, fp, stored), each point in the shards that it is stored in or asked about, and all trees' levels."""
+    spark = points.sparkSession
+    fetch = lambda rows: rows.select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
+    wanted = min(max(sample_rows, total // 64), 2_000_000)
+    plan = {-1: _levels(fetch(_sampled(points, wanted / total)), tuple(_blocks(bands)), max_distance, total, shard_points, 0)}
+    levels = plan[-1]
+    routed = held = points.select(F.lit(-1).alias("shard"), "fp", F.lit(True).alias("stored"))
+    while plan:
+        shared = spark.sparkContext.broadcast(plan)
+        # what is looked at for crowds are homes, of shards that have just been parted
+        routed, held = _routed(routed, shared), _routed(held.where(F.col("shard").isin(list(plan))), shared, stored_only=True)
+        heavy = dict(held.groupBy("shard").count().where(F.col("count") > 16 * shard_points).collect())
+        plan = {}
+        for shard, n in heavy.items():
+            above = max((x for x in levels if x.first <= shard), key=lambda x: x.first)
+            if above.rest:
+                sample = fetch(_sampled(held.where(F.col("shard") == shard), min(1.0, sample_rows / n)))
+                plan[shard] = _levels(sample, above.rest, max_distance, n, shard_points, levels[-1].after)
+                levels = [*levels, *plan[shard]]
+    return routed, levels
+
+
 def links(points: DataFrame, max_distance: int = 4, bands: int = 4, sample_rows: int = 20_000, shard_points: int = 4_096) -> DataFrame:
     """Edges (a, b), a > b, whose components are those of "at most ``max_distance`` bits apart".
 
     ``points``: distinct longs in column ``fp``. A spanning forest of every
     shard's links, not all links. An empty table gives no edges. The driver
     sees a sample of some ``sample_rows`` fingerprints, or a 64th of more, up to
-    two million, and the number of points of each shard.
+    two million (16 MB), and the number of points of crowded shards.
     """
     spark = points.sparkSession
     reach_workers(spark)
     total = points.count()
     if total < 2:
         return local_table(spark, [], "a long, b long")
-    fetch = lambda rows: np.array([r[0] for r in rows.collect()], dtype=np.int64).view(np.uint64)
-    wanted = min(max(sample_rows, total // 64), 2_000_000)
-    upper = {-1: _levels(fetch(_sampled(points, wanted / total).select("fp")), tuple(_blocks(bands)), max_distance, total, shard_points, 0)}
-    levels = upper[-1]
-    source = points.select(F.lit(-1).alias("shard"), "fp", F.lit(True).alias("stored"))
-    plan = spark.sparkContext.broadcast(upper)
-    held = _routed(source, plan, stored_only=True)
-    heavy = dict(held.groupBy("shard").count().where(F.col("count") > 16 * shard_points).collect())
-    routed = _routed(source, plan)
-    lower: dict[int, list[_Level]] = {}
-    for shard, n in heavy.items() if bands > 1 else ():
-        above = next(x for x in levels if x.first <= shard < x.after)
-        sample = fetch(_sampled(held.where(F.col("shard") == shard), min(1.0, sample_rows / n)).select("fp"))
-        lower[shard] = _levels(sample, above.rest, max_distance, n, shard_points, levels[-1].after)
-        levels = [*levels, *lower[shard]]
-    if lower:
-        routed = _routed(routed, spark.sparkContext.broadcast(lower))
+    routed, levels = _shards(points, total, max_distance, bands, sample_rows, shard_points)
     searched = spark.sparkContext.broadcast([(x.first, x.mask, x.rest, x.r) for x in levels])
 
     def search(key, table):
