@@ -9,12 +9,13 @@ when k verified codes lie within that bound, and only the others go on.
 
 A segment's table is dealt to shards by the leading bits of the segment's
 value, so that a shard holds a bounded number of codes; shards that many codes
-share are dealt further by a hash. A query goes to the shards whose leading bits
+share are dealt further by a hash. This is done once; all radii's jobs find the
+tables where they were put. A query goes to the shards whose leading bits
 differ from its own by no more than the radius, and is probed there with the
-patterns that spend the rest of it. No query meets a code that doesn't share a
-near segment with it. When the next radius' probes would take longer than all
-codes, the queries that are still open are compared with all codes in blocks,
-which covers everything.
+patterns that spend the rest of it. Where those patterns are more than the
+values that the table has, the values are gone through in their place, and
+those at the distance are the ones that the patterns would have found. No query
+is compared with a code that doesn't share a near segment with it.
 
 Rows are reduced to distinct codes first, each with its k + 1 smallest ids and
 how often each stands there (more can't be asked for), so a vector that a third
@@ -33,15 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from folia.llm.common import checkpointed, local_table, with_kernel, written, written_with
 from folia.workers import reach_workers
 
 BITS = 64
 
-#: A probe takes about as long as so many comparisons of codes.
-_PROBE_COST = 8
-
 
 def sign_code(vector: list[float | None] | None) -> int | None:
     """Bit i is set if component i is positive; of over 64 components, bit i is that of the sum of every 64th from i.
@@ -93,10 +92,6 @@ class _Layout:
     def shards(self, codes: np.ndarray, segment: int) -> np.ndarray:
         return (self.values(codes, segment) >> np.uint64(self.bits(segment) - self.prefix)).astype(np.int64) + (segment << self.prefix)
 
-    def patterns(self, r: int) -> int:
-        """Probes of a query at radius r, over all segments."""
-        return sum(math.comb(self.bits(i), r) for i in range(len(self.cuts) - 1))
-
 
 def nearest(queries: np.ndarray, need: np.ndarray, owner: np.ndarray, at: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of candidates (query, code) as positions, those that may be among a query's nearest: up to the distance by which ``need`` rows are seen."""
@@ -119,20 +114,28 @@ def probe(layout: _Layout, shard: int, r: int, codes: np.ndarray, sizes: np.ndar
     values = values[order]
     spent = np.bitwise_count(layout.shards(queries, segment) ^ shard).astype(np.int64)
     owners, places = [], []
+    starts = np.nonzero(np.diff(values, prepend=~values[:1]))[0] if len(values) else np.zeros(0, dtype=np.int64)
+    distinct, ends = values[starts], np.append(starts[1:], len(values))
     for used in np.unique(spent).tolist():
         if not 0 <= r - used <= bits:
             continue
-        masks, some = _patterns(bits, r - used), np.nonzero(spent == used)[0]
-        step = max(1, (1 << 20) // len(masks))
+        some = np.nonzero(spent == used)[0]
+        few = math.comb(bits, r - used) <= len(distinct)
+        masks = _patterns(bits, r - used) if few else distinct
+        step = max(1, (1 << 20) // max(1, len(masks)))
         for i in range(0, len(some), step):
             part = some[i : i + step]
-            wanted = ((layout.values(queries[part], segment) & low)[:, None] ^ masks[None, :]).ravel()
-            lo, hi = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
-            hit = np.nonzero(hi > lo)[0]
-            n = (hi - lo)[hit]
-            starts = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(hit) else np.zeros(0, dtype=np.int64)
-            places.append(order[starts + np.arange(n.sum() if len(hit) else 0)])
-            owners.append(np.repeat(part[hit // len(masks)], n))
+            own = layout.values(queries[part], segment) & low
+            met = own[:, None] ^ masks[None, :]
+            if few:
+                at = np.minimum(np.searchsorted(distinct, met), len(distinct) - 1)
+                asker, column = np.nonzero(distinct[at] == met)
+                found = at[asker, column]
+            else:
+                asker, found = np.nonzero(np.bitwise_count(met) == r - used)
+            n = (ends - starts)[found]
+            places.append(order[np.repeat(starts[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            owners.append(np.repeat(part[asker], n))
     empty = np.zeros(0, dtype=np.int64)
     return nearest(queries, need, np.concatenate([empty, *owners]), np.concatenate([empty, *places]), codes, sizes)
 
@@ -160,9 +163,17 @@ def _dealt(codes: DataFrame, layout: _Layout) -> DataFrame:
     return codes.select("code", F.col("size").cast("long").alias("size")).mapInArrow(dealt, "shard long, code long, size long")
 
 
-def _probed(stored: DataFrame, queries: DataFrame, layout: _Layout, r: int, parts: dict[int, int]) -> DataFrame:
-    """Candidates of open queries at radius r. ``parts``: of shards that very many codes share, how many parts they are dealt to."""
-    spark, n_segments = stored.sparkSession, len(layout.cuts) - 1
+def _placed(stored: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """The tables where all probes will find them. ``parts``: of shards that very many codes share, how many parts they are dealt to."""
+    times = F.broadcast(local_table(stored.sparkSession, list(parts.items()), "shard long, times int"))
+    part = F.pmod(F.xxhash64("code", F.lit(13)), F.coalesce(F.col("times"), F.lit(1))).cast("int")
+    n = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored.join(times, "shard", "left").select("shard", part.alias("part"), "code", "size").repartition(n, "shard", "part").persist(StorageLevel.DISK_ONLY)
+
+
+def _probed(placed: DataFrame, queries: DataFrame, layout: _Layout, r: int, parts: dict[int, int]) -> DataFrame:
+    """Candidates of open queries at radius r."""
+    n_segments = len(layout.cuts) - 1
 
     def asked(batches):
         import pyarrow as pa
@@ -175,44 +186,19 @@ def _probed(stored: DataFrame, queries: DataFrame, layout: _Layout, r: int, part
                 for mask in masks.tolist():
                     yield pa.RecordBatch.from_arrays([pa.array(home ^ mask), batch.column(0), batch.column(1)], names=["shard", "qcode", "need"])
 
+    times = F.broadcast(local_table(placed.sparkSession, list(parts.items()), "shard long, times int"))
     wanted = queries.select("qcode", "need").mapInArrow(asked, "shard long, qcode long, need long")
-    times = lambda: F.broadcast(local_table(spark, list(parts.items()), "shard long, times int"))
-    n = F.coalesce(F.col("times"), F.lit(1))
-    stored = stored.join(times(), "shard", "left").select("shard", F.pmod(F.xxhash64("code", F.lit(13)), n).cast("int").alias("part"), "code", "size")
-    wanted = wanted.join(times(), "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"), "qcode", "need")
+    wanted = wanted.join(times, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("times"), F.lit(1)) - 1)).alias("part"), "qcode", "need")
 
     def answer(key, table, some):
         own, ask, need = table["code"].to_numpy(np.int64), some["qcode"].to_numpy(np.int64), some["need"].to_numpy(np.int64)
         sizes = table["size"].to_numpy(np.int64)
         return _answers(ask, need, own, sizes, *probe(layout, int(key[0]), r, own.view(np.uint64), sizes, ask.view(np.uint64), need))
 
-    return stored.groupBy("shard", "part").cogroup(wanted.groupBy("shard", "part")).applyInPandas(answer, _FOUND)
-
-
-def _compared(codes: DataFrame, queries: DataFrame, n_codes: int, n_asked: int, shard_codes: int, block_queries: int) -> DataFrame:
-    """Nearest codes of some queries by comparing them with all codes, block by block."""
-    shards, blocks = max(1, math.ceil(n_codes / shard_codes)), max(1, math.ceil(n_asked / block_queries))
-    mix = lambda c, n: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(n)).cast("int")
-    left = codes.select("code", F.col("size").cast("long").alias("size"), mix("code", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select("qcode", "need", mix("qcode", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def answer(table, some):
-        import pandas as pd
-
-        own, ask, need = table["code"].to_numpy(np.int64), some["qcode"].to_numpy(np.int64), some["need"].to_numpy(np.int64)
-        sizes, every = table["size"].to_numpy(np.int64), np.arange(len(table))
-        step = max(1, (1 << 21) // max(1, len(own)))
-        out = [_answers(ask[:0], need[:0], own, sizes, every[:0], every[:0], every[:0])]
-        for i in range(0, len(ask), step):
-            part = slice(i, i + step)
-            q, c = np.divmod(np.arange(len(ask[part]) * len(own)), max(1, len(own)))
-            out.append(_answers(ask[part], need[part], own, sizes, *nearest(ask[part].view(np.uint64), need[part], q, c, own.view(np.uint64), sizes)))
-        return pd.concat(out)
-
-    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(answer, _FOUND)
+    return placed.groupBy("shard", "part").cogroup(wanted.groupBy("shard", "part")).applyInPandas(answer, _FOUND)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code", segments: int | None = None, shard_codes: int = 16_384, block_queries: int = 4_096) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code", segments: int | None = None, shard_codes: int = 16_384) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest rows of each query, its own row excepted.
 
     Ties of distance go to the smaller id; ranks begin at 1. A query with fewer
@@ -240,24 +226,27 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     stored = _dealt(codes, layout)
     crowded = stored.groupBy("shard").count().where(F.col("count") > 4 * shard_codes).collect() if n_codes > shard_codes else []
     crowded = {shard: -(-n // (2 * shard_codes)) for shard, n in crowded}
+    placed = _placed(stored, crowded)
     found = local_table(spark, [], _FOUND)
     parts = []
     r = 0
-    while n_open and r <= layout.bits(0) and layout.patterns(r) * _PROBE_COST < n_codes:
-        near = found.unionByName(_probed(stored, open_, layout, r, crowded)).distinct()
+    while n_open:
+        near = found.unionByName(_probed(placed, open_, layout, r, crowded)).distinct()
         # what may still be among the nearest: codes up to the distance by which enough rows are seen
         closer = Window.partitionBy("qcode", "need").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
         near = near.withColumn("__closer", F.coalesce(F.sum("size").over(closer), F.lit(0))).where(F.col("__closer") < F.col("need")).drop("__closer")
         covered = len(layout.cuts[1:]) * (r + 1) - 1
         sure = F.sum(F.when(F.col("distance") <= covered, F.col("size"))).over(Window.partitionBy("qcode", "need"))
-        near = written(near.withColumn("done", F.coalesce(sure >= F.col("need"), F.lit(False))), f"radius-{r}")
+        # a query for more rows than there are is done when all distances are covered
+        near = written(near.withColumn("done", F.lit(covered >= BITS) | F.coalesce(sure >= F.col("need"), F.lit(False))), f"radius-{r}")
         parts.append(near.where("done").drop("done"))
+        if covered >= BITS:
+            break
         found = near.where("not done").drop("done")
         settled = parts[-1].select("qcode", "need").distinct()
         open_, (n_open,) = written_with(open_.join(settled, ["qcode", "need"], "left_anti"), "open", F.count(F.lit(1)))
         r += 1
-    if n_open:
-        parts.append(_compared(codes, open_, n_codes, n_open, shard_codes, block_queries))
+    placed.unpersist()
     pairs = reduce(DataFrame.unionByName, parts, local_table(spark, [], _FOUND))
     by_code = Window.partitionBy("qcode", "need").orderBy("distance", "id")
     near = pairs.join(few, "code").withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= F.col("need")).select("qcode", "need", "id", "times", "distance")
