@@ -253,7 +253,7 @@ def byte_bpe_encode(
     digests: bool = False,
     chunk: int = 32_768,
     shared: int = 1_024,
-    cache_bytes: int = 60_000_000,
+    cache_bytes: int = 120_000_000,
 ) -> DataFrame:
     """Adds ``ids`` (array of long) and ``decoded`` (the bytes that they stand for), or with ``digests`` their number and SHA-256 values.
 
