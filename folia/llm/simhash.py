@@ -5,8 +5,8 @@ Equal fingerprints collapse to one row before anything else happens, so a
 group of copies, however large, is a single point of the metric space.
 
 Two fingerprints with at most ``max_distance`` differing bits agree, up to
-``max_distance // bands`` bits, on at least one of ``bands`` blocks of bits
-(the differing bits cannot exceed that on every block). Each block is a
+``max_distance // bands`` bits, on at least one of ``bands`` blocks of bits,
+however the bits are parted (the differing bits cannot exceed that on every block). Each block is a
 smaller Hamming space with a vantage-point tree of its own:
 
 * the upper levels, built from a bounded sample, partition the points into
@@ -14,10 +14,9 @@ smaller Hamming space with a vantage-point tree of its own:
   and asked about in every shard that the triangle bound can't exclude: at a
   node with vantage ``v`` and radius ``m``, a point at distance ``d`` visits the
   inner side if ``d - r <= m`` and the outer side if ``d + r > m``;
-* a shard that got far more points than its share is parted anew by trees over
-  the other blocks: of two fingerprints within the distance, one of those
-  blocks differs by no more than its part again; so on while a shard is crowded
-  and a block is left that no tree above it has looked at;
+* a shard that got far more points than its share is parted anew, like the whole,
+  by blocks of its own: bits that its points have in common say nothing, so
+  those that vary are dealt evenly to the blocks; so on while that helps;
 * each shard builds the lower levels over all that it holds, in memory, and
   answers its queries through the same bounds, many queries at a time; where
   all points have the same bits in a block, the other blocks part them; leaves
@@ -87,10 +86,11 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     return with_kernel(docs, make, [text_col], [T.StructField("fp", T.LongType())], keep)
 
 
-def _blocks(bands: int) -> list[int]:
-    """Bit masks that part 64 bits into ``bands`` blocks of neighbouring bits."""
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+def _blocks(bands: int, sample: np.ndarray) -> tuple[int, ...]:
+    """Bit masks that part 64 bits into ``bands`` blocks; the bits that vary most in the sample are dealt evenly."""
+    ones = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(axis=0) if len(sample) else np.zeros(64)
+    order = np.argsort(np.abs(ones - 0.5), kind="stable").tolist()
+    return tuple(sum(1 << b for b in order[i::bands]) for i in range(bands))
 
 
 def _halves(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, int, np.ndarray] | None:
@@ -255,7 +255,8 @@ def _shards(points: DataFrame, total: int, max_distance: int, bands: int, sample
     spark = points.sparkSession
     fetch = lambda rows: rows.select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
     wanted = min(max(sample_rows, total // 64), 2_000_000)
-    plan = {-1: _levels(fetch(_sampled(points, wanted / total)), tuple(_blocks(bands)), max_distance, total, shard_points, 0)}
+    sample = fetch(_sampled(points, wanted / total))
+    plan, sizes = {-1: _levels(sample, _blocks(bands, sample), max_distance, total, shard_points, 0)}, {-1: total}
     levels = plan[-1]
     routed = held = points.select(F.lit(-1).alias("shard"), "fp", F.lit(True).alias("stored"))
     while plan:
@@ -263,12 +264,12 @@ def _shards(points: DataFrame, total: int, max_distance: int, bands: int, sample
         # what is looked at for crowds are homes, of shards that have just been parted
         routed, held = _routed(routed, shared), _routed(held.where(F.col("shard").isin(list(plan))), shared, stored_only=True)
         heavy = dict(held.groupBy("shard").count().where(F.col("count") > 16 * shard_points).collect())
-        plan = {}
+        parted, plan = plan, {}
         for shard, n in heavy.items():
-            above = max((x for x in levels if x.first <= shard), key=lambda x: x.first)
-            if above.rest:
+            parent = next(p for p, own in parted.items() if own[0].first <= shard < own[-1].after)
+            if n < sizes[parent] * 0.9 or parent == -1:
                 sample = fetch(_sampled(held.where(F.col("shard") == shard), min(1.0, sample_rows / n)))
-                plan[shard] = _levels(sample, above.rest, max_distance, n, shard_points, levels[-1].after)
+                plan[shard], sizes[shard] = _levels(sample, _blocks(bands, sample), max_distance, n, shard_points, levels[-1].after), n
                 levels = [*levels, *plan[shard]]
     return routed, levels
 

@@ -11,6 +11,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -172,16 +173,24 @@ def slow_neighbors(rows, k):
     return out
 
 
-@pytest.mark.parametrize("shard, block", [(65536, 4096), (40, 16)])
-def test_top_k(spark, shard, block):
+@pytest.mark.parametrize("shard", [65536, 40])
+def test_top_k(spark, shard):
     codes = [RND.getrandbits(63) for _ in range(60)]
     rows = [(i, RND.choice(codes) ^ sum(1 << b for b in RND.sample(range(64), RND.choice([0, 0, 1, 3, 9]))) & (1 << 63) - 1) for i in range(300)]
     rows += [(300, None), (None, 5)] + [(1000 + i, codes[0]) for i in range(150)]
     table = spark.createDataFrame(rows, "vec_id long, code long")
-    found = topk.top_k(table, table.where("vec_id % 2 = 0"), k=7, shard_codes=shard, block_queries=block).collect()
+    found = topk.top_k(table, table.where("vec_id % 2 = 0"), k=7, shard_codes=shard).collect()
     same(found, slow_neighbors(rows, 7))
 
 
+def test_vectors_of_other_lengths_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, i % 5, 1, 2, 3) for i in range(30)], "vec_id long, code long, id int, shard int, size int")
+    assert topk.top_k(rows, rows.where("vec_id = 0"), k=3).columns == ["query_id", "rank", "neighbor_id", "distance"]
+    same(topk.top_k(rows, rows.where("vec_id = 0"), k=3).collect(), [(0, 1, 5, 0), (0, 2, 10, 0), (0, 3, 15, 0)])
+    clash = spark.createDataFrame([(1, [1.0, -1.0], "x", 5)], "vec_id long, embedding array<double>, code string, k0 int")
+    assert [tuple(r) for r in topk.binary_codes(clash).select("vec_id", "code", "k0").collect()] == [(1, 1, 5)]
+
+
 def test_top_k_edges(spark):
     none = spark.createDataFrame([], "vec_id long, code long")
     few = spark.createDataFrame([(0, 1), (1, 1)], "vec_id long, code long")
@@ -192,13 +201,44 @@ def test_top_k_edges(spark):
     assert topk.sign_code([-1.0] * 64 + [5.0]) == 1
 
 
-@pytest.mark.parametrize("shard, block", [(65536, 4096), (3, 2)])
-def test_top_k_with_repeated_ids(spark, shard, block):
+def test_probes_meet_near_segments_only():
+    """Each radius finds the codes with a segment at just that distance, by patterns or by the table's values."""
+    rng = np.random.default_rng(4)
+    for n, prefix in ((30, 0), (600, 2), (4_000, 3)):
+        layout = topk._Layout(6, prefix)
+        codes, asked = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+        every = np.full(20, 10**9)
+        for segment, r in itertools.product((0, 5), range(6)):
+            away = np.bitwise_count(layout.values(codes, segment)[None, :] ^ layout.values(asked, segment)[:, None])
+            homes = layout.shards(codes, segment)
+            got = set()
+            for shard in np.unique(homes).tolist():
+                own = np.nonzero(homes == shard)[0]
+                q, c, d = topk.probe(layout, shard, r, codes[own], np.ones(len(own), dtype=np.int64), asked, every)
+                assert (d == np.bitwise_count(asked[q] ^ codes[own][c])).all()
+                got |= set(zip(q.tolist(), own[c].tolist(), strict=True))
+            assert got == set(zip(*[x.tolist() for x in np.nonzero(away == r)], strict=True))
+
+
+def test_tables_are_dealt_once(spark):
+    layout = topk._Layout(4, 2)
+    codes = spark.createDataFrame([(i * 7919, 1) for i in range(100)], "code long, size long")
+    placed = topk._placed(topk._dealt(codes, layout), {1: 2})
+    placed.count()
+    found = topk._probed(placed, spark.createDataFrame([(5, 3)], "qcode long, need long"), layout, 1, {1: 2})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    stored = plan[plan.index("InMemoryTableScan") - 600 : plan.index("InMemoryTableScan")]
+    assert "Exchange" not in stored and plan.split("InMemoryRelation")[0].count("Exchange hashpartitioning") <= 1
+    placed.unpersist()
+
+
+@pytest.mark.parametrize("shard", [65536, 3])
+def test_top_k_with_repeated_ids(spark, shard):
     rnd = random.Random(3)
     rows = [(i, rnd.getrandbits(10)) for i in range(40)]
     rows += [(0, rows[0][1])] * 30 + [(2, rows[2][1] ^ 1 << b) for b in range(25)] + [(7, rows[0][1] ^ 1)] * 4 + [(9, rows[2][1])] * 20
     asked = [rows[0], rows[2], rows[4], rows[9], (6, rows[2][1])]
-    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, code long"), spark.createDataFrame(asked, "vec_id long, code long"), k=7, shard_codes=shard, block_queries=block).collect()
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, code long"), spark.createDataFrame(asked, "vec_id long, code long"), k=7, shard_codes=shard).collect()
     wanted = []
     for q, code in asked:
         near = sorted(((code ^ c).bit_count(), i) for i, c in rows if i != q)[:7]
@@ -300,23 +340,72 @@ def test_entropy_finds_and_suppresses():
     key = "q7Zp0XvL2mKc9RtB4nYw8HsD"
     assert [k for k, _, _ in secrets.scan(f"key {key} end")] == ["entropy"]
     assert secrets.scan("123e4567-e89b-12d3-a456-426614174000") == []
-    assert secrets.scan(f"example-{key}") == [] and secrets.scan("averyveryverylongordinaryword") == []
+    assert secrets.scan(f"example{key}") == [] and secrets.scan("averyveryverylongordinaryword") == []
     assert secrets.redact(f"a {key} b") == "a [SECRET] b" and secrets.redact(None) is None and secrets.redact("plain") == "plain"
 
 
 def test_placeholders_suppress_only_their_part():
     key = "q7Zp0XvL2mKc9RtB4nYw8HsD"
-    for before in ("https://api.host.com/samples/", "key_for_example=", "sample_"):
+    for before in ("https://api.host.com/samples/", "key_for_example=", "sample_", "my-example-", "example-"):
         text = f"{before}{key} end"
         covered = {i for _, a, b in secrets.scan(text) for i in range(a, b)}
         assert covered >= set(range(len(before), len(before) + len(key))) and key not in secrets.redact(text)
+    assert secrets.redact(f"{key}-example") == "[SECRET]example"  # the hyphen is a sign of Base64, too
     run = "".join(RND.choice("ABCDEFGHJKLMNPQRSTUVWYZabcdefghkmnpqrstuvwyz123456789") for _ in range(300))
     text = run[:150] + "xXxX" + run[150:]
     assert secrets.redact(text) == "[SECRET]"
-    for known in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", f"{key}-example"):
+    for known in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", f"{key}example"):
         assert secrets.scan(known) == []
 
 
+def slow_scan(text):
+    """All spans, by other means: every window's entropy from scratch, over characters that no placeholder's part takes away."""
+    text = text or ""
+    out = slow_secrets(text)
+    words = ("example", "sample", "dummy", "changeme", "placeholder", "redacted", "xxxx", "0123456789", "abcdefghij")
+    covered = set()
+    alphabets = [("0123456789abcdef", 24, 3.0), ("0123456789ABCDEF", 24, 3.0), (B64[:62], 20, 3.9), (B64, 24, 4.1)]
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) < 20 or re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", m[0]) or re.fullmatch("[0-9]+([-_/][0-9]+)*|[A-Za-z]+([-_/][A-Za-z]+)*", m[0]):
+            continue
+        live = [True] * len(m[0])
+        for part in re.finditer("[A-Za-z0-9+]+", m[0]):
+            if len(part[0]) <= 64 and any(w in part[0].lower() for w in words):
+                live[part.start() : part.end()] = [False] * len(part[0])
+        for chars, window, least in alphabets:
+            fits = [a and c in chars for a, c in zip(live, m[0], strict=True)]
+            for a in range(len(fits) - window + 1):
+                w = m[0][a : a + window]
+                if all(fits[a : a + window]) and -sum(w.count(c) / window * math.log2(w.count(c) / window) for c in set(w)) >= least - 1e-9 and 0 < sum(c in "0123456789" for c in w) < window:
+                    covered |= {(chars, m.start() + i) for i in range(a, a + window)}
+    # stretches of each class, and then of all, that overlap
+    runs = []
+    for chars, *_ in alphabets:
+        own = sorted(i for c, i in covered if c == chars)
+        runs += [(g[0], g[-1] + 1) for g in ([i for _, i in group] for _, group in itertools.groupby(enumerate(own), lambda x: x[1] - x[0]))]
+    merged = []
+    for a, b in sorted(runs):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return sorted(out + [("entropy", a, b) for a, b in merged], key=lambda s: (s[1], secrets.KINDS.index(s[0]), s[2]))
+
+
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+
+
+def test_secret_spans_equal_windows_from_scratch():
+    pieces = ["example", "XXXX", "-", "_", "/", "=", "deadbeef01", "q7Zp0XvL2m", "Kc9RtB4nYw", " ", "token=", "AKIA", "0123", "word", "é", "+"]
+    for _ in range(400):
+        text = "".join(RND.choice(pieces) if RND.random() < 0.7 else "".join(RND.choice(B64) for _ in range(RND.randint(1, 30))) for _ in range(RND.randint(1, 14)))
+        assert secrets.scan(text) == slow_scan(text), text
+    long = "".join(RND.choice(B64) for _ in range(3_000))
+    assert secrets.scan(long) == slow_scan(long)
+    began = time.time()
+    assert len(secrets.redact("".join(RND.choice(B64[:62]) for _ in range(1_000_000)))) < 20_000 and time.time() - began < 60
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 
@@ -439,6 +528,31 @@ def test_pii(spark, empty):
     assert pii.pii_digests(empty).count() == 0
 
 
+def slow_ibans(text):
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", text or ""):
+        plain = m[0].replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+            out.append(("iban", *m.span()))
+    return out
+
+
+def test_pii_spans_as_a_whole(spark):
+    signs = ["mail ", "4111 1111 1111 1111", "a@b.c", "+49 30 1234567", "1.2.3.4", "é", "😀", " ", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765433", " iban ", "x"]
+    rows = [(i, "".join(RND.choice(signs) for _ in range(RND.randint(1, 90))), 1, 2) for i in range(60)] + [(900, None, 1, 2), (901, "", 1, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, __gaps0 int, __parts1 int")
+    same(pii.pii_digests(table).select("doc_id", "spans").collect(), [(d, secrets.joined(slow_pii(t) + slow_ibans(t))) for d, t, *_ in rows])
+    found = pii.pii_spans(table)
+    assert found.columns == [*table.columns, "pii"] and found.where("__gaps0 = 1 and __parts1 = 2").count() == len(rows)
+
+
+def test_pii_takes_time_in_proportion(spark):
+    table = spark.createDataFrame([(1, " ".join(f"user{i}@host{i % 7}.org" for i in range(64_000)))], "doc_id long, text string")
+    began = time.time()
+    assert pii.pii_digests(table).first()["n_email"] == 64_000 and time.time() - began < 60
+    assert "Python" not in pii.pii_digests(table)._jdf.queryExecution().toString()
+
+
 def test_pii_scores_and_masks(spark):
     table = spark.createDataFrame([(1, "my iban GB82 WEST 1234 5698 7654 32, not GB83 WEST 1234 5698 7654 32"), (2, "call +1 (017) 555-7713"), (3, None)], "doc_id long, text string")
     found = {r["doc_id"]: r["pii"] for r in pii.pii_spans(table).collect()}
@@ -572,12 +686,35 @@ def test_points_that_share_a_block(spark):
     assert all(roots.get(points[i], points[i]) == points[min(g)] for g in near for i in g)
     # in one shard: far fewer comparisons than pairs
     many = np.unique(rng.integers(0, 1 << 47, 100_000, dtype=np.int64) << 16).view(np.uint64)
-    masks = simhash._blocks(4)
+    masks = simhash._blocks(4, many[:0])
     forest, began = simhash._Forest(len(many)), time.time()
     simhash._search(np.arange(len(many)), np.arange(len(many)), many, masks[0], tuple(masks[1:]), 1, 4, forest, rng)
     assert time.time() - began < 60
 
 
+def test_crowds_are_parted_by_one_block_after_the_other(spark):
+    """300,000 fingerprints with 32 bits in common: no shard's group holds a large part of them."""
+    rng = np.random.default_rng(12)
+    high = np.unique(rng.integers(0, 1 << 31, 240_000, dtype=np.int64))
+    near = high[:60_000] ^ (1 << rng.integers(0, 31, 60_000, dtype=np.int64))
+    points = np.unique(np.concatenate([high, near])) << 32 | 0x1234ABCD
+    routed, _ = simhash._shards(spark.createDataFrame(pa.table({"fp": points})), len(points), 4, 4, 5_000, 4_096)
+    assert routed.where("stored").groupBy("shard").count().agg(F.max("count")).first()[0] < 20_000
+    assert routed.groupBy("shard").count().agg(F.max("count")).first()[0] < 150_000
+    # a crowd among others: its shards are parted anew
+    some = np.concatenate([rng.choice(1 << 16, 1_000, replace=False).astype(np.int64) << 24, rng.integers(0, 1 << 63, 4_000, dtype=np.int64)])
+    routed, levels = simhash._shards(spark.createDataFrame(pa.table({"fp": some})), len(some), 4, 4, 40, 4)
+    assert len(levels) > 4 and routed.where("stored").groupBy("shard").count().agg(F.max("count")).first()[0] <= 16 * 4
+    high, near = high[:8_000], near[:8_000]
+    points = np.unique(np.concatenate([high, near])) << 32 | 0x1234ABCD
+    edges = simhash.links(spark.createDataFrame(pa.table({"fp": points})), shard_points=64, sample_rows=1_000)
+    both = np.array([(r["a"], r["b"]) for r in edges.collect()], dtype=np.int64)
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pa.table({"a": both[:, 0], "b": both[:, 1]}))).collect()}
+    for a, b in zip(high.tolist(), near.tolist(), strict=True):
+        x, y = a << 32 | 0x1234ABCD, b << 32 | 0x1234ABCD
+        assert roots.get(x, x) == roots.get(y, y)
+
+
 def test_pii_scores(spark):
     table = spark.createDataFrame([(1, "mail a@b.co"), (2, "zz a@b.co"), (3, "none"), (4, None), (5, "zz 10.0.0.1 zz card 4111 1111 1111 1111")], "doc_id long, text string")
     assert {r["doc_id"]: r["max_score"] for r in pii.pii_digests(table).collect()} == {1: 1.0, 2: 0.9, 3: None, 4: None, 5: 0.9}
