@@ -81,17 +81,46 @@ def in_order(rows: DataFrame, doc_cols: list[str], inputs: dict[str, Column], ou
     return marked.mapInArrow(work, schema)
 
 
-def _relate(firsts: list[bool], levels: list[int], masks: list[int], values: list[bool]) -> list[list]:
-    """For each row: what holds of some ancestor, of the parent, of the next row that isn't deeper, that one's level, and the level of the open value."""
+def _relate(firsts: list[bool], levels: list[int], masks: list[int], values: list[bool], above_first: list | None = None, behind: list | None = None) -> list[list]:
+    """For each row: what holds of some ancestor, of the parent, of the next row that isn't deeper, that one's level, and the level of the open value.
+
+    Where rows are pieces of documents, a piece's first row says what lies
+    around the piece: the elements still open (``above_first``: level, mask,
+    value, from the root) and those behind it that close any (``behind``: level,
+    mask, in order, each less deep than the one before).
+    """
     n = len(levels)
     above, parents, following, next_level, scopes = [0] * n, [0] * n, [0] * n, [None] * n, [None] * n
     in_value = [False] * n
+    levels, masks, values = list(levels), list(masks), list(values)  # open elements of earlier pieces go behind the rows
+
+    def push(level: int, mask: int, value: bool) -> None:
+        up = stack[-1] if stack else None
+        stack.append(len(levels))
+        for column, x in ((levels, level), (masks, mask), (values, value), (following, 0), (next_level, None)):
+            column.append(x)
+        above.append(0 if up is None else above[up] | masks[up])
+        in_value.append(up is not None and (in_value[up] or values[up]))
+
+    def close(later: list) -> None:
+        for i in stack:
+            # the first that isn't deeper
+            found = next((x for x in later if x["level"] <= levels[i]), None)
+            if found is not None:
+                following[i], next_level[i] = found["mask"], found["level"]
+
     stack: list[int] = []  # rows that are open
-    scope = None
+    scope, later = None, []
     for i in range(n):
         level, mask = levels[i], masks[i]
         if firsts[i]:
-            stack, scope = [], None
+            if later:
+                close(later)
+            stack, scope, later = [], None, (behind[i] or []) if behind else []
+            for e in (above_first[i] or []) if above_first else []:
+                push(e["level"], e["mask"], e["value"])
+                if e["value"] and scope is None:
+                    scope = e["level"]
         while stack and levels[stack[-1]] >= level:
             closed = stack.pop()
             following[closed], next_level[closed] = mask, level
@@ -105,19 +134,92 @@ def _relate(firsts: list[bool], levels: list[int], masks: list[int], values: lis
         elif scope is not None and level <= scope:
             scope = None
         stack.append(i)
-    return [above, parents, following, next_level, scopes]
+    if later:
+        close(later)
+    return [above[:n], parents, following[:n], next_level[:n], scopes]
+
+
+def _summed_up(firsts: list[bool], levels: list[int], masks: list[int], values: list[bool]) -> list[list]:
+    """At each piece's last row: the elements that it leaves open, and those that close elements of earlier pieces."""
+    n = len(levels)
+    opened, closing = [None] * n, [None] * n
+    stack: list[int] = []
+    least: list[int] = []
+    for i in range(n):
+        if firsts[i]:
+            stack, least = [], []
+        while stack and levels[stack[-1]] >= levels[i]:
+            stack.pop()
+        stack.append(i)
+        if not least or levels[i] < levels[least[-1]]:
+            least.append(i)
+        if i + 1 == n or firsts[i + 1]:
+            opened[i] = [{"level": levels[j], "mask": masks[j], "value": values[j]} for j in stack]
+            closing[i] = [{"level": levels[j], "mask": masks[j]} for j in least]
+    return [opened, closing]
+
+
+def _carried(firsts: list[bool], opened: list[list], closing: list[list]) -> list[list]:
+    """From all pieces of a document what lies around each: open elements before it, closing ones behind it."""
+    n = len(firsts)
+    before, behind = [None] * n, [None] * n
+    stack: list[dict] = []
+    for i in range(n):
+        before[i] = stack = [] if firsts[i] else stack
+        # of what was open, a piece leaves what is less deep than all of its rows
+        stack = [e for e in stack if e["level"] < closing[i][-1]["level"]] + opened[i]
+    later: list[dict] = []
+    for i in reversed(range(n)):
+        behind[i] = later
+        later = [] if firsts[i] else closing[i] + [e for e in later if e["level"] < closing[i][-1]["level"]]
+    return [before, behind]
+
+
+_OPEN, _CLOSE = "array<struct<level int, mask int, value boolean>>", "array<struct<level int, mask int>>"
+_RELATED = "__above int, __parent int, __next int, __next_level int, __scope int"
+
+
+def _in_pieces(rows: DataFrame, doc_cols: list[str], inputs: dict[str, Column], piece_rows: int) -> DataFrame:
+    """``rows`` with the columns of :func:`_relate`, by pieces of ``piece_rows`` places of each document.
+
+    First each piece tells which elements it leaves open and which of its rows
+    close earlier ones; from these few, in a document's order, follows what lies
+    around each piece; then each piece is gone through with that. Tasks hold
+    pieces, and for each document the elements open between its pieces.
+    """
+    rows = rows.withColumn("__piece", F.floor(F.col("pos") / piece_rows).cast("bigint"))
+    piece = [*doc_cols, "__piece"]
+    large = rows.groupBy(*doc_cols).agg((F.max("__piece") > F.min("__piece")).alias("__large")).where("__large").drop("__large")
+    if doc_cols:
+        same = [rows[c].eqNullSafe(large[c]) for c in doc_cols]
+        narrow = rows.select(*piece, "pos", *[c.alias(f"__{name}") for name, c in inputs.items()]).join(large, same, "left_semi")
+    else:
+        narrow = rows.select(*piece, "pos", *[c.alias(f"__{name}") for name, c in inputs.items()])
+    first = F.min("pos").over(Window.partitionBy(*piece))
+    told = in_order(narrow.withColumn("__first_pos", first), piece, {name: F.col(f"__{name}") for name in inputs}, f"__opened {_OPEN}, __closing {_CLOSE}", _summed_up)
+    pieces = told.where(F.col("__opened").isNotNull()).select(*piece, "__first_pos", "__opened", "__closing")
+    around = in_order(pieces, doc_cols, {"opened": F.col("__opened"), "closing": F.col("__closing")}, f"__before {_OPEN}, __behind {_CLOSE}", _carried, ["__piece"])
+    known = around.select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate(piece)], "__first_pos", "__before", "__behind")
+    on = [rows[c].eqNullSafe(known[f"__d{i}"]) for i, c in enumerate(piece)] + [rows["pos"] == known["__first_pos"]]
+    met = rows.join(known, on, "left").drop("__first_pos", *[f"__d{i}" for i in range(len(piece))])
+    return in_order(met, piece, {**inputs, "above_first": F.col("__before"), "behind": F.col("__behind")}, _RELATED, _relate).drop("__piece", "__before", "__behind")
 
 
 class Related:
-    """Rows with their relations: ``df``, and columns that tell what holds around a row."""
+    """Rows with their relations: ``df``, and columns that tell what holds around a row.
+
+    With ``piece_rows``, a document's rows needn't meet in one task: they are
+    dealt in pieces of so many places.
+    """
 
-    def __init__(self, rows: DataFrame, doc_cols: list[str], tests: dict[str, Column]):
+    def __init__(self, rows: DataFrame, doc_cols: list[str], tests: dict[str, Column], piece_rows: int | None = None):
         self._bit = {name: 1 << i for i, name in enumerate(tests)}
         mask = F.lit(0)
         for name, test in tests.items():
             mask = mask + F.when(F.coalesce(test, F.lit(False)), self._bit[name]).otherwise(0)
         value = F.coalesce(F.col("kind") == "value", F.lit(False))
-        self.df = in_order(rows, doc_cols, {"level": depth(F.col("level")), "mask": mask, "value": value}, "__above int, __parent int, __next int, __next_level int, __scope int", _relate)
+        inputs = {"level": depth(F.col("level")), "mask": mask, "value": value}
+        self.df = in_order(rows, doc_cols, inputs, _RELATED, _relate) if piece_rows is None else _in_pieces(rows, doc_cols, inputs, piece_rows)
         self.added = ["__above", "__parent", "__next", "__next_level", "__scope"]
 
     def above(self, name: str) -> Column:
@@ -137,10 +239,13 @@ def is_inline() -> Column:
     return F.coalesce(F.col("kind") == "inline", F.lit(False))
 
 
-def body(rows: DataFrame, doc_cols: list[str]) -> DataFrame:
-    """The rows of the body: no values, no metadata, nothing below them; orders and ``pos`` stay. One shuffle by document."""
+def body(rows: DataFrame, doc_cols: list[str], piece_rows: int | None = None) -> DataFrame:
+    """The rows of the body: no values, no metadata, nothing below them; orders and ``pos`` stay.
+
+    One shuffle by document; with ``piece_rows`` by pieces of documents of so many places.
+    """
     root = F.coalesce((F.col("kind") == "value") | (F.col("element_type") == "metadata"), F.lit(False))
-    related = Related(rows, doc_cols, {"hidden": root})
+    related = Related(rows, doc_cols, {"hidden": root}, piece_rows)
     return related.df.where(~root & ~related.above("hidden") & F.coalesce(F.col("kind").isin("block", "inline"), F.lit(False))).drop(*related.added)
 
 

@@ -222,6 +222,7 @@ ORACLE_SQL = {
     "quality": f"WITH {FLAT}, {oracle_rules.quality('flat')}",
     "quality_irregular": f"WITH {IRREGULAR_ROWS}, {oracle_rules.quality('odd')}",
     "body_deep": f"WITH {DEEP_ROWS}, {_units('deep')} SELECT {_COLUMNS} FROM hid WHERE NOT hidden",
+    "body_pieces": f"WITH {DEEP_ROWS}, {_units('deep')} SELECT {_COLUMNS} FROM hid WHERE NOT hidden",
     "to_text_deep": f"WITH {DEEP_ROWS}, {_units('deep')} SELECT conv_id, coalesce(string_agg(t, {_BLANK} ORDER BY pos) FILTER (t <> ''), '') AS text FROM said GROUP BY conv_id",
     "headings_deep": f"WITH {DEEP_ROWS} SELECT conv_id, 1 + pos % 3 AS level, content AS title, '' AS id, element_order FROM deep WHERE pos % 4 = 1",
     "compact_lines": _flat(f"SELECT conv_id, pos, {_JSON_LINE} AS line FROM flat"),

@@ -230,6 +230,7 @@ QUERIES = {
     "quality": on_source(check.quality, conversation_rows, "element_order", "rule"),
     "quality_irregular": on_source(check.quality, irregular_rows, "element_order", "rule"),
     "body_deep": lambda spark, sf_dir: flat(tree.body(deep_rows(spark, sf_dir), DOC)),
+    "body_pieces": lambda spark, sf_dir: flat(tree.body(deep_rows(spark, sf_dir), DOC, piece_rows=7)),
     "to_text_deep": on_source(text.to_text, deep_rows),
     "headings_deep": headings_deep,
     "compact_lines": compact_lines,
