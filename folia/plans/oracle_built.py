@@ -121,6 +121,8 @@ ORACLE_SQL = {
       CASE WHEN kind = 'inline' THEN 'plain' WHEN kind = 'block' AND element_type = 'list_item' THEN 'list' WHEN kind = 'block' AND element_type = 'caption' THEN 'figure' END AS parent,
       kind IN ('block', 'inline') AND element_type <> 'metadata' AS body, {len(KINDS)} AS kinds, {len(ALL_TYPES)} AS types, {len(ENCODINGS)} AS encodings, '1.4' AS version FROM odd""",
     "compact_files": f"WITH {NESTED} SELECT kind, element_type, content, level, encoding, attributes, true AS numbered FROM nested",
+    "compact_source_rows": f"WITH {NESTED} SELECT kind, element_type, content, level, encoding, attributes, true AS numbered FROM nested",
+    "compact_source_types": f"WITH {NESTED} SELECT element_type, count(*) AS n FROM nested GROUP BY element_type",
     "sections_blocks": f"""WITH {FLAT}, {_SECTIONS}
       SELECT sec.conv_id, section_id, start_order, CASE WHEN f.pos IS NOT NULL THEN (row_number() OVER (PARTITION BY sec.conv_id, start_order ORDER BY f.pos) - 1)::INTEGER END AS i, f.element_type, f.content
       FROM sec LEFT JOIN flat f ON f.conv_id = sec.conv_id AND f.element_order BETWEEN content_start_order AND end_order""",

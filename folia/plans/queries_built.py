@@ -18,7 +18,7 @@ from folia.plans import sql
 from folia.plans.queries import DOC, flat, flat_attributes
 from folia.schema import FIELDS, from_text, to_list, to_rows
 from folia.scratch import scratch_root
-from folia.sources import compact
+from folia.sources import compact, compact_source
 from folia.sources.conversations import conversation_rows, irregular_rows, nested_rows
 from folia.sources.profile import profile
 
@@ -87,6 +87,24 @@ def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("numbered", numbered).select("kind", "element_type", "content", "level", "encoding", flat_attributes().alias("attributes"), "numbered")
 
 
+def compact_source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the data source, in splits of 4 kB."""
+    path = f"{scratch_root(spark)}/folia/compact-{uuid.uuid4().hex}"
+    compact_source.save(nested_rows(spark, sf_dir), path, DOC, split_bytes=4_096)
+    rows = compact_source.load(spark, path)
+    whole = Window.partitionBy("filename")
+    numbered = F.max("pos").over(whole) + 1 == F.count(F.lit(1)).over(whole)
+    return rows.withColumn("numbered", numbered).select("kind", "element_type", "content", "level", "encoding", flat_attributes().alias("attributes"), "numbered")
+
+
+def compact_source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements by type, of files that another writer left; lines are counted first and only one column is read."""
+    path = f"{scratch_root(spark)}/folia/compact-{uuid.uuid4().hex}"
+    compact.write_compact(to_list(nested_rows(spark, sf_dir), DOC), path)
+    rows = compact_source.load(spark, path, split_bytes=4_096, schema="element_type string, pos int")
+    return rows.groupBy("element_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _opened(found: DataFrame, *columns: str) -> DataFrame:
     return found.select(*DOC, *columns, F.posexplode_outer("blocks").alias("i", "b")).select(*DOC, *columns, "i", F.col("b.element_type").alias("element_type"), F.col("b.content").alias("content"))
 
@@ -148,6 +166,8 @@ QUERIES = {
     "sql_builders": sql_builders,
     "element_forms": element_forms,
     "compact_files": compact_files,
+    "compact_source_rows": compact_source_rows,
+    "compact_source_types": compact_source_types,
     "sections_blocks": sections_blocks,
     "sections_like_blocks": sections_like_blocks,
     "pages_blocks": pages_blocks,
