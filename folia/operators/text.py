@@ -6,16 +6,12 @@ it; a run without such an element in front is a unit too.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folia.functions.lists import rank_of
 from folia.operators.tree import Related, by_document, heading_scope, is_inline
-from folia.workers import reach_workers
 
 
 def inline_text() -> Column:
@@ -64,34 +60,31 @@ def units(rows: DataFrame, doc_cols: list[str], more: list[str] | None = None) -
     return _grouped(heading_scope(related.df, doc_cols), doc_cols, hidden, more or [])
 
 
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def _cells(content):
-    """The non-empty strings among a JSON text's values, in order; a text that isn't JSON is its own only cell."""
-    if content is None:
-        return None
-    found: list[str] = []
-
-    def walk(value, left: int) -> None:
-        if left < 0:
-            return
-        if isinstance(value, str):
-            if value:
-                found.append(value)
-        elif isinstance(value, _Pairs):
-            for _, v in value:
-                walk(v, left - 1)
-        elif isinstance(value, list):
-            for v in value:
-                walk(v, left - 1)
-
-    class _Pairs(list):
-        pass
-
-    try:
-        walk(json.loads(content, object_pairs_hook=_Pairs), 256)
-    except (ValueError, RecursionError):
-        return [content]
-    return found
+#: A JSON string; the possessive loop takes the matcher no deeper for long ones.
+_STRING = r'(?s)"(?:[^"\\]|\\.)*+"'
+#: Stands for a string where only the rest is looked at; JSON has no such character.
+_HOLD = "\x01"
+
+
+def _cells(content: Column) -> Column:
+    """The non-empty strings among a JSON text's values, in order; a text that isn't JSON is its own only cell.
+
+    Strings are found by their quotes; one with a colon behind it is a key. The
+    text is JSON if each string is, and if it is a single value with an empty
+    text for each string and with keys numbered, so that a key may stand twice.
+    Nesting is followed as deep as the engine's parser goes, 1,000 levels.
+    """
+    tokens = F.regexp_extract_all(content, F.lit(_STRING + r"(?:[ \t\n\r]*+:)?"), F.lit(0))
+    parsed = lambda token: F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
+    values = F.transform(F.filter(tokens, lambda t: t.endswith('"')), parsed)
+    sound = F.forall(tokens, lambda t: F.try_parse_json(F.regexp_replace(t, "[ \\t\\n\\r]*+:$", "")).isNotNull())
+    rest = F.split(F.regexp_replace(content, _STRING, _HOLD), _HOLD + r"[ \t\n\r]*+:")
+    numbered = F.transform(rest, lambda part, i: F.concat(F.when(i > 0, F.concat(F.lit('"'), i.cast("string"), F.lit('":'))).otherwise(""), F.replace(part, F.lit(_HOLD), F.lit('""'))))
+    bare = F.array_join(numbered, "")
+    # inside a list and inside an object: so it is one value, and nothing behind it
+    single = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"0":'), bare, F.lit("}"))).isNotNull()
+    found = F.when(~content.contains(_HOLD) & single & sound, F.filter(values, lambda v: v != "")).otherwise(F.array(content))
+    return F.when(content.isNotNull(), found)
 
 
 def unit_text(separator: str) -> Column:
@@ -106,7 +99,6 @@ def unit_text(separator: str) -> Column:
 
 def texts(rows: DataFrame, doc_cols: list[str], separators: dict[str, str]) -> DataFrame:
     """One row for each document, with its body's text once for each name and separator."""
-    reach_workers(rows.sparkSession)
     said = units(rows, doc_cols).withColumns({f"__{out}": unit_text(separator) for out, separator in separators.items()})
 
     def joined(out: str, separator: str) -> Column:
