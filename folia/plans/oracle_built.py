@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folia.plans import oracle
 from folia.plans.oracle import _BLANK, _ESC, _SEARCH, _SECTIONS, FLAT, IRREGULAR_ROWS, NESTED, _units
 from folia.vocabulary import ALL_TYPES, ENCODINGS, KINDS
 
@@ -147,3 +148,5 @@ ORACLE_SQL = {
     ),
     "render_narrow": f"SELECT conv_id, turn, {_drawn('1;38;5;125', '3;38;5;28', '38;5;161')} AS light, {_drawn('1;38;5;219', '3;38;5;115', '38;5;212')} AS dark FROM conversations",
 }
+# table functions give what the operators give
+ORACLE_SQL |= {f"sql_{name}": oracle.ORACLE_SQL[of] for name, of in (("sections", "sections"), ("section", "get_section"), ("violations", "validate_irregular"))}

@@ -14,7 +14,7 @@ from folia.functions import builders as B
 from folia.functions import elements as E
 from folia.functions import lists as L
 from folia.operators import outline, retrieve, text
-from folia.plans import sql
+from folia.plans import sql, table_functions
 from folia.plans.queries import DOC, flat, flat_attributes
 from folia.schema import FIELDS, from_text, to_list, to_rows
 from folia.scratch import scratch_root
@@ -140,6 +140,28 @@ def link_structs_irregular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(*DOC, F.explode(L.link_structs(F.col("blocks"))).alias("x")).select(*DOC, "x.*")
 
 
+def _by_sql(rows: DataFrame, call: str) -> DataFrame:
+    """A table function over some rows, called in SQL."""
+    spark = rows.sparkSession
+    table_functions.register(spark)
+    view = f"rows_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT * FROM {call.replace('{rows}', f'TABLE({view})')}")
+
+
+def sql_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_sql(conversation_rows(spark, sf_dir), "document_sections({rows}, 'conv_id')")
+
+
+def sql_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _by_sql(conversation_rows(spark, sf_dir), "document_section({rows}, 'conv_id', 'user 0')")
+    return flat(found)
+
+
+def sql_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_sql(irregular_rows(spark, sf_dir), "document_violations({rows}, 'conv_id')").select("conv_id", "element_order", "rule", "field")
+
+
 def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is exact of a table's profile."""
     found = profile(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
@@ -174,6 +196,9 @@ QUERIES = {
     "sections_repeated": sections_repeated,
     "to_text_irregular": to_text_irregular,
     "link_structs_irregular": link_structs_irregular,
+    "sql_sections": sql_sections,
+    "sql_section": sql_section,
+    "sql_violations": sql_violations,
     "profile_orders": profile_orders,
     "render_narrow": render_narrow,
 }
