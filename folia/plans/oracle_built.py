@@ -150,3 +150,8 @@ ORACLE_SQL = {
 }
 # table functions give what the operators give
 ORACLE_SQL |= {f"sql_{name}": oracle.ORACLE_SQL[of] for name, of in (("sections", "sections"), ("section", "get_section"), ("violations", "validate_irregular"))}
+ORACLE_SQL |= {
+    "profile_file_orders": ORACLE_SQL["profile_orders"],
+    "profile_merged": f"SELECT *, true AS near FROM ({ORACLE_SQL['profile_orders']})",
+    "parquet_elements": f"WITH {NESTED} SELECT {oracle._COLUMNS}, '1.4' AS version FROM nested",
+}

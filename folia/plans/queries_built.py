@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from folia.schema import FIELDS, from_text, to_list, to_rows
 from folia.scratch import scratch_root
 from folia.sources import compact, compact_source
 from folia.sources.conversations import conversation_rows, irregular_rows, nested_rows
-from folia.sources.profile import profile
+from folia.sources.parquet import read_elements, version_of, write_elements
+from folia.sources.profile import merged, profile, profile_file, profile_state, told
 
 TURN = ["conv_id", "turn"]
 
@@ -168,6 +170,34 @@ def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("column_name", "min", "max", F.round("avg", 3).alias("avg"), F.round("std", 3).alias("std"), "count", "null_percentage")
 
 
+def profile_file_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the file."""
+    found = profile_file(spark, f"{sf_dir}/orders.parquet").where(F.col("column_name").isin("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    return found.select("column_name", "min", "max", F.round("avg", 3).alias("avg"), F.round("std", 3).alias("std"), "count", "null_percentage")
+
+
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of three parts of a table, merged; ``near``: the median's rank is within a hundredth of a half, the distinct values within a twentieth."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    states = reduce(DataFrame.unionByName, [profile_state(orders.where(F.pmod("o_orderkey", F.lit(3)) == i)) for i in range(3)])
+    found = told(merged(states)).alias("p")
+    values = orders.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for c in orders.columns])))
+    seen = values.join(F.broadcast(found.select(F.col("column_name").alias("name"), F.col("q50"))), "name").groupBy("name").agg(
+        F.count_distinct("v").alias("distinct"), F.avg((F.col("v").try_cast("double") <= F.col("q50").cast("double")).cast("int")).alias("at"), F.avg((F.col("v").try_cast("double") < F.col("q50").cast("double")).cast("int")).alias("below")
+    )
+    near = (F.abs(F.col("approx_unique") - F.col("distinct")) <= F.col("distinct") * 0.05) & (F.col("q50").isNull() | ((F.col("below") <= 0.51) & (F.col("at") >= 0.49)))
+    out = found.join(seen, F.col("column_name") == F.col("name"))
+    return out.select("column_name", "min", "max", F.round("avg", 3).alias("avg"), F.round("std", 3).alias("std"), "count", "null_percentage", near.alias("near"))
+
+
+def parquet_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written to Parquet and read again, with the version that the footer tells."""
+    path = f"{scratch_root(spark)}/folia/elements-{uuid.uuid4().hex}"
+    write_elements(nested_rows(spark, sf_dir), path, DOC)
+    rows = read_elements(spark, path)
+    return flat(rows).withColumn("version", F.lit(version_of(rows)))
+
+
 #: Eight words of nine characters, a rule wider than the page, a table and a list.
 _WORDS = "abcdefghi " * 8
 _TABLE = '{"headers":["a","b"],"rows":[["x","yy"],["z",""]]}'
@@ -200,5 +230,8 @@ QUERIES = {
     "sql_section": sql_section,
     "sql_violations": sql_violations,
     "profile_orders": profile_orders,
+    "profile_file_orders": profile_file_orders,
+    "profile_merged": profile_merged,
+    "parquet_elements": parquet_elements,
     "render_narrow": render_narrow,
 }

@@ -36,6 +36,73 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+_KINDS = {"bigint": ("int", "bigint", "smallint", "tinyint"), "double": ("float", "double", "decimal")}
+
+
+def profile_state(df: DataFrame, k: int = 800) -> DataFrame:
+    """One row for each column, of what a profile needs and can be merged: keep it, and :func:`merged` adds up files and days.
+
+    ``unique`` is a HyperLogLog sketch, ``quantiles`` a KLL sketch with ``k``
+    (its ranks are off by some 2.3 / k ** 0.9 at most, in 99 of 100 cases: half
+    a hundredth for 800). ``count``, ``null_count``, ``n`` (values), ``mean`` and
+    ``m2`` (the squares' sum about it) are exact, as are ``min`` and ``max``.
+    """
+    parts = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        flat = not kind.startswith(("array", "map", "struct", "variant", "binary"))
+        wide = next((w for w, names in _KINDS.items() if kind.startswith(names)), None)
+        said = c if kind in ("string", "bigint", "int") else F.to_json(F.struct(c)) if not flat and kind != "binary" else c.cast("string")
+        unique = F.hll_sketch_agg(said)
+        # a sketch of nothing but nulls is none
+        sketch = getattr(F, f"kll_sketch_agg_{wide}")(c.cast(wide), k) if wide else F.lit(None).cast("binary")
+        number = lambda x: x.cast("double") if wide else F.lit(None).cast("double")  # noqa: B023, E731
+        least, most = (F.min(c).cast("string"), F.max(c).cast("string")) if flat else (F.lit(None).cast("string"),) * 2
+        mean, deviation = (F.avg(c), F.var_pop(c)) if wide else (F.lit(None), F.lit(None))
+        parts.append(F.struct(
+            F.lit(name).alias("column_name"), F.lit(kind).alias("column_type"), least.alias("min"), most.alias("max"), unique.alias("unique"), sketch.alias("quantiles"),
+            F.count(F.lit(1)).alias("count"), F.count_if(c.isNull()).alias("null_count"), F.count(c).alias("n"), number(mean).alias("mean"), (number(deviation) * F.count(c)).alias("m2"),
+        ))
+    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
+def merged(states: DataFrame) -> DataFrame:
+    """States of several tables as one: a row for each column's name and type. Merging again, or in another order, gives the same but for rounding."""
+
+    def extreme(pick, c: str):
+        key = F.struct(F.col(c).try_cast("double"), F.col(c).try_cast("decimal(38,0)"))
+        numeric = F.col("column_type").rlike("^(" + "|".join(n for names in _KINDS.values() for n in names) + ")")
+        by_number = (F.min_by if pick is F.min else F.max_by)(c, F.when(numeric & F.col(c).isNotNull(), key))
+        return F.coalesce(by_number, pick(F.when(~numeric, F.col(c)))).alias(c)
+
+    filled = F.coalesce(F.col("n") * F.col("mean"), F.lit(0.0))
+    total = F.sum("n")
+    whole = F.try_divide(F.sum(filled), total)
+    # of each part: its own squares, and those of its distance from the whole mean
+    moved = F.sum(F.coalesce("m2", F.lit(0.0)) + F.coalesce(F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0)))
+    is_number = F.count("mean") > 0
+    merge = lambda wide: F.col("quantiles").isNotNull() & F.col("column_type").rlike("^(" + "|".join(_KINDS[wide]) + ")")
+    sketches = {w: getattr(F, f"kll_merge_agg_{w}")(F.when(merge(w), F.col("quantiles"))) for w in _KINDS}
+    whole_numbers = F.col("column_type").rlike("^(" + "|".join(_KINDS["bigint"]) + ")")
+    out = states.groupBy("column_name", "column_type").agg(
+        extreme(F.min, "min"), extreme(F.max, "max"), F.hll_union_agg("unique").alias("unique"), sketches["bigint"].alias("__b"), sketches["double"].alias("__d"),
+        F.sum("count").alias("count"), F.sum("null_count").alias("null_count"), total.alias("n"), F.when(is_number, whole).alias("mean"), F.when(is_number, F.greatest(moved - total * whole * whole, F.lit(0.0))).alias("m2"),
+    )
+    numeric = F.col("mean").isNotNull()
+    return out.withColumn("quantiles", F.when(numeric & whole_numbers, F.col("__b")).when(numeric, F.col("__d"))).select(*states.columns)
+
+
+def told(states: DataFrame) -> DataFrame:
+    """The profile that states stand for, with :func:`profile`'s columns; quartiles are whole numbers where the column's are."""
+    whole = F.col("column_type").rlike("^(" + "|".join(_KINDS["bigint"]) + ")")
+    usable = F.col("quantiles").isNotNull() & (F.col("n") > 0)
+    quartile = lambda q: F.when(usable & whole, F.kll_sketch_get_quantile_bigint(F.when(usable & whole, F.col("quantiles")), F.lit(q)).cast("string")).when(usable, F.kll_sketch_get_quantile_double(F.when(usable & ~whole, F.col("quantiles")), F.lit(q)).cast("string")).alias(f"q{int(q * 100)}")
+    return states.select(
+        "column_name", "column_type", "min", "max", F.coalesce(F.hll_sketch_estimate("unique"), F.lit(0)).alias("approx_unique"), F.col("mean").alias("avg"), F.sqrt(F.try_divide(F.col("m2"), F.nullif(F.col("n") - 1, F.lit(0)))).alias("std"),
+        quartile(0.25), quartile(0.5), quartile(0.75), "count", "null_count", F.round(F.try_divide(F.col("null_count") * 100, F.col("count")), 2).cast("double").alias("null_percentage"),
+    )
+
+
 def profile_file(spark: SparkSession, path: str) -> DataFrame:
     """:func:`profile` of a Parquet, JSON, CSV, ORC or text file, told by its ending."""
     ending = path.rstrip("/").rpartition(".")[2].lower()
