@@ -114,12 +114,45 @@ TEMPLATES = (
         """Redistribution and use in source and binary forms, with or without modification, are permitted
         <<beginOptional>>(subject to the limitations in the disclaimer below)<<endOptional>> provided that the following conditions are met""",
     ),
+    *[
+        (
+            label,
+            f"""<<beginOptional>>or modify it<<endOptional>> under the terms of <<beginOptional>>version {v} of<<endOptional>> the
+            GNU {which} General Public License <<var;name="order";original="version {v}";match="version {v}|v{v}">> <<beginOptional>>only<<endOptional>> <<beginOptional>>as<<endOptional>> published by the Free Software Foundation""",
+        )
+        for label, which, v in (("gpl-2-header", "", "2"), ("gpl-3-header", "", "3"), ("lgpl-2.1-header", "Lesser", "2.1"), ("agpl-3-header", "Affero", "3"))
+    ],
+    ("lgpl-2.1-header", _GPL.replace("{v}", "2.1").replace("General", """<<var;name="which";original="Lesser";match="lesser|library">> General""")),
+    ("lgpl-3-header", _GPL.replace("{v}", "3").replace("General", "Lesser General")),
+    ("agpl-3-header", _GPL.replace("{v}", "3").replace("General", "Affero General")),
     (
-        "cc-by-nc-notice",
-        """<<var;name="verb";original="licensed";match="released|licensed|distributed|available|published">> under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>>
-        <<var;name="long";original="CC";match="cc|creative commons">> <<var;name="terms";original="BY-NC";match="by nc|attribution noncommercial|attribution non commercial">>""",
+        "mpl-2-header",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. <<beginOptional>>If a copy of the MPL was not distributed with this file, You can obtain one at
+        <<var;name="scheme";original="https";match="http|https">>://mozilla.org/MPL/2.0/<<endOptional>>""",
     ),
-)
+    *[
+        (label, f"""<<var;name="verb";original="licensed";match="released|licensed|distributed|available|published">> under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>>
+        <<beginOptional>>terms of the<<endOptional>> <<var;name="long";original="CC";match="cc|creative commons">> <<var;name="terms";original="{terms.split("|")[0]}";match="{terms}">>""")
+        for label, terms in (
+            ("cc-by-notice", "by|attribution"),
+            ("cc-by-sa-notice", "by sa|attribution sharealike|attribution share alike"),
+            ("cc-by-nd-notice", "by nd|attribution noderivatives|attribution noderivs|attribution no derivatives"),
+            ("cc-by-nc-notice", "by nc|attribution noncommercial|attribution non commercial"),
+            ("cc-by-nc-sa-notice", "by nc sa|attribution noncommercial sharealike|attribution non commercial sharealike|attribution non commercial share alike"),
+            ("cc-by-nc-nd-notice", "by nc nd|attribution noncommercial noderivatives|attribution noncommercial noderivs|attribution non commercial noderivatives|attribution non commercial no derivatives"),
+        )
+    ],
+    *[
+        (f"{name}-spdx", f"SPDX-License-Identifier: {identifier}")
+        for name, identifier in (
+            ("mit", "MIT"), ("isc", "ISC"), ("apache-2", "Apache-2.0"), ("bsd-2", "BSD-2-Clause"), ("bsd-3", "BSD-3-Clause"), ("gpl-2", "GPL-2.0"), ("gpl-3", "GPL-3.0"), ("lgpl-2.1", "LGPL-2.1"),
+            ("lgpl-3", "LGPL-3.0"), ("agpl-3", "AGPL-3.0"), ("mpl-2", "MPL-2.0"), ("cc0-1", "CC0-1.0"), ("cc-by-4", "CC-BY-4.0"), ("cc-by-sa-4", "CC-BY-SA-4.0"), ("cc-by-nc-4", "CC-BY-NC-4.0"), ("cc-by-nc-sa-4", "CC-BY-NC-SA-4.0"),
+        )
+    ],
+)
+
+#: Labels of terms of which one may be the beginning of another.
+_TERMS = re.compile("cc-.*-notice")
 
 #: Everything that parts words becomes a space, capitals become small; other bytes stay.
 _TO_WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
@@ -260,7 +293,12 @@ def scan(text: str | None, automata: list[Automaton], spots: dict[bytes, list[Au
                 end = a.match(found, at) if id(a) in tried else None
                 if end is not None:
                     accepted.append((a.label, at, end))
-    return len(found), base, accepted
+    # of terms that begin alike, the longest are meant: "by nc" is not what "by nc sa" says
+    longest: dict[int, int] = {}
+    for label, at, end in accepted:
+        if _TERMS.fullmatch(label):
+            longest[at] = max(end, longest.get(at, 0))
+    return len(found), base, [x for x in accepted if not _TERMS.fullmatch(x[0]) or x[2] == longest[x[1]]]
 
 
 _OUT = [

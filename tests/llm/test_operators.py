@@ -496,6 +496,18 @@ def test_every_license_wording_through_scan(spark):
         for text in wordings(markup):
             assert label in {x for x, _, _ in licenses.scan(f"so. {text}, ok", automata)[2]}, (label, text)
     assert licenses.scan("Licensed under Creative Commons Attribution Non-Commercial 4.0", automata)[2] == [("cc-by-nc-notice", 0, 7)]
+    labels = lambda text: sorted({x for x, _, _ in licenses.scan(text, automata)[2]})
+    assert labels("redistribute it and/or modify it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation.") == ["gpl-2-header"]
+    assert labels("under the terms of the GNU General Public License version 3 only, as published by the Free Software Foundation") == ["gpl-3-header"]
+    assert labels("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.") == ["lgpl-2.1-header"]
+    assert labels("is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License") == ["agpl-3-header"]
+    assert labels("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == ["mpl-2-header"]
+    assert labels("// SPDX-License-Identifier: GPL-2.0-only") == ["gpl-2-spdx"] and labels("# SPDX-License-Identifier: CC-BY-NC-SA-4.0") == ["cc-by-nc-sa-4-spdx"]
+    assert labels("licensed under CC BY-NC-SA 4.0") == ["cc-by-nc-sa-notice"] and labels("Released under the Creative Commons Attribution-ShareAlike 3.0") == ["cc-by-sa-notice"]
+    assert labels("published under CC BY 4.0, or licensed under CC BY-ND") == ["cc-by-nd-notice", "cc-by-notice"] and labels("under the GNU General Public License") == []
+    long = "licensed under the terms of the GNU redistribution and use in " * 40_000
+    began = time.time()
+    assert licenses.scan(long, automata)[0] == 400_000 + 40_000 and time.time() - began < 60
     table = spark.createDataFrame([(1, "all rights are waived"), (2, "all rights are")], "doc_id long, text string")
     found = licenses.license_scan(table, templates=(("waiver", "all rights <<beginOptional>>are<<endOptional>> waived"),)).collect()
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {1: ("waiver", 1.0), 2: ("", 0.0)}
