@@ -63,7 +63,10 @@ def test_order_and_pages_pay(rows, tmp_path):
     parquet.write_elements(rows, f"{tmp_path}/v1", ["doc"], v2=False, files=1)
     parquet.write_elements(rows, f"{tmp_path}/v2", ["doc"], files=1)
     assert _size(f"{tmp_path}/v1") < _size(f"{tmp_path}/plain")
-    assert _column(f"{tmp_path}/v2", "element_order") < _column(f"{tmp_path}/v1", "element_order")
+    long = rows.where("doc < 1").sparkSession.range(15_000).select(F.lit(1).alias("doc"), F.col("id").cast("int").alias("pos"), F.lit("block").alias("kind"), F.lit("hr").alias("element_type"), F.lit("").alias("content"), F.lit(1).alias("level"), F.lit("text").alias("encoding"), F.create_map().cast("map<string,string>").alias("attributes"), F.col("id").cast("int").alias("element_order"))
+    for name, v2 in (("l1", False), ("l2", True)):
+        parquet.write_elements(long, f"{tmp_path}/{name}", ["doc"], v2=v2, files=1)
+    assert _column(f"{tmp_path}/l2", "element_order") * 10 < _column(f"{tmp_path}/l1", "element_order")
     parquet.write_elements(rows, f"{tmp_path}/small", ["doc"], files=1, row_group_bytes=1 << 16)
     name = next(f for f in os.listdir(f"{tmp_path}/small") if f.endswith(".parquet"))
     assert pq.ParquetFile(f"{tmp_path}/small/{name}").num_row_groups > 1
