@@ -513,6 +513,43 @@ def test_every_license_wording_through_scan(spark):
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {1: ("waiver", 1.0), 2: ("", 0.0)}
 
 
+def slow_template(markup):
+    """A template as a pattern over words, each with a space behind it."""
+    out, at = "", 0
+    fixed = lambda piece: "".join(re.escape(w) + " " for w in slow_words(piece))
+    for m in re.finditer(r'<<beginOptional>>|<<endOptional>>|<<var;.*?match="([^"]*)">>', markup, re.S):
+        out += fixed(markup[at : m.start()])
+        at = m.end()
+        if m[1] is None:
+            out += "(?:" if "begin" in m[0] else ")?"
+        elif m[1].startswith(".{"):
+            out += rf"(?:\S+ ){m[1][1:]}"
+        else:
+            out += "(?:" + "|".join(fixed(x) for x in m[1].split("|")) + ")"
+    return re.compile(r"(?<!\S)" + out + fixed(markup[at:]))
+
+
+def test_license_labels_equal_patterns_over_words():
+    rnd = random.Random(77)
+    automata = [licenses.Automaton(*t) for t in licenses.TEMPLATES]
+    patterns = [(label, slow_template(markup)) for label, markup in licenses.TEMPLATES]
+    texts = [w for _, markup in licenses.TEMPLATES for w in list(wordings(markup))[:3]]
+    for _ in range(300):
+        parts = [x.split() for x in rnd.sample(texts, rnd.randint(1, 2))]
+        joined = [w for p in parts for w in p]
+        for _ in range(rnd.choice([0, 0, 1, 2])):  # a word goes, comes or moves
+            i = rnd.randrange(len(joined))
+            joined[i : i + rnd.randint(0, 1)] = rnd.choice([[], ["extra"], [rnd.choice(joined)]])
+        text = rnd.choice([" ", "\n * "]).join(joined)
+        line = "".join(w + " " for w in slow_words(text))
+        wanted = {(label, m.start()) for label, p in patterns for m in p.finditer(line)}
+        found = {label for label, _, _ in licenses.scan(text, automata)[2]}
+        terms = lambda labels: {x for x in labels if re.fullmatch("cc-.*-notice", x)}
+        every = {label for label, _ in wanted}
+        assert found - terms(found) == every - terms(every), text
+        assert terms(found) <= terms(every) and bool(terms(found)) == bool(terms(every))
+
+
 def luhn(text):
     digits = [int(c) for c in text if c.isdigit()][::-1]
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
