@@ -129,17 +129,16 @@ def repair_elements(blocks: list[dict]) -> list[dict]:
         for e in work:
             e["level"] -= off
     before = 0
-    # a jump moves its row and all that follow at that depth or deeper; the moves that are still open are kept as (level, by)
+    # a jump moves its row and all that follow at that depth or deeper; the moves that are still open are kept as (level, how far all up to it move)
     moves: list[tuple[int, int]] = []
     for e in work:
         level = e["level"]
-        shift = 0
         while moves and level < moves[-1][0]:
             moves.pop()
-        shift = sum(by for _, by in moves)
+        shift = moves[-1][1] if moves else 0
         now = level - shift
         if now > before + 1:
-            moves.append((level, now - before - 1))
+            moves.append((level, shift + now - before - 1))
             now = before + 1
         e["level"] = before = now
     for i, e in enumerate(work):

@@ -109,6 +109,20 @@ def _drawn(h1: str, quote: str, bullet: str) -> str:
     return " || ".join(parts)
 
 
+_BY_ALIAS = """
+block paragraph T 1 text -
+block blockquote R 1 text -
+block list_item R 1 text ordered=false
+inline bold R 1 text -
+inline bold R 1 text -
+inline italic R 1 text -
+inline italic R 1 text -
+inline strikethrough R 1 text -
+inline strikethrough R 1 text -
+inline superscript R 1 text -
+inline subscript R 1 text -
+"""
+
 _PROFILED = "SELECT '{c}' AS column_name, min({c})::VARCHAR AS min, max({c})::VARCHAR AS max, {n}, count(*) AS count, round(100.0 * (count(*) - count({c})) / count(*), 2)::DOUBLE AS null_percentage FROM orders"
 _NUMBERS = "round(avg({c}), 3)::DOUBLE AS avg, round(stddev({c}), 3)::DOUBLE AS std"
 
@@ -116,6 +130,7 @@ ORACLE_SQL = {
     "block_builders": _list(_BLOCKS),
     "children_builders": _list(_CHILDREN),
     "sql_builders": _list(_BY_SQL),
+    "sql_aliases": _list(_BY_ALIAS),
     "element_forms": f"""WITH {IRREGULAR_ROWS} SELECT conv_id, pos, 'block' AS kind, level, encoding, element_order AS ord, attributes, 'block' AS short_kind, element_type AS short_type, 1 AS short_level,
       CASE WHEN content IS NOT NULL THEN 'text' END AS inline_type,
       element_type IN ('heading', 'paragraph', 'code', 'blockquote', 'list', 'table', 'hr', 'metadata', 'image', 'raw') AND encoding <> 'rot13' AND coalesce(element_order, 0) >= 0 AS valid,

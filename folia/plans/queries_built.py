@@ -64,6 +64,13 @@ def sql_builders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(to_rows(_turns(spark, sf_dir).select(*TURN, F.expr(f"elements_rebase_levels(elements_reorder(elements_stamp({made})), 1)").alias("blocks")), TURN), TURN)
 
 
+def sql_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The builders' short names in SQL."""
+    sql.register(spark)
+    made = ", ".join([f"build_{name}({'text' if name == 'p' else 'role'})" for name in sql.ALIASES])
+    return flat(to_rows(_turns(spark, sf_dir).select(*TURN, F.expr(f"elements_assemble(concat({made}))").alias("blocks")), TURN), TURN)
+
+
 def element_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements made from fields, structs and texts, and what the vocabulary says of them."""
     rows = irregular_rows(spark, sf_dir)
@@ -216,6 +223,7 @@ QUERIES = {
     "block_builders": block_builders,
     "children_builders": children_builders,
     "sql_builders": sql_builders,
+    "sql_aliases": sql_aliases,
     "element_forms": element_forms,
     "compact_files": compact_files,
     "compact_source_rows": compact_source_rows,

@@ -55,6 +55,10 @@ def _one(kind: str, name: str, attrs: str = _NO_ATTRS, content: str = "content")
 _TEXT_INLINES = ("text", "bold", "italic", "strikethrough", "superscript", "subscript", "smallcaps", "underline", "note", "code")
 
 
+#: Short names for builders, as in HTML.
+ALIASES = {"p": "paragraph", "bq": "blockquote", "li": "list_item", "b": "bold", "strong": "bold", "i": "italic", "em": "italic", "s": "strikethrough", "del": "strikethrough", "sup": "superscript", "sub": "subscript"}
+
+
 def functions() -> dict[str, tuple[str, str, str]]:
     """Name: (parameters, return type, body)."""
     top = f"coalesce(array_max(transform({_live('first')}, b -> coalesce(b.element_order, 0))), -1)"
@@ -121,7 +125,7 @@ def functions() -> dict[str, tuple[str, str, str]]:
         found[f"build_h{rank}"] = ("content string", LIST_DDL, _one("block", "heading", f"map('heading_level', '{rank}')"))
     for name in _TEXT_INLINES:
         found[f"build_{name}"] = ("content string", LIST_DDL, _one("inline", name, content="coalesce(content, '')"))
-    return found
+    return found | {f"build_{short}": found[f"build_{long}"] for short, long in ALIASES.items()}
 
 
 def register(spark: SparkSession) -> list[str]:

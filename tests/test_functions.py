@@ -311,3 +311,16 @@ def test_normalize_many_tight_items():
         doc += [make("block", "list_item", "", 2, 2 * i + 1), make("block", "plain", "x", 3, 2 * i + 2)]
     out = repair.normalize_elements(doc)
     assert len(out) == 100_001 and all(e["content"] == "x" for e in out[1:]) and [e["element_order"] for e in out] == list(range(100_001))
+
+
+def test_many_jumps_take_time_in_proportion():
+    import time
+
+    from folia.operators.repair import repair_elements
+
+    def nested(n):
+        return [{"kind": "block", "element_type": "div", "content": "", "level": 1 + 2 * i, "encoding": "text", "attributes": {}, "element_order": i} for i in range(n)]
+
+    began = time.process_time()
+    assert [e["level"] for e in repair_elements(nested(60_000))] == list(range(1, 60_001))
+    assert time.process_time() - began < 10
