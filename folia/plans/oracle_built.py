@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folia.functions.ansi import RULE_WIDTH
 from folia.plans import oracle
 from folia.plans.oracle import _BLANK, _ESC, _SEARCH, _SECTIONS, FLAT, IRREGULAR_ROWS, NESTED, _units
 from folia.vocabulary import ALL_TYPES, ENCODINGS, KINDS
@@ -170,3 +171,43 @@ ORACLE_SQL |= {
     "profile_merged": f"SELECT *, true AS near FROM ({ORACLE_SQL['profile_orders']})",
     "parquet_elements": f"WITH {NESTED} SELECT {oracle._COLUMNS}, '1.4' AS version FROM nested",
 }
+
+_STYLED = "chr(27) || '[{}m'"
+_RESET = "chr(27) || '[0m'"
+
+
+def _style(code: str, text: str) -> str:
+    return f"{_STYLED.format(code)} || {text} || {_RESET}"
+
+
+_GUTTER = _style("2", "'\u2503 '")
+_LINES = f"list_transform(string_split(regexp_replace(text, '\\n+$', ''), chr(10)), lambda x: {_GUTTER} || {_style('38;5;252', 'x')})"
+_MARKED = "'  \u2022 '"
+
+
+def _items(first: str, second: str) -> str:
+    return f"{_style('38;5;212', first)} || role || chr(10) || {_style('38;5;212', second)} || 'b'"
+
+
+_BAR = _style("2", "' \u2502 '")
+_WHO = "greatest(length(role), 3)"
+_N = "greatest(length(turn::VARCHAR), 1)"
+ORACLE_SQL |= {
+    "compact_refused_elements": f"""WITH {FLAT} SELECT conv_id, pos, CASE WHEN pos % 5 = 1 THEN 'null level' WHEN pos % 7 = 1 THEN 'null encoding' WHEN pos % 6 = 1 THEN 'encoding is a reserved code'
+      WHEN pos % 13 = 1 THEN 'null attributes' WHEN pos % 11 = 1 THEN 'null attribute value' END AS refusal FROM flat""",
+    "compact_refused_lines": """WITH t AS (SELECT conv_id, turn, role, conv_id * 7 + turn AS n FROM conversations)
+      SELECT conv_id, turn, CASE WHEN n % 5 IN (0, 2) THEN 'unknown type code' WHEN n % 3 = 0 THEN 'unknown attribute code' WHEN n % 4 = 0 THEN 'missing level' END AS refusal FROM t""",
+    "render_parts": f"""SELECT conv_id, turn, {_style('1;31', 'role')} AS styled, rpad(role, greatest(9, length(role))::INTEGER, ' ') AS padded,
+      {_GUTTER} || {_style('38;5;222', 'role')} || chr(10) || array_to_string({_LINES}, chr(10)) AS code, {_items("' 1. '", "' 2. '")} AS list,
+      CASE WHEN turn % 2 = 0 THEN {_items("' 1. '", "' 2. '")} ELSE {_items(_MARKED, _MARKED)} END AS one_list,
+      {_style('3;38;5;115', "'\u258c ' || replace(text, chr(10), chr(10) || '\u258c ')")} AS one_quote, {_style('2', f"repeat('\u2500', {RULE_WIDTH})")} AS one_rule, '' AS one_metadata,
+      CASE WHEN turn > 0 THEN text ELSE '' END AS literal FROM conversations""",
+    "render_tables": f"""SELECT conv_id, turn, 'table' AS element_type, 'json' AS encoding,
+      '{{"headers":["who","n"],"rows":[["' || role || '","' || turn || '"],["' || role || '",""]]}}' AS content,
+      {_style('1', f"rpad('who', {_WHO}::INTEGER, ' ')")} || {_BAR} || {_style('1', f"rpad('n', {_N}::INTEGER, ' ')")} || chr(10)
+      || {_style('2', f"repeat('\u2500', {_WHO}) || '\u2500\u253c\u2500' || repeat('\u2500', {_N})")} || chr(10)
+      || rpad(role, {_WHO}::INTEGER, ' ') || {_BAR} || rpad(turn::VARCHAR, {_N}::INTEGER, ' ') || chr(10) || rpad(role, {_WHO}::INTEGER, ' ') || {_BAR} || repeat(' ', {_N}) AS drawn FROM conversations""",
+    "render_result": """SELECT '{"headers":["role","n"],"rows":[' || string_agg('["' || role || '","' || n || '"]', ',' ORDER BY role) || ']}' AS content
+      FROM (SELECT role, count(*) AS n FROM conversations GROUP BY role)""",
+    "render_wide": """SELECT conv_id, turn, array_to_string(['\u6f22\u5b57\u6f22\u5b57\u6f22', '\u6f22\u5b57\u6f22\u5b57\u6f22', '\u6f22\u5b57\u6f22\u5b57\u6f22', 'e\u0301e\u0301 \U0001f468\u200d\U0001f469\u200d\U0001f467', '', role], chr(10)) AS rendered FROM conversations""",
+}

@@ -219,6 +219,59 @@ def render_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(*TURN, ansi.render(F.col("blocks"), 40, "light").alias("light"), ansi.render(F.col("blocks"), 40, "dark").alias("dark"))
 
 
+def compact_refused_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why elements have no line: of every few, one lacks something."""
+    rows = conversation_rows(spark, sf_dir)
+    every = lambda n, c, x: F.when(F.col("pos") % n == 1, F.lit(x)).otherwise(F.col(c))
+    attributes = F.when(F.col("pos") % 13 == 1, None).when(F.col("pos") % 11 == 1, F.create_map(F.lit("k"), F.lit(None).cast("string"))).otherwise(F.col("attributes"))
+    broken = rows.withColumns({"level": every(5, "level", None), "encoding": F.when(F.col("pos") % 7 == 1, None).when(F.col("pos") % 6 == 1, "j").otherwise(F.col("encoding")), "attributes": attributes})
+    return broken.select(*DOC, "pos", compact.refusal(F.struct(*FIELDS)).alias("refusal"))
+
+
+def compact_refused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why lines are none of the format's: their type, attributes or level made from places and roles."""
+    turns = _turns(spark, sf_dir)
+    n = F.col("conv_id") * 7 + F.col("turn")
+    parts = [
+        F.when(n % 5 == 0, F.concat(F.lit('"t":"'), F.col("role"), F.lit('"'))).when(n % 5 == 1, '"t":"own:kind"').when(n % 5 == 2, None).otherwise('"t":"P"'),
+        F.when(n % 3 == 0, '"a":{"i":"x","zz":"y"}').when(n % 3 == 1, '"a":{"i":"x"}'), F.when(n % 4 != 0, '"l":1'),
+    ]
+    text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return turns.select(*TURN, compact.refused(F.from_json(text, compact.LINE)).alias("refusal"))
+
+
+def render_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small rendering functions: styles, padding, code, lists, single elements by their attributes, SQL literals."""
+    role, said = F.col("role"), F.col("text")
+    items = F.to_json(F.array(role, F.lit("b")))
+    ordered = F.create_map(F.lit("ordered"), F.when(F.col("turn") % 2 == 0, "true").otherwise("false"))
+    return _turns(spark, sf_dir).select(
+        *TURN, ansi.ansi("1;31", role).alias("styled"), ansi.pad(role, 9).alias("padded"), ansi.code_lines(said, role).alias("code"), ansi.list_lines(items, F.lit("true")).alias("list"),
+        ansi.render_one(F.lit("list"), items, ordered).alias("one_list"), ansi.render_one(F.lit("blockquote"), said, ordered).alias("one_quote"), ansi.render_one(F.lit("hr"), said, ordered).alias("one_rule"),
+        ansi.render_one(F.lit("metadata"), said, ordered).alias("one_metadata"), ansi.literal(F.when(F.col("turn") > 0, said)).alias("literal"),
+    )
+
+
+def render_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects in JSON as table elements, and drawn; the second object lacks a cell."""
+    objects = F.concat(F.lit("["), F.to_json(F.struct(F.col("role").alias("who"), F.col("turn").cast("string").alias("n"))), F.lit(","), F.to_json(F.struct(F.col("role").alias("who"))), F.lit("]"))
+    made = _turns(spark, sf_dir).withColumn("t", ansi.json_to_table(objects))
+    return made.select(*TURN, F.col("t.element_type").alias("element_type"), F.col("t.encoding").alias("encoding"), F.col("t.content").alias("content"), ansi.table_lines(F.col("t.content")).alias("drawn"))
+
+
+def render_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result as a table element: turns by role."""
+    counts = _turns(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("n")).orderBy("role")
+    return ansi.query_table(counts.coalesce(1).sortWithinPartitions("role")).select(F.col("blocks")[0]["content"].alias("content"))
+
+
+def render_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of wide and joined characters, which take two columns each, wrapped to twelve columns: five of them and a space fit."""
+    wide = F.lit("\u6f22\u5b57\u6f22\u5b57\u6f22 " * 3 + "e\u0301e\u0301 \U0001f468\u200d\U0001f469\u200d\U0001f467")
+    docs = _turns(spark, sf_dir).select(*TURN, L.assemble(F.concat(B.paragraph(wide), B.paragraph(F.col("role")))).alias("blocks"))
+    return docs.select(*TURN, ansi.render(F.col("blocks"), 12, "dark").alias("rendered"))
+
+
 QUERIES = {
     "block_builders": block_builders,
     "children_builders": children_builders,
@@ -241,5 +294,11 @@ QUERIES = {
     "profile_file_orders": profile_file_orders,
     "profile_merged": profile_merged,
     "parquet_elements": parquet_elements,
+    "compact_refused_elements": compact_refused_elements,
+    "compact_refused_lines": compact_refused_lines,
+    "render_parts": render_parts,
+    "render_tables": render_tables,
+    "render_result": render_result,
+    "render_wide": render_wide,
     "render_narrow": render_narrow,
 }

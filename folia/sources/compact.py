@@ -56,19 +56,20 @@ def _pairs(entries: Column, code: bool) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(_json(key(e["key"]) if code else e["key"]), F.lit(":"), _json(e["value"]))), ",")
 
 
-def _error(what: str, b: Column) -> Column:
-    return F.raise_error(F.concat(F.lit(f"compact: {what} at element_order "), F.coalesce(b["element_order"].cast("string"), F.lit("null"))))
+def refusal(b: Column) -> Column:
+    """Why an element has no line, or null if it has: a null level, encoding, attributes or attribute value, an encoding ``t`` or ``j``."""
+    wrong = F.when(b["level"].isNull(), "null level").when(b["encoding"].isNull(), "null encoding").when(b["encoding"].isin("t", "j"), "encoding is a reserved code")
+    return wrong.when(b["attributes"].isNull(), "null attributes").when(F.exists(F.map_values(b["attributes"]), lambda v: v.isNull()), "null attribute value")
 
 
 def line(b: Column) -> Column:
-    """An element as a line, without its end. Refuses a null level, encoding, attributes or attribute value, and encodings ``t`` and ``j``."""
+    """An element as a line, without its end. Raises an error where there is a :func:`refusal`."""
     name = F.concat(b["kind"], F.lit(":"), b["element_type"])
     entries = F.map_entries(b["attributes"])
     known = F.filter(entries, lambda e: e["key"].isin(list(_KEY_CODE)))
     other = F.filter(entries, lambda e: ~e["key"].isin(list(_KEY_CODE)))
-    wrong = F.when(b["level"].isNull(), _error("null level", b)).when(b["encoding"].isNull(), _error("null encoding", b))
-    wrong = wrong.when(b["encoding"].isin("t", "j"), _error("encoding is a reserved code", b)).when(b["attributes"].isNull(), _error("null attributes", b))
-    wrong = wrong.when(F.exists(entries, lambda e: e["value"].isNull()), _error("null attribute value", b))
+    why = refusal(b)
+    error = F.raise_error(F.concat(F.lit("compact: "), why, F.lit(" at element_order "), F.coalesce(b["element_order"].cast("string"), F.lit("null"))))
     fields = [
         F.concat(F.lit('"t":'), _json(F.coalesce(F.try_element_at(_mapped(_CODE_OF), name), name))),
         F.when(b["content"].isNotNull(), F.concat(F.lit('"c":'), _json(b["content"]))),
@@ -77,7 +78,7 @@ def line(b: Column) -> Column:
         F.when(F.size(known) > 0, F.concat(F.lit('"a":{'), _pairs(known, True), F.lit("}"))),
         F.when(F.size(other) > 0, F.concat(F.lit('"m":{'), _pairs(other, False), F.lit("}"))),
     ]
-    return F.when(wrong.isNotNull(), wrong.cast("string")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    return F.when(why.isNotNull(), error.cast("string")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
 
 
 def header() -> Column:
@@ -96,12 +97,17 @@ def _is_header(j: Column) -> Column:
     return j["t"].isNull() & j["@"].isNotNull()
 
 
-def check(j: Column) -> Column:
-    """True for a line that the format allows; raises an error for any other. Use it as a filter, which no projection can prune."""
+def refused(j: Column) -> Column:
+    """Why a parsed line is none of the format's, or null if it is."""
     known = F.try_element_at(_mapped(_TYPE_OF), F.coalesce(j["t"], F.lit(""))).isNotNull() | F.coalesce(j["t"].contains(":"), F.lit(False))
     codes = F.forall(F.map_keys(F.coalesce(j["a"], F.create_map().cast("map<string,string>"))), lambda k: k.isin(list(ATTRIBUTE_CODES)))
-    refuse = lambda what: F.raise_error(F.lit(f"compact: {what}")).cast("boolean")
-    return F.when(~known, refuse("unknown type code")).when(~codes, refuse("unknown attribute code")).when(j["l"].isNull(), refuse("missing level")).otherwise(F.lit(True))
+    return F.when(~known, "unknown type code").when(~codes, "unknown attribute code").when(j["l"].isNull(), "missing level")
+
+
+def check(j: Column) -> Column:
+    """True for a line that the format allows; raises an error where it is :func:`refused`. Use it as a filter, which no projection can prune."""
+    why = refused(j)
+    return F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("compact: "), why)).cast("boolean")).otherwise(F.lit(True))
 
 
 def decoded(j: Column, order: Column) -> Column:
