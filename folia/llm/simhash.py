@@ -245,17 +245,16 @@ def _routed(rows: DataFrame, plan, stored_only: bool = False) -> DataFrame:
     return rows.mapInArrow(route, "shard int, fp long, stored boolean")
 
 
-def _sampled(rows: DataFrame, share: float) -> DataFrame:
-    """About a share of some fingerprints, by a hash of them."""
-    return rows.where(F.xxhash64(F.col("fp"), F.lit(7)) <= int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else rows
+def _bound(share: float) -> int:
+    """The hash up to which a share of fingerprints lies."""
+    return min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1)))
 
 
 def _shards(points: DataFrame, total: int, max_distance: int, bands: int, sample_rows: int, shard_points: int) -> tuple[DataFrame, list[_Level]]:
     """Rows (shard, fp, stored), each point in the shards that it is stored in or asked about, and all trees' levels."""
     spark = points.sparkSession
-    fetch = lambda rows: rows.select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
     wanted = min(max(sample_rows, total // 64), 2_000_000)
-    sample = fetch(_sampled(points, wanted / total))
+    sample = points.where(F.xxhash64(F.col("fp"), F.lit(7)) <= _bound(wanted / total)).select("fp").toArrow()["fp"].to_numpy().view(np.uint64)
     plan, sizes = {-1: _levels(sample, _blocks(bands, sample), max_distance, total, shard_points, 0)}, {-1: total}
     levels = plan[-1]
     routed = held = points.select(F.lit(-1).alias("shard"), "fp", F.lit(True).alias("stored"))
@@ -264,13 +263,20 @@ def _shards(points: DataFrame, total: int, max_distance: int, bands: int, sample
         # what is looked at for crowds are homes, of shards that have just been parted
         routed, held = _routed(routed, shared), _routed(held.where(F.col("shard").isin(list(plan))), shared, stored_only=True)
         heavy = dict(held.groupBy("shard").count().where(F.col("count") > 16 * shard_points).collect())
-        parted, plan = plan, {}
+        parent = {shard: next(p for p, own in plan.items() if own[0].first <= shard < own[-1].after) for shard in heavy}
+        # one that its parent's trees hardly made smaller stays as it is
+        heavy = {shard: n for shard, n in heavy.items() if parent[shard] == -1 or n < sizes[parent[shard]] * 0.9}
+        plan, sizes = {}, sizes | heavy
+        if not heavy:
+            break
+        each = max(64, min(sample_rows, 2_000_000 // len(heavy)))
+        bounds = local_table(spark, [(shard, _bound(each / n)) for shard, n in heavy.items()], "shard int, bound long")
+        drawn = held.join(F.broadcast(bounds), "shard").where(F.xxhash64(F.col("fp"), F.lit(7)) <= F.col("bound")).select("shard", "fp").toArrow()
+        of, fps = drawn["shard"].to_numpy(), drawn["fp"].to_numpy().view(np.uint64)
         for shard, n in heavy.items():
-            parent = next(p for p, own in parted.items() if own[0].first <= shard < own[-1].after)
-            if n < sizes[parent] * 0.9 or parent == -1:
-                sample = fetch(_sampled(held.where(F.col("shard") == shard), min(1.0, sample_rows / n)))
-                plan[shard], sizes[shard] = _levels(sample, _blocks(bands, sample), max_distance, n, shard_points, levels[-1].after), n
-                levels = [*levels, *plan[shard]]
+            sample = fps[of == shard]
+            plan[shard] = _levels(sample, _blocks(bands, sample), max_distance, n, shard_points, levels[-1].after)
+            levels = [*levels, *plan[shard]]
     return routed, levels
 
 
@@ -280,7 +286,7 @@ def links(points: DataFrame, max_distance: int = 4, bands: int = 4, sample_rows:
     ``points``: distinct longs in column ``fp``. A spanning forest of every
     shard's links, not all links. An empty table gives no edges. The driver
     sees a sample of some ``sample_rows`` fingerprints, or a 64th of more, up to
-    two million (16 MB), and the number of points of crowded shards.
+    two million (16 MB), and the same of each round's crowded shards, with their numbers of points.
     """
     spark = points.sparkSession
     reach_workers(spark)
