@@ -17,7 +17,7 @@ every language, so that a text is scored by table lookups over arrays.
 Training is on a bounded sample: of each language at most ``train_docs`` texts
 of at most ``train_bytes`` bytes in sum (see :func:`sample`). Contexts seen
 fewer than ``min_count`` times in a language are left out of its tree. In a
-worker the model takes some 20 MB for each language.
+worker the model takes some 12 MB for each language.
 """
 
 from __future__ import annotations
