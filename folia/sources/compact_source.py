@@ -6,7 +6,10 @@ is known how many elements stand before it; so every split knows its lines'
 numbers, and none is moved to be numbered. The writer leaves the marks of its
 files in ``_folia_index.json``; for other files :func:`load` counts lines in a
 first job. A file without marks is one split. A split whose elements are not as
-many as its marks say is refused: the file has changed, or is another.
+many as its marks say is refused: the file has changed, or is another. Where
+splits are smaller than they need be, neighbours are read as one: so many tasks
+as ``TASKS`` or the bytes ask for, whatever the distance of the marks, and what
+the driver keeps of a file doesn't grow with the number of its lines.
 
 Each task writes a file in a folder of its own; files come to their place when
 all tasks have succeeded, and a failed job leaves nothing. Rows are written as
@@ -40,6 +43,8 @@ SCHEMA = "filename string, pos int, kind string, element_type string, content st
 COUNTED = "filename string, start bigint, first bigint, lines bigint"
 #: Bytes from one mark to the next, and so of a split.
 SPLIT_BYTES = 8 << 20
+#: Splits of less than that are about so many in a read; a file has at most so many marks that lie closer.
+TASKS, MARKS = 128, 1_024
 _BATCH_ROWS = 8_192
 
 _TYPE_OF = {code: (kind, name) for kind, codes in TYPE_CODES.items() for code, name in codes.items()}
@@ -68,6 +73,11 @@ def _files(path: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo], dict]:
     return store, own, marks
 
 
+def _step(files: list[pafs.FileInfo]) -> int:
+    """The least bytes of a split: below the usual size there are no more splits than ``TASKS`` and one a file."""
+    return max(1, min(SPLIT_BYTES, sum(f.size for f in files) // TASKS))
+
+
 def decode(line: dict) -> tuple[str, str, str | None, int, str, list[tuple[str, str]]]:
     """(kind, element type, content, level, encoding, attributes by key) of a parsed line; refuses what the format doesn't allow."""
     code = line.get("t")
@@ -159,20 +169,30 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Split]:
         store, files, index = _files(self.path)
         prefix = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
+        least = _step(files)
+        step = max(self.split_bytes, least)
         out = []
         for f in files:
             name, known = prefix + f.path, self.marks.get(f.path) or index.get(f.path)
             if self.counting:
-                out += [Split(name, at, min(at + self.split_bytes, f.size), loose=True) for at in range(0, f.size, self.split_bytes)]
+                out += [Split(name, at, min(at + step, f.size), loose=True) for at in range(0, f.size, step)]
             elif known is None:
                 out.append(Split(name, 0, f.size))
             else:
                 if known["bytes"] != f.size:
                     raise ValueError(f"compact: {f.path} has changed since its lines were counted")
-                ends = [*known["marks"][1:], [f.size, known["lines"]]]
-                out += [Split(name, a, b, n, m - n) for (a, n), (b, m) in zip(known["marks"], ends, strict=True)]
+                begins = known["marks"][:1]
+                for at, n in known["marks"][1:]:
+                    if f.path in self.marks or at - begins[-1][0] >= least:  # counted ones are as far apart as splits
+                        begins.append([at, n])
+                ends = [*begins[1:], [f.size, known["lines"]]]
+                out += [Split(name, a, b, n, m - n) for (a, n), (b, m) in zip(begins, ends, strict=True)]
         return out or [Split("", 0, 0)]
 
+    def __getstate__(self) -> dict:
+        """Without the marks: splits have theirs, and a task would get those of all files."""
+        return self.__dict__ | {"marks": {}}
+
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         if not split.path:
             return
@@ -303,7 +323,9 @@ class CompactSource(DataSource):
         return COUNTED if self.options.get("counting") == "true" else SCHEMA
 
     def reader(self, schema: T.StructType) -> _Reader:
-        return _Reader(schema, {k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        self.options.pop("marks", None)  # this object goes to every task
+        return _Reader(schema, options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> _Writer:
         options = {k.lower(): v for k, v in self.options.items()}
@@ -324,7 +346,7 @@ def counted(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> d
     found = spark.read.format("folia_compact").option("counting", "true").option("splitBytes", split_bytes).load(path)
     marks: dict = {}
     _, files, _ = _files(path)
-    for r in found.orderBy("filename", "start").collect():
+    for r in sorted(found.collect()):
         f = marks.setdefault(r["filename"], {"lines": 0, "marks": []})
         if r["lines"] or not f["marks"]:
             f["marks"].append([r["first"], f["lines"]])
@@ -337,7 +359,7 @@ def load(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, schema:
     register(spark)
     _, files, index = _files(path)
     reader = spark.read.format("folia_compact")
-    if any(f.path not in index and f.size > split_bytes for f in files):
+    if any(f.path not in index and f.size > max(split_bytes, _step(files)) for f in files):
         reader = reader.option("marks", json.dumps(counted(spark, path, split_bytes)))
     return (reader.schema(schema) if schema else reader).load(path)
 

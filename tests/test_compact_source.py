@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import pickle
 import random
 
 import pytest
@@ -104,6 +105,19 @@ def test_rows_in_the_wrong_order_are_refused_and_leave_nothing(spark, data, tmp_
         compact_source.load(spark, f"{tmp_path}/none")
 
 
+def test_small_splits_are_read_together(spark, tmp_path):
+    """Tasks, and what each is sent, don't grow with the number of splits asked for."""
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"t": "P", "c": str(i), "l": 1}) + "\n" for i in range(3_000)))
+    found = compact_source.load(spark, str(tmp_path), 10)
+    assert 100 < found.rdd.getNumPartitions() <= compact_source.TASKS + 1
+    assert sorted((r["pos"], r["content"]) for r in found.collect()) == [(i, str(i)) for i in range(3_000)]
+    marks = compact_source.counted(spark, str(tmp_path), 10)
+    source = compact_source.CompactSource({"path": str(tmp_path), "splitbytes": "10", "marks": json.dumps(marks)})
+    reader = source.reader(source.schema())
+    assert len(reader.partitions()) > 100
+    assert len(pickle.dumps((reader, source.options))) < 1_000
+
+
 def test_append_and_overwrite(spark, data, tmp_path):
     path = f"{tmp_path}/files"
     one = data.where("doc = 'd1'")
