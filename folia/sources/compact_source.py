@@ -256,7 +256,7 @@ class _Writer(DataSourceArrowWriter):
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}-{self.job}.blocks.jsonl"
         store.create_dir(temporary, recursive=True)
-        size, lines, marks, document, last = 0, 0, [[0, 0]], None, 0
+        size, lines, marks, document, last, apart = 0, 0, [[0, 0]], None, 0, self.mark_bytes
         header = json.dumps({"@": TABLE_VERSION}, separators=(",", ":"))
         with store.open_output_stream(f"{temporary}/{task.attemptNumber()}-{name}") as f:
             for batch in iterator:
@@ -272,8 +272,10 @@ class _Writer(DataSourceArrowWriter):
                     elif order < last:
                         raise ValueError(f"compact: element_order {order} behind {last}: rows must come in their order")
                     last = order
-                    if size - marks[-1][0] >= self.mark_bytes:
+                    if size - marks[-1][0] >= apart:
                         marks.append([size, lines])
+                        if len(marks) > MARKS and apart < SPLIT_BYTES:
+                            marks, apart = marks[::2], 2 * apart
                     out.append(encode(*row))
                     size += len(out[-1].encode()) + 1
                     lines += 1

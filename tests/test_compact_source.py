@@ -118,6 +118,20 @@ def test_small_splits_are_read_together(spark, tmp_path):
     assert len(pickle.dumps((reader, source.options))) < 1_000
 
 
+def test_close_marks_are_thinned(spark, data, tmp_path):
+    path = f"{tmp_path}/files"
+    compact_source.save(data.coalesce(1).withColumn("doc", F.lit("one")).withColumn("pos", F.monotonically_increasing_id()).withColumn("element_order", F.lit(0)), path, ["doc"], split_bytes=1)
+    with open(f"{path}/{compact_source.INDEX}") as f:
+        (kept,) = json.load(f)["files"].values()
+    assert kept["lines"] == data.count() > compact_source.MARKS >= len(kept["marks"]) > compact_source.MARKS // 4
+    (name,) = [f for f in os.listdir(path) if f.startswith("part")]
+    text = open(f"{path}/{name}", "rb").read()
+    for at, n in kept["marks"]:
+        assert sum(b'"@":' not in x for x in text[:at].splitlines()) == n and (not at or text[at - 1 : at] == b"\n")
+    rows = compact_source.load(spark, path, 1).collect()
+    assert _key(rows) == _key(data.collect()) and sorted(r["pos"] for r in rows) == list(range(len(rows)))
+
+
 def test_append_and_overwrite(spark, data, tmp_path):
     path = f"{tmp_path}/files"
     one = data.where("doc = 'd1'")
