@@ -42,6 +42,9 @@ _BEFORE, _AFTER = 2, 3
 #: Bytes of texts to a chunk, and places that are worked on at a time; a longer text is a chunk of its own.
 _CHUNK, _BLOCK = 4_000_000, 1_000_000
 
+#: Rows of a model table that a task takes at least; short orders dealt to as many tasks as the texts would be little more than headers of blocks.
+_TASK_ROWS = 100_000
+
 
 def grams(texts: list[str], order: int, block: int = _BLOCK):
     """All n-grams of some texts as numbers, with the position of each one's text, in blocks.
@@ -114,23 +117,28 @@ def model_tables(trusted: DataFrame, text_col: str = "text", order: int = 6) ->
     if not 2 <= order <= 7:
         raise ValueError("order must lie between 2 and 7")
     levels = {order: checkpointed(gram_counts(trusted, text_col, order))}
+    tasks = {order: math.ceil(levels[order].count() / _TASK_ROWS) or 1}
+    levels[order] = levels[order].coalesce(tasks[order])
     for n in range(order - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND((1 << (8 * n)) - 1)
-        levels[n] = checkpointed(levels[n + 1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("c")))
+        level = levels[n + 1].groupBy(shorter.alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        levels[n] = checkpointed(level.coalesce(tasks[n + 1]))
+        tasks[n] = math.ceil(levels[n].count() / _TASK_ROWS) or 1
+        levels[n] = levels[n].coalesce(tasks[n])
     out = None
     below = None
     for n in range(1, order + 1):
         d1, d2, d3 = _discounts(levels[n])
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         level = levels[n].withColumn("ctx", F.shiftright("gram", 8))
-        contexts = level.groupBy("ctx").agg(F.sum("c").alias("tot"), (F.sum(cut) / F.sum("c")).alias("gamma"))
-        both = level.join(contexts, "ctx").withColumn("own", (F.col("c") - cut) / F.col("tot"))
+        contexts = level.groupBy("ctx").agg(F.sum("c").alias("tot"), (F.sum(cut) / F.sum("c")).alias("gamma")).coalesce(tasks[n])
+        both = level.join(contexts, "ctx").withColumn("own", (F.col("c") - cut) / F.col("tot")).coalesce(tasks[n])
         if below is None:
             p = both.select("gram", "c", (F.col("own") + F.col("gamma") / 256).alias("p"))
         else:
             suffix = F.col("gram").bitwiseAND((1 << (8 * (n - 1))) - 1)
             p = both.withColumn("low", suffix).join(below, "low").select("gram", "c", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"))
-        p = checkpointed(p)
+        p = checkpointed(p.coalesce(tasks[n]))
         below = p.select(F.col("gram").alias("low"), F.col("p").alias("q"))
         rows = p.select(F.lit(n).alias("n"), F.col("gram").alias("key"), "p", "c", F.lit(None).cast("double").alias("gamma")).unionByName(
             contexts.select(F.lit(n).alias("n"), F.col("ctx").alias("key"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("long").alias("c"), "gamma")

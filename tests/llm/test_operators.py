@@ -780,3 +780,21 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
     with pytest.raises(RuntimeError):
         scratch_root(session)
+
+
+def test_quality_model_is_dealt_by_its_rows(spark):
+    """Short orders are small, and so are the tasks that they take, whatever the number of shuffle partitions."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        model = quality.model_tables(spark.createDataFrame([("some trusted text " * 3,), ("and another one",)], "text string"), order=3)
+        assert model.rdd.getNumPartitions() <= 6
+        counts = dict(model.where("p is not null").groupBy("n").agg(F.count_distinct("key")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    texts = [b"\x02\x02" + t.encode() + b"\x03" for t in ("some trusted text " * 3, "and another one")]
+    trigrams = {t[i - 2 : i + 1] for t in texts for i in range(2, len(t))}
+    assert counts == {n: len({g[3 - n :] for g in trigrams}) for n in (1, 2, 3)}
