@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages, from raw documents to token ids.
+"""A corpus pipeline of five stages, from raw documents to token ids and their decoded text.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns a DataFrame; :func:`run` writes each stage's rows as Parquet
@@ -39,8 +39,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids."""
-    return bpe.bpe_encode(docs, vocabulary("word_bpe_49k.json"), keep=["doc_id", "lang", "source"], decode=False).select("doc_id", "lang", "source", "ids")
+    """The documents as token ids, and what these decode to."""
+    return bpe.bpe_encode(docs, vocabulary("word_bpe_49k.json"), keep=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "ids", "decoded")
 
 
 STAGES = [

@@ -235,25 +235,22 @@ _SOME_WORDS = 20_000
 class _Encoded:
     """What a worker keeps for a file: the tokenizer and two generations of encoded words, about ``cache_bytes`` each.
 
-    An entry is a word's ids, with ``labels`` (ids, labels), and with
-    ``digests`` both joined by spaces.
+    An entry is a word's ids, and with ``digests`` (ids, labels), both joined
+    by spaces.
     """
 
-    def __init__(self, path: str, labels: bool, digests: bool):
+    def __init__(self, path: str, digests: bool):
         self.tokenizer = WordTokenizer(path)
-        self.entries(labels, digests)
+        self.entries(digests)
 
-    def entries(self, labels: bool, digests: bool) -> None:
+    def entries(self, digests: bool) -> None:
         """Sets what entries hold; others than before drop those there are."""
-        if getattr(self, "form", None) != (labels, digests):
-            self.form, self.young, self.old, self.size = (labels, digests), {}, {}, 0
+        if getattr(self, "digests", None) != digests:
+            self.digests, self.young, self.old, self.size = digests, {}, {}, 0
 
     def _entry(self, word: str | int):
         ids = [word] if isinstance(word, int) else self.tokenizer.word(word)
-        labels, digests = self.form
-        if digests:
-            return " ".join(map(str, ids)), self.tokenizer.decode(ids)
-        return (tuple(ids), self.tokenizer.decode(ids)) if labels else tuple(ids)
+        return (" ".join(map(str, ids)), self.tokenizer.decode(ids)) if self.digests else tuple(ids)
 
     def look_up(self, words: list[str | int], cache_bytes: int) -> list:
         """The entries of some words, in order."""
@@ -265,7 +262,7 @@ class _Encoded:
                 got = self._entry(word)
             self.young[word] = got
             length = len(word) if isinstance(word, str) else 0
-            self.size += 350 + 4 * length if self.form[0] else 250 + 4 * length
+            self.size += 350 + 4 * length if self.digests else 250 + 4 * length
         return list(map(self.young.__getitem__, words))
 
 
@@ -274,10 +271,10 @@ _WORKER: dict[str, _Encoded] = {}
 HELD[__name__] = _WORKER
 
 
-def _worker(path: str, labels: bool, digests: bool) -> _Encoded:
+def _worker(path: str, digests: bool) -> _Encoded:
     if path not in _WORKER:
-        _WORKER[path] = _Encoded(path, labels, digests)
-    _WORKER[path].entries(labels, digests)
+        _WORKER[path] = _Encoded(path, digests)
+    _WORKER[path].entries(digests)
     return _WORKER[path]
 
 
@@ -303,10 +300,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
     encoded, up to about twice ``cache_bytes``.
     """
 
-    labels = decode or digests
-
     def make():
-        encoded = _worker(tokenizer_path, labels, digests)
+        encoded = _worker(tokenizer_path, digests)
 
         def entries(text: str | None) -> list:
             words = encoded.tokenizer.words(text) if text else []
@@ -316,16 +311,15 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
             columns: list[list] = [[], [], []]
             for text in texts:
                 got = entries(text)
-                ids = map(_FIRST, got) if labels else got
                 if digests:
-                    joined = " ".join(ids)
+                    joined = " ".join(map(_FIRST, got))
                     columns[0].append(joined.count(" ") + 1 if got else 0)
                     columns[1].append(hashlib.sha256(joined.encode()).hexdigest())
                     columns[2].append(hashlib.sha256(" ".join(map(_SECOND, got)).encode("utf-8")).hexdigest())
                 else:
-                    columns[0].append(np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32))
-                    if decode:
-                        columns[1].append(" ".join(map(_SECOND, got)))
+                    columns[0].append(np.fromiter(itertools.chain.from_iterable(got), dtype=np.int32))
+                    if decode:  # from the ids, so that workers keep no labels of words
+                        columns[1].append(encoded.tokenizer.decode(columns[0][-1].tolist()))
             return columns if digests else columns[:2] if decode else columns[:1]
 
         return kernel
@@ -337,7 +331,7 @@ def bpe_decode(docs: DataFrame, tokenizer_path: str, ids_col: str = "ids", keep:
     """Adds ``decoded``: the labels of an array of ids. A null array, or an id outside the vocabulary, gives null."""
 
     def make():
-        labels = _worker(tokenizer_path, True, False).tokenizer.labels
+        labels = _worker(tokenizer_path, False).tokenizer.labels
 
         def kernel(rows):
             return [[" ".join([labels[i] for i in ids]) if ids is not None and all(i in labels for i in ids) else None for ids in rows]]

@@ -111,3 +111,17 @@ def test_stages_leave_columns_of_any_name(spark, sf_dir):
 
 def test_stages_name_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "bpe_encode"]
+
+
+def test_last_stage_decodes_as_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    texts = ["", None, "Plain words, 12 of THEM!", "é字🙂 \x1f tab\tnew\nline", prose(300)]
+    table = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["bpe_encode"](spark, table, "").collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert found[i]["ids"] == ids and found[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
