@@ -261,6 +261,17 @@ def test_wrap_keeps_styles_and_width():
     assert ansi.display_width("é漢\x1b[1m!") == 4
 
 
+def test_wrap_lays_out_short_texts_once():
+    text, longer = "styled \x1b[1mwords\x1b[0m that come again", "words " * 200
+    seen = ansi._short_laid.cache_info()
+    first = ansi.wrap(text, 12, ansi.Prefix("> ", "  ", 2))
+    first.append("own")
+    again = ansi.wrap(text, 12, ansi.Prefix("> ", "  ", 2))
+    assert again == first[:-1] and again != ansi.wrap(text, 12) and ansi.wrap(longer, 12) == ansi.wrap(longer, 12)
+    now = ansi._short_laid.cache_info()
+    assert (now.hits - seen.hits, now.misses - seen.misses) == (1, 2)
+
+
 def test_render_columns(spark):
     docs = column_of(spark, [make("block", "paragraph", "hi", 1)])
     assert docs.select(ansi.render(F.col("blocks"), 40, "light").alias("x")).first()["x"] == "hi"
